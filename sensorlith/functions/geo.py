@@ -95,9 +95,10 @@ def usable_polyline(points: Column, box: Box) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def choose_polyline(candidates: list[Column], box: Box) -> Column:
-    """The first candidate that passes the check, else null."""
-    return F.coalesce(*[F.when(usable_polyline(c, box), c) for c in candidates])
+def choose_polyline(candidates: dict[str, Column], box: Box) -> Column:
+    """(source, points) of the first candidate that passes the check, else null."""
+    tagged = F.array(*[F.struct(F.lit(n).alias("source"), p.alias("points")) for n, p in candidates.items()])
+    return F.get(F.filter(tagged, lambda c: usable_polyline(c["points"], box)), F.lit(0))
 
 
 def _polyline_numbers(text: str) -> np.ndarray:

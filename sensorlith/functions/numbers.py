@@ -64,3 +64,18 @@ def number_text(x: Column, digits: int, absent: str = "—") -> Column:
 def file_safe(x: Column) -> Column:
     """Names as used in report files: spaces and slashes become underscores, brackets go."""
     return F.translate(x, " /()", "__")
+
+
+def settled(x: Column, digits: int) -> Column:
+    """``half_up`` after wiping out noise in the last bits, so that a true half rounds the same way every time."""
+    return half_up(half_up(x, digits + 4), digits)
+
+
+def settled_even(x: Column, digits: int) -> Column:
+    """``half_even`` after wiping out noise in the last bits."""
+    return half_even(half_up(x, digits + 6), digits)
+
+
+def stable_mean(total: Column, n: Column, digits: int = 4) -> Column:
+    """Mean from a sum rounded first, so that the order of addition cannot tip the last digit."""
+    return half_up(F.try_divide(half_up(total, 4), n), digits)

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorlith.functions.numbers import half_up
+from sensorlith.functions.numbers import half_up, stable_mean
 from sensorlith.functions.times import month_start, next_month_start, seconds_between, sunday_zero_weekday
 from sensorlith.operators.quantiles import join_on_keys, percentiles
 
@@ -139,11 +139,6 @@ def money_sums() -> list[Column]:
     return [half_up(F.sum(f"{k}_amount"), DIGITS).alias(f"gross_{k}_amount") for k in ("total", "fare", "tip", "tolls")]
 
 
-def stable_mean(total: Column, n: Column) -> Column:
-    """Mean from a sum rounded first, so that the order of addition cannot tip the last digit."""
-    return half_up(F.try_divide(half_up(total, DIGITS), n), DIGITS)
-
-
 def mean(column: str, name: str | None = None) -> Column:
     return stable_mean(F.sum(column), F.count(column)).alias(name or f"avg_{column}")
 
