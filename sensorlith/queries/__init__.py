@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("trips", "stations", "speeds", "weather", "fusion")
+MODULES = ("trips", "stations", "speeds", "weather", "fusion", "imu")
 
 for _name in MODULES:
     import_module(f"sensorlith.queries.{_name}")
