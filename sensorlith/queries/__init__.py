@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("trips", "stations", "speeds", "weather", "fusion", "imu")
+MODULES = ("trips", "stations", "speeds", "weather", "fusion", "imu", "missions")
 
 for _name in MODULES:
     import_module(f"sensorlith.queries.{_name}")
