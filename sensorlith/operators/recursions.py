@@ -31,12 +31,15 @@ BLOCK = 64
 
 @dataclass(frozen=True)
 class Scan:
-    """``elements`` gives arrays with one leading entry per row; ``emit`` turns the composed ones into rows."""
+    """``elements`` gives arrays with one leading entry per row.
+
+    ``emit`` turns the composed ones into rows; it also gets the element that entered the part.
+    """
 
     elements: Callable[[pd.DataFrame], Element]
     compose: Callable[[Element, Element], Element]
     identity: Element
-    emit: Callable[[Element, pd.DataFrame], pd.DataFrame]
+    emit: Callable[[Element, pd.DataFrame, Element], pd.DataFrame]
 
 
 def prefix(elements: Element, compose: Callable, identity: Element) -> Element:
@@ -85,9 +88,11 @@ def run_scan(s: Series, scan: Scan, schema: T.StructType) -> DataFrame:
     def rows(pdf: pd.DataFrame, entering: Element | None) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
         composed = prefix(scan.elements(pdf), scan.compose, scan.identity)
-        if entering is not None:
+        if entering is None:
+            entering = tuple(e[None] for e in scan.identity)
+        else:
             composed = scan.compose(tuple(np.broadcast_to(e, c.shape) for e, c in zip(entering, composed)), composed)
-        emitted = scan.emit(composed, pdf)[names]
+        emitted = scan.emit(composed, pdf, entering)[names]
         for i, k in enumerate(keys):
             emitted.insert(i, k, pdf[k].iloc[0])
         return emitted

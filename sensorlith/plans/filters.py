@@ -48,7 +48,7 @@ def complementary(s: Series, row_id: Sequence[str], alpha: float = ALPHA) -> Dat
         step = pdf[["gyro_x_calibrated", "gyro_y_calibrated"]].to_numpy() * dt
         return R.blend_elements(np.full_like(step, alpha), step, pdf[["roll_rad", "pitch_rad"]].to_numpy(), _first(pdf))
 
-    def emit(state, pdf):
+    def emit(state, pdf, _):
         x = state[1]
         return pdf[list(row_id)].assign(fused_roll_rad=x[:, 0], fused_pitch_rad=x[:, 1])
 
@@ -69,7 +69,7 @@ def adaptive(
         alpha = np.where(error < limit, normal, high) * np.ones((1, 2))
         return R.blend_elements(alpha, step, pdf[["roll_rad", "pitch_rad"]].to_numpy(), _first(pdf))
 
-    def emit(state, pdf):
+    def emit(state, pdf, _):
         error = np.abs(pdf["acc_mag"].to_numpy() - STANDARD_GRAVITY)
         used = np.where(_first(pdf) | (error < limit), normal, high)
         x = state[1]
@@ -98,7 +98,7 @@ def adaptive_sweep(s: Series, normals: Sequence[float], highs: Sequence[float],
         start = _first(pdf)[:, None, None]
         return np.where(start, 0.0, alpha), np.where(start, ref, alpha * step + (1.0 - alpha) * ref)
 
-    def emit(state, pdf):
+    def emit(state, pdf, _):
         ref = pdf[["roll_rad", "pitch_rad"]].to_numpy()[:, :, None]
         squares = (np.degrees(state[1] - ref) ** 2).sum(axis=0)
         used = np.where(_first(pdf)[:, None], grid[:, 0], alphas(pdf))
@@ -154,7 +154,7 @@ def kalman_angle_bias(
     """Angle and gyro bias from rate and measured angle."""
     settings = np.array([[q_angle, q_bias, r]])
 
-    def emit(state, pdf):
+    def emit(state, pdf, _):
         x = state[1][:, 0]
         return pdf[list(row_id)].assign(kalman_angle_rad=x[:, 0], kalman_bias_rad_s=x[:, 1])
 
@@ -168,7 +168,7 @@ def kalman_sweep(
     settings = np.array(list(product(q_angles, q_biases, rs)))
     time = s.order[0]
 
-    def emit(state, pdf):
+    def emit(state, pdf, _):
         x = state[1]
         squares = (np.degrees(x[..., 0] - pdf[angle].to_numpy()[:, None]) ** 2).sum(axis=0)
         return pd.DataFrame(
@@ -233,7 +233,7 @@ def track(
 ) -> DataFrame:
     """Position and velocity estimate with its position uncertainty."""
 
-    def emit(state, pdf):
+    def emit(state, pdf, _):
         x, cov = state[1], state[2]
         return pdf[list(row_id)].assign(
             estimated_position=x[:, 0], estimated_velocity=x[:, 1], position_uncertainty=np.sqrt(cov[:, 0, 0])
@@ -254,7 +254,7 @@ def quaternion_track(s: Series, row_id: Sequence[str]) -> DataFrame:
         start = R.rotation_from_euler(pdf["roll_rad"].to_numpy(), pdf["pitch_rad"].to_numpy())
         return (np.where(_first(pdf)[:, None], start, steps),)
 
-    def emit(state, pdf):
+    def emit(state, pdf, _):
         q = state[0]
         return pdf[list(row_id)].assign(q_w=q[:, 0], q_x=q[:, 1], q_y=q[:, 2], q_z=q[:, 3])
 
