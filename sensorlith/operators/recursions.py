@@ -1,9 +1,11 @@
 """Recursive estimators per series, as Spark jobs that also cut long series into parts.
 
 ``run_scan``: the recursion's step is written as an element of an associative operation
-(affine map, Gaussian filtering element, unit quaternion). Each part is composed on its
-own, the parts of a series are composed in order (one small row per part), and each part
-is then run again from what enters it. Inside a part all work is on arrays.
+(affine map, Gaussian filtering element, unit quaternion), and the first row of a series as
+one that forgets what came before. Whole series are hashed over the tasks, sorted, and
+streamed through in Arrow batches, so that a task holds one batch at a time and small
+series share it. A series that is cut into parts is composed part by part, the parts in
+order (one small row per part), and each part is then run again from what enters it.
 
 ``run_fold``: for state machines without such a form. Parts run side by side from guessed
 states and repeat until every part was entered with the state its predecessor left; a
@@ -13,7 +15,7 @@ pass in order.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -75,6 +77,11 @@ def _unflat(values: Sequence[float], identity: Element) -> Element:
     return tuple(out)
 
 
+def tasks(df: DataFrame) -> int:
+    """How many tasks Python work is dealt out to."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _fields(df: DataFrame, names: Sequence[str]) -> list[T.StructField]:
     return [df.schema[n] for n in names]
 
@@ -85,31 +92,41 @@ def run_scan(s: Series, scan: Scan, schema: T.StructType) -> DataFrame:
     out = T.StructType(_fields(s.df, keys) + schema.fields)
     names = [f.name for f in schema.fields]
 
-    def rows(pdf: pd.DataFrame, entering: Element | None) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
+    nothing = tuple(e[None] for e in scan.identity)
+
+    def rows(pdf: pd.DataFrame, entering: Element) -> tuple[pd.DataFrame, Element]:
         composed = prefix(scan.elements(pdf), scan.compose, scan.identity)
-        if entering is None:
-            entering = tuple(e[None] for e in scan.identity)
-        else:
-            composed = scan.compose(tuple(np.broadcast_to(e, c.shape) for e, c in zip(entering, composed)), composed)
-        emitted = scan.emit(composed, pdf, entering)[names]
-        for i, k in enumerate(keys):
-            emitted.insert(i, k, pdf[k].iloc[0])
-        return emitted
+        composed = scan.compose(tuple(np.broadcast_to(e, c.shape) for e, c in zip(entering, composed)), composed)
+        emitted = scan.emit(composed, pdf, entering)
+        for k in keys:
+            if k not in emitted:
+                emitted[k] = pdf[k].to_numpy()
+        return emitted[[*keys, *names]], tuple(c[-1:] for c in composed)
+
+    def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.sort_values(order, kind="stable").reset_index(drop=True)
 
     if not s.cut_up:
-        return s.df.groupBy(*keys).applyInPandas(lambda pdf: rows(pdf, None), out)
+
+        def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            state = nothing
+            for pdf in batches:
+                if len(pdf):
+                    emitted, state = rows(pdf.reset_index(drop=True), state)
+                    yield emitted
+
+        # The partition count is given, so that it is not merged down to the few tasks a small shuffle would get.
+        return s.df.repartition(tasks(s.df), *keys).sortWithinPartitions(*keys, *order).mapInPandas(stream, out)
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
+        pdf = in_order(pdf)
         composed = prefix(scan.elements(pdf), scan.compose, scan.identity)
         head = {c: [pdf[c].iloc[0]] for c in [*keys, PART]}
         return pd.DataFrame({**head, "element": [_flat(composed, -1)]})
 
     def enter(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(PART)
-        state, out_rows = scan.identity, []
-        state = tuple(e[None] for e in state)
+        state, out_rows = nothing, []
         for values in pdf["element"]:
             out_rows.append(_flat(state, 0))
             state = scan.compose(state, _unflat(values, scan.identity))
@@ -121,7 +138,7 @@ def run_scan(s: Series, scan: Scan, schema: T.StructType) -> DataFrame:
     entries = cut(totals.groupBy(*keys).applyInPandas(enter, summary))
 
     def again(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return rows(left, _unflat(right["element"].iloc[0], scan.identity))
+        return rows(in_order(left), _unflat(right["element"].iloc[0], scan.identity))[0]
 
     return s.df.groupBy(*group).cogroup(entries.groupBy(*group)).applyInPandas(again, out)
 
@@ -145,7 +162,8 @@ def run_fold(
         return emitted
 
     if not s.cut_up:
-        return s.df.groupBy(*keys).applyInPandas(lambda pdf: rows(pdf, None), out)
+        spread = s.df.repartition(tasks(s.df), *keys)
+        return spread.groupBy(*keys).applyInPandas(lambda pdf: rows(pdf, None), out)
 
     group = [*keys, PART]
     states = T.StructType(
@@ -282,18 +300,22 @@ def with_prior(elements: Element, first: np.ndarray, mean: np.ndarray, covarianc
 # --- rotations -----------------------------------------------------------------------------
 
 
-def rotation_compose(first: Element, then: Element) -> Element:
-    """Quaternion product first ⊗ then, kept at length one."""
-    p, q = first[0], then[0]
+def product(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Quaternion product p ⊗ q, brought to length one."""
     pw, pv, qw, qv = p[..., :1], p[..., 1:], q[..., :1], q[..., 1:]
     w = pw * qw - np.sum(pv * qv, axis=-1, keepdims=True)
-    v = pw * qv + qw * pv + np.cross(pv, qv)
-    out = np.concatenate([w, v], axis=-1)
-    return (out / np.linalg.norm(out, axis=-1, keepdims=True),)
+    out = np.concatenate([w, pw * qv + qw * pv + np.cross(pv, qv)], axis=-1)
+    return out / np.linalg.norm(out, axis=-1, keepdims=True)
+
+
+def rotation_compose(first: Element, then: Element) -> Element:
+    """(rotation, starts anew): one that starts anew forgets what came before."""
+    anew = then[1] > 0
+    return np.where(anew[..., None], then[0], product(first[0], then[0])), np.maximum(first[1], then[1])
 
 
 def rotation_identity() -> Element:
-    return (np.array([1.0, 0.0, 0.0, 0.0]),)
+    return np.array([1.0, 0.0, 0.0, 0.0]), np.array(0.0)
 
 
 def rotation_steps(rates: np.ndarray, dt: np.ndarray) -> np.ndarray:
@@ -311,4 +333,4 @@ def rotation_from_euler(roll: np.ndarray, pitch: np.ndarray, yaw: float = 0.0) -
         return q
 
     z = about(3, np.full(len(roll), yaw))
-    return rotation_compose(rotation_compose((z,), (about(2, pitch),)), (about(1, roll),))[0]
+    return product(product(z, about(2, pitch)), about(1, roll))

@@ -36,6 +36,16 @@ def with_dt(s: Series, time: str) -> Series:
     )
 
 
+def _per_run(pdf: pd.DataFrame, keys: Sequence[str], columns: dict[str, np.ndarray], settings: dict[str, np.ndarray]) -> pd.DataFrame:
+    """Sum (rows × settings) arrays over the rows of each run in a sorted batch: one row per run and setting."""
+    change = (pdf[list(keys)] != pdf[list(keys)].shift()).any(axis=1).to_numpy()
+    start = np.flatnonzero(change)
+    many = len(next(iter(settings.values())))
+    out = {k: np.repeat(pdf[k].to_numpy()[start], many) for k in keys}
+    out |= {n: np.tile(v, len(start)) for n, v in settings.items()}
+    return pd.DataFrame(out | {n: np.add.reduceat(v, start, axis=0).ravel() for n, v in columns.items()})
+
+
 def _first(pdf: pd.DataFrame) -> np.ndarray:
     return pdf["is_first"].to_numpy(dtype=bool)
 
@@ -98,22 +108,19 @@ def adaptive_sweep(s: Series, normals: Sequence[float], highs: Sequence[float],
         start = _first(pdf)[:, None, None]
         return np.where(start, 0.0, alpha), np.where(start, ref, alpha * step + (1.0 - alpha) * ref)
 
+    keys = s.keys
+
     def emit(state, pdf, _):
-        ref = pdf[["roll_rad", "pitch_rad"]].to_numpy()[:, :, None]
-        squares = (np.degrees(state[1] - ref) ** 2).sum(axis=0)
+        squares = np.degrees(state[1] - pdf[["roll_rad", "pitch_rad"]].to_numpy()[:, :, None]) ** 2
         used = np.where(_first(pdf)[:, None], grid[:, 0], alphas(pdf))
-        return pd.DataFrame(
-            {
-                "alpha_normal": grid[:, 0],
-                "alpha_high_accel": grid[:, 1],
-                "acc_threshold": grid[:, 2],
-                "roll_squares": squares[0],
-                "pitch_squares": squares[1],
-                "alpha_sum": used.sum(axis=0),
-                "high_count": (used > 0.98).sum(axis=0).astype(float),
-                "samples": float(len(pdf)),
-            }
-        )
+        sums = {
+            "roll_squares": squares[:, 0],
+            "pitch_squares": squares[:, 1],
+            "alpha_sum": used,
+            "high_count": (used > 0.98).astype(float),
+            "samples": np.ones_like(used),
+        }
+        return _per_run(pdf, keys, sums, dict(zip(("alpha_normal", "alpha_high_accel", "acc_threshold"), grid.T)))
 
     names = "alpha_normal alpha_high_accel acc_threshold roll_squares pitch_squares alpha_sum high_count samples".split()
     shape = (2, len(grid))
@@ -168,20 +175,19 @@ def kalman_sweep(
     settings = np.array(list(product(q_angles, q_biases, rs)))
     time = s.order[0]
 
+    keys = s.keys
+
     def emit(state, pdf, _):
         x = state[1]
-        squares = (np.degrees(x[..., 0] - pdf[angle].to_numpy()[:, None]) ** 2).sum(axis=0)
-        return pd.DataFrame(
-            {
-                "q_angle": settings[:, 0],
-                "q_bias": settings[:, 1],
-                "r_measurement": settings[:, 2],
-                "squares": squares,
-                "samples": float(len(pdf)),
-                "end_time": float(pdf[time].iloc[-1]),
-                "end_bias": np.degrees(x[-1, :, 1]),
-            }
-        )
+        squares = np.degrees(x[..., 0] - pdf[angle].to_numpy()[:, None]) ** 2
+        last = (pdf[list(keys)] != pdf[list(keys)].shift(-1)).any(axis=1).to_numpy()[:, None]
+        sums = {
+            "squares": squares,
+            "samples": np.ones_like(squares),
+            "end_time": np.where(last, pdf[time].to_numpy()[:, None], np.zeros_like(squares)),
+            "end_bias": np.where(last, np.degrees(x[..., 1]), 0.0),
+        }
+        return _per_run(pdf, keys, sums, dict(zip(("q_angle", "q_bias", "r_measurement"), settings.T)))
 
     names = "q_angle q_bias r_measurement squares samples end_time end_bias".split()
     scan = R.Scan(
@@ -252,7 +258,8 @@ def quaternion_track(s: Series, row_id: Sequence[str]) -> DataFrame:
             pdf[["gyro_x_calibrated", "gyro_y_calibrated", "gyro_z_calibrated"]].to_numpy(), pdf["dt"].to_numpy()
         )
         start = R.rotation_from_euler(pdf["roll_rad"].to_numpy(), pdf["pitch_rad"].to_numpy())
-        return (np.where(_first(pdf)[:, None], start, steps),)
+        first = _first(pdf)
+        return np.where(first[:, None], start, steps), first.astype(float)
 
     def emit(state, pdf, _):
         q = state[0]

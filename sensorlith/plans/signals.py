@@ -92,13 +92,15 @@ def highpass_energy(blocks: Series, b: np.ndarray, a: np.ndarray) -> DataFrame:
     def elements(pdf: pd.DataFrame) -> R.Element:
         _, left, lengths = run(pdf, np.zeros((len(pdf), n)))
         powers = {m: np.linalg.matrix_power(transition, int(m)) for m in np.unique(lengths)}
-        return np.stack([powers[m] for m in lengths]), left
+        first = (pdf["block_idx"] == 0).to_numpy()[:, None, None]
+        return np.where(first, 0.0, np.stack([powers[m] for m in lengths])), left
 
     def compose(first: R.Element, then: R.Element) -> R.Element:
         return then[0] @ first[0], np.einsum("...ij,...j->...i", then[0], first[1]) + then[1]
 
     def emit(state: R.Element, pdf: pd.DataFrame, entering: R.Element) -> pd.DataFrame:
         entered = np.concatenate([entering[1], state[1][:-1]])
+        entered[(pdf["block_idx"] == 0).to_numpy()] = 0.0
         y, _, lengths = run(pdf, entered)
         return pdf[["block_idx"]].assign(energy=[(v[:m] * v[:m]).tolist() for v, m in zip(y, lengths)])
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sensorlith.functions.times import from_micros, micros
+from sensorlith.session import work_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,7 +27,7 @@ def raw_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     shift = (c("l_orderkey") * 37 + c("l_linenumber") * 11) % 4320 - 1440
     length = (c("l_partkey") * 7 + c("l_suppkey") * 13 + c("l_linenumber")) % 1600 - 60
-    minutes = lambda m: F.make_dt_interval(mins=m.cast("int"))
+    later = lambda minutes: from_micros(micros(c("o_orderdate")) + minutes * 60_000_000)
     fare = F.when((c("l_returnflag") == "R") & (c("l_discount") == 0), -c("l_extendedprice")).otherwise(c("l_extendedprice"))
     return joined.select(
         F.when(c("l_linestatus") == "O", "green").otherwise("yellow").alias("taxi_type"),
@@ -33,8 +36,8 @@ def raw_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("trips_"), F.year("o_orderdate").cast("string")).alias("source_file"),
         c("l_orderkey").alias("order_id"),
         c("l_linenumber").alias("line_id"),
-        (c("o_orderdate") + minutes(shift)).alias("tpep_pickup_datetime"),
-        (c("o_orderdate") + minutes(shift + length)).alias("tpep_dropoff_datetime"),
+        later(shift).alias("tpep_pickup_datetime"),
+        later(shift + length).alias("tpep_dropoff_datetime"),
         (c("l_linenumber") - 2).alias("passenger_count"),
         F.when(c("l_quantity") != 50, c("l_quantity")).alias("trip_distance"),
         c("l_linenumber").alias("RatecodeID"),
@@ -48,6 +51,13 @@ def raw_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw trips as a written table, for reports that read them more than once."""
+    path = work_path(spark, "raw_trips")
+    raw_trips(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 RAW_TRIPS = """
 raw_trips AS (
   SELECT CASE WHEN l_linestatus = 'O' THEN 'green' ELSE 'yellow' END AS taxi_type,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sensorlith.plans import trips as T
-from sensorlith.queries.trip_tables import RAW_TRIPS, STAGED, ZONES, raw_trips, rnd, zones
+from sensorlith.queries.trip_tables import RAW_TRIPS, STAGED, ZONES, raw_trips, rnd, stored_trips, zones
 from sensorlith.registry import query
 
 P = "taxi_type, data_year, data_month"
@@ -29,6 +29,11 @@ def clean(spark, sf):
     return T.clean(staging(spark, sf))
 
 
+def stored_clean(spark, sf):
+    """Clean trips for reports that go over them several times."""
+    return T.clean(T.staged(stored_trips(spark, sf)))
+
+
 @query(
     "trip_anomaly_counts",
     f"WITH {STAGED} " + " UNION ALL ".join(
@@ -97,7 +102,7 @@ def trip_anomaly_samples(spark, sf):
         {rnd('max(speed_mph)')} AS max_speed_mph FROM clean GROUP BY {P}""",
 )
 def trip_month_summary(spark, sf):
-    return T.month_summary(clean(spark, sf))
+    return T.month_summary(stored_clean(spark, sf))
 
 
 @query(
@@ -120,7 +125,7 @@ def trip_raw_vs_clean(spark, sf):
         {rnd('((raw_count - coalesce(n, 0)) / raw_count)', 6)} AS rejected_fraction FROM r LEFT JOIN c USING ({P})""",
 )
 def trip_ingest_audit(spark, sf):
-    return T.ingest_audit(staging(spark, sf))
+    return T.ingest_audit(T.staged(stored_trips(spark, sf)))
 
 
 @query("trip_partition_inventory", f"WITH {STAGED} SELECT {P}, count(*) AS clean_count FROM clean GROUP BY {P}")
@@ -199,7 +204,7 @@ FOUR = ("total", "distance", "duration", "speed")
         {pick(SUMS, 'total', 'fare', 'tip')}, {pick(AVGS, *FOUR)}, {pick(MEDS, *FOUR)} FROM clean""",
 )
 def trip_period_summary(spark, sf):
-    return T.period_summary(clean(spark, sf))
+    return T.period_summary(stored_clean(spark, sf))
 
 
 @query(
@@ -224,7 +229,7 @@ PER_DAY = f"""count(*) AS total_trip_count, {rnd('(count(*) / max(d))')} AS avg_
         {pick(AVGS, 'total', 'distance', 'duration')} FROM clean CROSS JOIN days GROUP BY pickup_hour""",
 )
 def trip_hour_profile_average_day(spark, sf):
-    return T.hour_profile_average_day(clean(spark, sf))
+    return T.hour_profile_average_day(stored_clean(spark, sf))
 
 
 NAMED = "coalesce(z.borough, 'Unknown') AS pickup_borough, coalesce(z.zone, 'Unknown') AS pickup_zone"
@@ -237,7 +242,7 @@ NAMED = "coalesce(z.borough, 'Unknown') AS pickup_borough, coalesce(z.zone, 'Unk
         ORDER BY total_trip_count DESC, pickup_location_id LIMIT 100""",
 )
 def trip_top_zones_average_day(spark, sf):
-    return T.top_zones_average_day(clean(spark, sf), zones(spark, sf))
+    return T.top_zones_average_day(stored_clean(spark, sf), zones(spark, sf))
 
 
 @query(
@@ -246,7 +251,7 @@ def trip_top_zones_average_day(spark, sf):
         FROM clean CROSS JOIN days LEFT JOIN zones z ON pickup_location_id = location_id GROUP BY ALL""",
 )
 def trip_zone_hour_average_day(spark, sf):
-    return T.zone_hour_average_day(clean(spark, sf), zones(spark, sf))
+    return T.zone_hour_average_day(stored_clean(spark, sf), zones(spark, sf))
 
 
 def _named_zone_sql(role, names):
@@ -306,7 +311,7 @@ def trip_zone_hour_counts(spark, sf):
         GROUP BY ALL""",
 )
 def trip_zone_density(spark, sf):
-    doc = T.density_document(zones(spark, sf), T.zone_hour_counts_per_day(clean(spark, sf)))
+    doc = T.density_document(zones(spark, sf), T.zone_hour_counts_per_day(stored_clean(spark, sf)))
     text = lambda c: F.array_join(F.transform(F.col(c), lambda x: x.cast("decimal(18,4)").cast("string")), " ")
     return doc.withColumns({"series": text("series"), "gross_series": text("gross_series")})
 
@@ -342,7 +347,7 @@ FIVE = ("distance", "duration", "speed", "fare", "total")
         FROM staged GROUP BY source_file""",
 )
 def trip_file_profile(spark, sf):
-    return T.file_profile(raw_trips(spark, sf))
+    return T.file_profile(stored_trips(spark, sf))
 
 
 @query("trip_payment_histogram", f"WITH {RAW_TRIPS} SELECT payment_type, count(*) AS trip_count FROM raw_trips GROUP BY payment_type")

@@ -28,9 +28,13 @@ def read_documents(
     return identified(reader.json(path), snapshot_id)
 
 
-def stream_documents(spark: SparkSession, path: str, schema: StructType, glob: str = "*.json", files_per_trigger: int = 10) -> DataFrame:
+def stream_documents(
+    spark: SparkSession, path: str, schema: StructType, glob: str = "*.json", files_per_trigger: int = 10, lines: bool = False
+) -> DataFrame:
     """The same folder as a stream, a limited number of files per batch."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_trigger)
+    if not lines:
+        reader = reader.option("multiLine", "true")
     return identified(reader.json(path), None)
 
 

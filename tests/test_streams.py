@@ -19,7 +19,7 @@ from sensorlith.streaming.tables import keep_tables
 
 
 def test_replay_order_marks_duplicates_and_gaps(spark):
-    rows = [("r", 0, 0.0), ("r", 2, 2.0), ("r", 1, 1.0), ("r", 5, 5.0), ("r", 5, 5.5), ("r", 9, 9000.0), ("r", 10, 20000.0)]
+    rows = [("r", 0, 1000.0), ("r", 2, 1002.0), ("r", 1, 1001.0), ("r", 5, 1005.0), ("r", 5, 1005.5), ("r", 9, 9000.0), ("r", 10, 20000.0)]
     df = spark.createDataFrame(rows, "run_id string, sequence long, event_time_s double").withColumn("at", F.timestamp_seconds("event_time_s"))
     out = replay(halves(df, "event_time_s"), lambda s: stateful.in_order(s, "at", "1 hour"), "order-test")
     got = out.orderBy("event_time_s").collect()
