@@ -59,7 +59,7 @@ def _ranked(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str,
     on = F.lit(True)
     for k, n in left.items():
         on = on & F.col(k).eqNullSafe(F.col(n))
-    return everyone.join(per_key.withColumns({}), on, "left").select(
+    return everyone.join(per_key, on, "left").select(
         *[F.col(n).alias(k) for k, n in left.items()], *wanted.keys()
     )
 

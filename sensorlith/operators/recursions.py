@@ -5,7 +5,7 @@
 one that forgets what came before. Whole series are hashed over the tasks, sorted, and
 streamed through in Arrow batches, so that a task holds one batch at a time and small
 series share it. A series that is cut into parts is composed part by part, the parts in
-order (one small row per part), and each part is then run again from what enters it.
+order (one small row per part), and each part is then streamed again from what enters it.
 
 ``run_fold``: for state machines without such a form. Parts run side by side from guessed
 states and repeat until every part was entered with the state its predecessor left; a
@@ -103,9 +103,6 @@ def run_scan(s: Series, scan: Scan, schema: T.StructType) -> DataFrame:
                 emitted[k] = pdf[k].to_numpy()
         return emitted[[*keys, *names]], tuple(c[-1:] for c in composed)
 
-    def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.sort_values(order, kind="stable").reset_index(drop=True)
-
     if not s.cut_up:
 
         def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,29 +115,59 @@ def run_scan(s: Series, scan: Scan, schema: T.StructType) -> DataFrame:
         # The partition count is given, so that it is not merged down to the few tasks a small shuffle would get.
         return s.df.repartition(tasks(s.df), *keys).sortWithinPartitions(*keys, *order).mapInPandas(stream, out)
 
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = in_order(pdf)
-        composed = prefix(scan.elements(pdf), scan.compose, scan.identity)
-        head = {c: [pdf[c].iloc[0]] for c in [*keys, PART]}
-        return pd.DataFrame({**head, "element": [_flat(composed, -1)]})
+    # Parts follow each other in (key, order), and a series' first row forgets what came before it, so all
+    # parts together are one long sequence: what enters a part is the composition of all parts before it.
+    element = T.ArrayType(T.DoubleType())
+    summary = T.StructType([T.StructField(PART, T.IntegerType()), T.StructField("_entry", element)])
+    sequence = [PART, "_row", *keys, *order]
+
+    def part_totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, state = None, nothing
+        for pdf in batches:
+            for number, rows_of_part in pdf.groupby(PART, sort=True):
+                if number != part:
+                    if part is not None:
+                        yield pd.DataFrame({PART: [part], "_entry": [_flat(state, 0)]})
+                    part, state = number, nothing
+                composed = prefix(scan.elements(rows_of_part.reset_index(drop=True)), scan.compose, scan.identity)
+                state = scan.compose(state, tuple(c[-1:] for c in composed))
+        if part is not None:
+            yield pd.DataFrame({PART: [part], "_entry": [_flat(state, 0)]})
 
     def enter(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(PART)
-        state, out_rows = nothing, []
-        for values in pdf["element"]:
-            out_rows.append(_flat(state, 0))
+        pdf, state, entries = pdf.sort_values(PART), nothing, []
+        for values in pdf["_entry"]:
+            entries.append(_flat(state, 0))
             state = scan.compose(state, _unflat(values, scan.identity))
-        return pdf.assign(element=out_rows)
-
-    group = [*keys, PART]
-    summary = T.StructType(_fields(s.df, group) + [T.StructField("element", T.ArrayType(T.DoubleType()))])
-    totals = s.df.groupBy(*group).applyInPandas(total, summary)
-    entries = cut(totals.groupBy(*keys).applyInPandas(enter, summary))
-
-    def again(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return rows(in_order(left), _unflat(right["element"].iloc[0], scan.identity))[0]
+        return pdf.assign(_entry=entries)
+
+    def stream_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each part is led by a row that holds what enters it."""
+        state = nothing
+        for pdf in batches:
+            heads = np.flatnonzero(pdf["_row"].to_numpy() == 0)
+            bounds = [0, *heads.tolist(), len(pdf)]
+            for lo, hi in zip(bounds[:-1], bounds[1:]):
+                piece = pdf.iloc[lo:hi]
+                if len(piece) and piece["_row"].iloc[0] == 0:
+                    state = _unflat(piece["_entry"].iloc[0], scan.identity)
+                    piece = piece.iloc[1:]
+                if len(piece):
+                    piece = piece.reset_index(drop=True)
+                    piece = piece.astype({k: v for k, v in kinds.items() if piece[k].notna().all()})
+                    emitted, state = rows(piece, state)
+                    yield emitted
 
-    return s.df.groupBy(*group).cogroup(entries.groupBy(*group)).applyInPandas(again, out)
+    data = s.df.withColumn("_row", F.lit(1))
+    totals = (
+        data.repartition(s.parts, PART).sortWithinPartitions(*sequence).mapInPandas(part_totals, summary)
+    )
+    entries = cut(totals.groupBy().applyInPandas(enter, summary))
+    # A leading row has null data, which would turn whole-number columns into fractions on the way.
+    kinds = {f.name: {"bigint": "int64", "int": "int32", "boolean": "bool"}[f.dataType.simpleString()] for f in s.df.schema
+             if f.dataType.simpleString() in ("bigint", "int", "boolean") and f.name not in (PART, "_row")}
+    led = data.unionByName(entries.withColumn("_row", F.lit(0)), allowMissingColumns=True)
+    return led.repartition(s.parts, PART).sortWithinPartitions(*sequence).mapInPandas(stream_parts, out)
 
 
 def run_fold(
@@ -186,7 +213,7 @@ def run_fold(
     entries = cut(nothing)
     while True:
         left = s.df.groupBy(*group).cogroup(entries.groupBy(*group)).applyInPandas(leave, states)
-        handed = cut(left.withColumn("was", F.col("entry")).drop("was").groupBy(*keys).applyInPandas(hand_on, states))
+        handed = cut(left.groupBy(*keys).applyInPandas(hand_on, states))
         before = entries.select(*[F.col(c).alias(f"_b_{c}") for c in group], F.col("entry").alias("_b_entry"))
         same = handed[group[0]].eqNullSafe(before[f"_b_{group[0]}"])
         for c in group[1:]:

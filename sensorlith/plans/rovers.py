@@ -62,16 +62,15 @@ def stale_periods(scans: DataFrame, timeout_s: float = SCAN_TIMEOUT_S) -> DataFr
 
 def as_of(commands: DataFrame, states: DataFrame, values: list[str], key: str = "robot_id", time: str = "ts") -> DataFrame:
     """Newest state at or before each command, by one ordered pass over both."""
-    empty = {v: F.lit(None).cast(states.schema[v].dataType) for v in values}
-    kind = commands.withColumn("_state", F.lit(None).cast(states.select(F.struct(F.col(time).alias("t"), *values)).schema[0].dataType))
+    state = F.struct(F.col(time).alias("t"), *values)
     own = [c for c in commands.columns if c not in (key, time)]
-    left = kind.select(key, time, F.lit(1).alias("_cmd"), F.struct(*own).alias("_own"), "_state")
+    no_state = F.lit(None).cast(states.select(state).schema[0].dataType)
+    left = commands.select(key, time, F.lit(1).alias("_cmd"), F.struct(*own).alias("_own"), no_state.alias("_state"))
     own_type = left.schema["_own"].dataType
     right = states.select(
-        key, time, F.lit(0).alias("_cmd"), F.lit(None).cast(own_type).alias("_own"), F.struct(F.col(time).alias("t"), *values).alias("_state")
+        key, time, F.lit(0).alias("_cmd"), F.lit(None).cast(own_type).alias("_own"), state.alias("_state")
     )
     s = fill(arrange(left.unionByName(right), [key], [time, "_cmd"]), {"_last": F.col("_state")})
-    assert empty
     return s.result().filter("_cmd = 1").select(key, time, "_own.*", F.col("_last.t").alias("state_ts"), *[F.col(f"_last.{v}").alias(v) for v in values])
 
 
