@@ -141,7 +141,7 @@ class Plan:
         end = F.least(F.col("place") + F.col("size"), (F.col("block") + 1) * size)
         cut = cut.select(*self.docs.columns, "block", (start - F.col("place")).alias("begin"), (end - start).alias("length"), (start - F.col("block") * size).alias("in_block"))
         rows = cut.join(self.slots(), ["sid", "block"], "left")
-        return rows.withColumn("got", F.greatest(F.least(F.col("length"), F.col("take") - F.col("in_block")), F.lit(0)))
+        return rows.withColumn("got", F.greatest(F.least(F.col("length"), F.coalesce("take", F.lit(0)) - F.col("in_block")), F.lit(0)))
 
 
 def mix(docs: DataFrame, **sizes: int) -> DataFrame:
