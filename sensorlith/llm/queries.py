@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorlith.llm import decontaminate, jaccard, language, licences, mixture, neighbours, repeats, tokens, toxicity
+from sensorlith.llm import decontaminate, jaccard, language, licences, mixture, neighbours, quality, repeats, tokens, toxicity
 from sensorlith.llm.frames import bucket_of
 from sensorlith.session import prepare, work_path
 
@@ -66,6 +66,14 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+@_query("op3_quality")
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources stand for hosts, their languages for paths: documents have no address."""
+    docs = _table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.learn(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (bucket_of("doc_id", 5) == 0).alias("held_out"), "evidence", "site_posterior", "part_posterior", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @_query("op4_token_ids")
 def op4_token_ids(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     folder = work_path(spark, "tokens")
