@@ -260,8 +260,8 @@ def keep_one_each(docs: DataFrame, length: int = 5, percent: int = 75) -> DataFr
     found = similar_documents(docs.select("doc_id", "text"), length, percent).where("n_shingles > 0 AND doc_id IS NOT NULL")
     first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("component_id", "first")
     marks = found.select("doc_id", "text_hash", "component_id").distinct().join(first, "component_id")
-    marks = marks.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.struct("doc_id", "text_hash").eqNullSafe(F.col("first")).alias("_wins"))
-    rows = docs.withColumn("_text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = rows.join(marks, (F.col("doc_id") == F.col("_id")) & (F.col("_text") == F.col("_hash")), "left")
-    rows = rows.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id", "_text").orderBy("doc_id")))
-    return rows.where("_wins IS NULL OR (_wins AND _row = 1)").select(*docs.columns)
+    marks = marks.select("doc_id", "text_hash", F.struct("doc_id", "text_hash").eqNullSafe(F.col("first")).alias("wins"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    rows = rows.join(marks, ["doc_id", "text_hash"], "left")
+    number = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("doc_id"))
+    return rows.withColumn("number", number).where("wins IS NULL OR (wins AND number = 1)").select("row.*")

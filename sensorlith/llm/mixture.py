@@ -159,19 +159,17 @@ def mixed(docs: DataFrame, **sizes: int) -> DataFrame:
     rows = Plan(docs, **sizes).pieces().where("got > 0")
     part = F.when(F.col("times") == F.col("whole"), F.struct("begin", F.col("got").alias("length")))
     taken = rows.groupBy("sid", "place", *_KEY, "size", "whole").agg(F.sort_array(F.collect_list(part)).alias("parts"))
-    same = Window.partitionBy(*_KEY).orderBy("size")
-    taken = taken.withColumn("row", F.row_number().over(same)).select(*(F.col(k).alias(f"_{k}") for k in _KEY), F.col("row").alias("_row"), F.col("whole").alias("_whole"), F.col("parts").alias("_parts"))
-    left = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    left = left.withColumn("row", F.row_number().over(same.orderBy(F.lit(1))))
-    on = F.col("row") == F.col("_row")
+    same = Window.partitionBy(*_KEY).orderBy(F.lit(1))
+    taken = taken.withColumn("number", F.row_number().over(same)).select(*(F.col(k).alias(f"t_{k}") for k in [*_KEY, "number"]), "whole", "parts")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    rows = rows.withColumn("number", F.row_number().over(same))
+    on = F.col("number") == F.col("t_number")
     for k in _KEY:
-        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    rows = left.join(taken, on)
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    cut = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(words, (p["begin"] + 1).cast("int"), p["length"].cast("int")))), " ")
-    copies = F.array_repeat(F.col("text"), F.col("_whole").cast("int"))
-    text = F.array_join(F.concat(copies, F.when(F.size("_parts") > 0, F.array(cut)).otherwise(F.array().cast("array<string>"))), "\n")
-    rows = rows.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        on = on & F.col(k).eqNullSafe(F.col(f"t_{k}"))
+    rows = rows.join(taken, on)
+    words = F.filter(F.split("doc.text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(words, (p["begin"] + 1).cast("int"), p["length"].cast("int")))), " ")
+    copies = F.array_repeat(F.col("doc.text"), F.col("whole").cast("int"))
+    rows = rows.withColumn("text", F.array_join(F.concat(copies, F.when(F.size("parts") > 0, F.array(cut)).otherwise(F.array().cast("array<string>"))), "\n"))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return rows.select(*(new[c].alias(c) if c in new else F.col("doc").getField(c).alias(c) for c in docs.columns))

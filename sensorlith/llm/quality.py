@@ -100,8 +100,9 @@ def learn(docs: DataFrame, labels: DataFrame, documents: int = SAMPLE_DOCUMENTS)
         model = fit([t for _, t, _ in rows], np.array([q for *_, q in rows], float))
         yield pa.RecordBatch.from_pydict({k: [getattr(model, k).tolist()] for k in ("centre", "scale", "weights")} | {"bias": [model.bias]})
 
-    row = sample.coalesce(1).mapInArrow(train, "centre array<double>, scale array<double>, weights array<double>, bias double").collect()[0]
-    return QualityModel(np.array(row.centre), np.array(row.scale), np.array(row.weights), row.bias)
+    for row in sample.coalesce(1).mapInArrow(train, "centre array<double>, scale array<double>, weights array<double>, bias double").collect():
+        return QualityModel(np.array(row.centre), np.array(row.scale), np.array(row.weights), row.bias)
+    return fit([], np.zeros(0))
 
 
 def _logit(p: Column) -> Column:

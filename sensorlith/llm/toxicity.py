@@ -140,8 +140,9 @@ def learn(docs: DataFrame, labels: DataFrame, documents: int = SAMPLE_DOCUMENTS)
         model = fit([t for _, t, _ in rows], np.array([x for *_, x in rows], float))
         yield pa.RecordBatch.from_pydict({"weights": pa.array([model.weights.tobytes()], pa.binary()), "bias": [model.bias]})
 
-    row = sample.coalesce(1).mapInArrow(train, "weights binary, bias double").collect()[0]
-    return ToxicityModel(np.frombuffer(row.weights, np.float32), row.bias)
+    for row in sample.coalesce(1).mapInArrow(train, "weights binary, bias double").collect():
+        return ToxicityModel(np.frombuffer(row.weights, np.float32), row.bias)
+    return fit([], np.zeros(0))
 
 
 def _scored(batch: pa.RecordBatch, model: ToxicityModel) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[list[dict]]]]:
