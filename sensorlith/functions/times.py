@@ -15,7 +15,7 @@ def micros(ts: Column) -> Column:
 
 def seconds_between(a: Column, b: Column) -> Column:
     """b − a in seconds with fraction."""
-    return (micros(b) - micros(a)) / F.lit(1e6)
+    return F.timestamp_diff("MICROSECOND", a.cast("timestamp_ntz"), b.cast("timestamp_ntz")) / F.lit(1e6)
 
 
 def boundaries_between(unit: str, a: Column, b: Column) -> Column:

@@ -5,8 +5,7 @@ at the largest key first. While every key is within ``max_rows`` the plain windo
 Beyond that the rows are range-partitioned by (key, order), so that a long key is cut into
 contiguous parts, and written once to the shared folder. Each operator then works inside
 (key, part) and takes over what crosses a cut from a table with one row per (key, part).
-Of that table only the rows of cut keys are kept, fewer than there are parts, so it is
-broadcast.
+Of that table only the rows of cut keys are kept, fewer than there are parts.
 """
 
 from __future__ import annotations
@@ -95,7 +94,7 @@ def _same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
 def _take_over(s: Series, carry: DataFrame, out: Mapping[str, Column]) -> DataFrame:
     """Add ``out`` columns, which may read ``_c``, the value carried into each (key, part)."""
     names = [f"_k{i}" for i in range(len(s.group_keys))]
-    small = F.broadcast(carry.select(*[F.col(k).alias(n) for k, n in zip(s.group_keys, names)], "_c"))
+    small = carry.select(*[F.col(k).alias(n) for k, n in zip(s.group_keys, names)], "_c")
     on = F.lit(True)
     for k, n in zip(s.group_keys, names):
         on = on & F.col(k).eqNullSafe(F.col(n))

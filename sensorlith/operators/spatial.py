@@ -153,7 +153,7 @@ def lines_within(points: DataFrame, point_id: str, segments: DataFrame, line_id:
     extent = _extent(points, "lat")
     if extent is None:
         return points.select(point_id).join(segments.select(line_id), F.lit(False)).withColumn("distance_m", F.lit(0.0)).select(*out_columns)
-    cell_m = 2.0 * radius_m
+    cell_m = 2.0 * max(radius_m, 1.0)  # cells of some size, also for a radius of nothing
     lat_size, lon_size = _cell_sizes(extent, cell_m)
     places = points.select("lat", "lon").distinct()
     around = F.sequence(F.lit(-1), F.lit(1))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -54,15 +54,20 @@ def create_empty(like: DataFrame, path: str, partition_by: Sequence[str] = ()) -
     like.limit(0).write.mode("ignore").partitionBy(*partition_by).parquet(path)
 
 
-def upsert_table(path: str, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Replace the batch's keys in the stored table.
+def upsert_table(path: str, new: DataFrame, keys: Sequence[str], newest: Sequence[str] = ()) -> DataFrame:
+    """Replace the batch's keys in the stored table. With ``newest``, of old and new rows of a key only the
+    largest by these columns stays, so that a batch that comes late doesn't undo a later one.
 
     The merged rows are written to the shared folder first, so the table is never read and
     overwritten at once, and a lost executor cannot lose rows.
     """
     spark = new.sparkSession
     old = read_table(spark, path)
-    merged = new if old is None else replace_by_key(old, new, keys)
+    if newest:
+        every = new if old is None else old.unionByName(new, allowMissingColumns=True)
+        merged = latest(every, list(keys), [F.col(c) for c in newest])
+    else:
+        merged = new if old is None else replace_by_key(old, new, keys)
     cut(merged).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
@@ -81,13 +86,22 @@ def load_partitions(df: DataFrame, path: str, partition_by: Sequence[str], force
     wanted = df.select(*partition_by).distinct()
     old = read_table(spark, path)
     if old is not None and not force:
-        wanted = wanted.join(old.select(*partition_by).distinct(), list(partition_by), "left_anti")
+        wanted = wanted.join(*_null_safe(wanted, old.select(*partition_by).distinct()), "left_anti")
     wanted = cut(wanted)
     count = wanted.count()
     if count:
-        replace_partitions(df.join(wanted, list(partition_by), "left_semi"), path, partition_by)
+        replace_partitions(df.join(*_null_safe(df, wanted), "left_semi"), path, partition_by)
     return count
 
 
+def _null_safe(df: DataFrame, other: DataFrame) -> tuple[DataFrame, Column]:
+    """``other`` and the condition that its columns equal those of ``df``; nulls are equal."""
+    named = other.toDF(*[f"_p_{c}" for c in other.columns])
+    same = F.lit(True)
+    for c in other.columns:
+        same = same & df[c].eqNullSafe(named[f"_p_{c}"])
+    return named, same
+
+
 def newest_rows(df: DataFrame, time: str, k: int = 10, tie_break: Sequence[str] = ()) -> DataFrame:
     return df.orderBy(F.desc_nulls_last(time), *tie_break).limit(k)

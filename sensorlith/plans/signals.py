@@ -65,6 +65,12 @@ def highpass_coefficients(order: int, cutoff_hz: float, rate_hz: float) -> tuple
     return gain * np.real(np.poly(np.ones(order))), np.real(np.poly(digital))
 
 
+def _after_gap(blocks: Series) -> Series:
+    """``_anew``: the block before is missing, or there is none."""
+    s = shift(blocks, {"_before": F.struct(F.col("block_idx").alias("i"))})
+    return s.with_df(s.df.withColumn("_anew", ~F.coalesce(F.col("_before.i") == F.col("block_idx") - 1, F.lit(False))).drop("_before"))
+
+
 def highpass_energy(blocks: Series, b: np.ndarray, a: np.ndarray) -> DataFrame:
     """Filter each source's samples through (b, a) and square them; state carries over block ends.
 
@@ -72,6 +78,8 @@ def highpass_energy(blocks: Series, b: np.ndarray, a: np.ndarray) -> DataFrame:
     are composed as affine maps; samples of all blocks of a batch advance together.
     """
     n = len(a) - 1
+    # the filter starts anew with a source and after missing blocks, whatever stands before in the task
+    blocks = _after_gap(blocks)
     transition = np.zeros((n, n))
     transition[:, 0] = -a[1:]
     transition[: n - 1, 1:] = np.eye(n - 1)
@@ -92,7 +100,7 @@ def highpass_energy(blocks: Series, b: np.ndarray, a: np.ndarray) -> DataFrame:
     def elements(pdf: pd.DataFrame) -> R.Element:
         _, left, lengths = run(pdf, np.zeros((len(pdf), n)))
         powers = {m: np.linalg.matrix_power(transition, int(m)) for m in np.unique(lengths)}
-        first = (pdf["block_idx"] == 0).to_numpy()[:, None, None]
+        first = pdf["_anew"].to_numpy(bool)[:, None, None]
         return np.where(first, 0.0, np.stack([powers[m] for m in lengths])), left
 
     def compose(first: R.Element, then: R.Element) -> R.Element:
@@ -100,7 +108,7 @@ def highpass_energy(blocks: Series, b: np.ndarray, a: np.ndarray) -> DataFrame:
 
     def emit(state: R.Element, pdf: pd.DataFrame, entering: R.Element) -> pd.DataFrame:
         entered = np.concatenate([entering[1], state[1][:-1]])
-        entered[(pdf["block_idx"] == 0).to_numpy()] = 0.0
+        entered[pdf["_anew"].to_numpy(bool)] = 0.0
         y, _, lengths = run(pdf, entered)
         return pdf[["block_idx"]].assign(energy=[(v[:m] * v[:m]).tolist() for v, m in zip(y, lengths)])
 
@@ -122,8 +130,7 @@ def _trailing_mean(energy: pd.Series, before: pd.Series, width: pd.Series) -> pd
         if past is not None and m > 1:
             past = np.asarray(past)[-(m - 1) :]
             tail[len(tail) - len(past) :] = past
-        sums = np.concatenate([[0.0], np.cumsum(np.concatenate([tail, now]))])
-        out.append((sums[m:] - sums[:-m]) / m)
+        out.append(np.convolve(np.concatenate([tail, now]), np.full(m, 1.0 / m), "valid"))
     return pd.Series(out)
 
 
@@ -132,7 +139,8 @@ def envelope(blocks: Series, width: int) -> Series:
 
     Reaches into one previous block; wider means go through ``trailing_mean`` on sample rows.
     """
-    s = shift(blocks, {"_past": F.col("energy")})
+    s = shift(_after_gap(blocks), {"_past": F.col("energy")})
+    s = s.with_df(s.df.withColumn("_past", F.when(~F.col("_anew"), F.col("_past"))).drop("_anew"))
     short = F.when(F.size("_past") < width - 1, F.raise_error(F.lit("blocks are shorter than the envelope window")))
     env = _trailing_mean("energy", "_past", F.lit(width))
     return s.with_df(s.df.withColumn("envelope", F.when(F.col("_past").isNull() | short.isNull(), env)).drop("_past"))

@@ -300,15 +300,16 @@ def imu_stationary_bias(spark, sf):
 
 def filtered(spark, sf):
     """Runs with fixed, adaptive and Kalman estimates side by side."""
-    s = I.run_series(cut(processed(spark, sf)))
-    row = ["time_sec"]
+    s = number(I.run_series(cut(processed(spark, sf))), "_n")
+    row = ["_n"]  # samples may share a time
     df = s.result()
     for est in (
         FI.complementary(s, row),
         FI.adaptive(s, row),
         FI.kalman_angle_bias(s, row, "gyro_y_calibrated", "pitch_rad"),
     ):
-        df = df.join(est, ["run_id", "time_sec"])
+        df = df.join(est, ["run_id", "_n"])
+    df = df.drop("_n")
     for n in ("fused_roll", "fused_pitch", "adaptive_fused_roll", "adaptive_fused_pitch", "kalman_angle"):
         df = df.withColumn(f"{n}_deg", F.degrees(f"{n}_rad"))
     return df.withColumn("kalman_bias_deg_s", F.degrees("kalman_bias_rad_s"))
@@ -401,8 +402,8 @@ def imu_kalman_sweep(spark, sf):
 
 def oriented(spark, sf):
     """Runs with quaternion orientation, world acceleration and angle deltas."""
-    s = I.run_series(cut(processed(spark, sf)))
-    df = s.result().join(FI.quaternion_track(s, ["time_sec"]), ["run_id", "time_sec"])
+    s = number(I.run_series(cut(processed(spark, sf))), "_n")
+    df = s.result().join(FI.quaternion_track(s, ["_n"]), ["run_id", "_n"]).drop("_n")
     s = I.run_series(cut(I.quaternion_columns(df)))
     return I.deltas(s, ["roll_deg", "pitch_deg", "gyro_roll_deg", "gyro_pitch_deg", "quat_roll_deg", "quat_pitch_deg", "quat_yaw_deg"])
 

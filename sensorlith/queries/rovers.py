@@ -239,7 +239,7 @@ def map_inflated(spark, sf):
     return G.inflated(grid(spark, sf), 1)
 
 
-@query("map_traversable", f"WITH RECURSIVE {GRID} SELECT a.map_id, a.r AS row, a.c AS col, b.r AS next_row, b.c AS next_col FROM cell a JOIN cell b ON a.map_id = b.map_id AND abs(a.r - b.r) + abs(a.c - b.c) = 1 WHERE a.v = 0 AND b.v = 0")
+@query("map_traversable", f"WITH {GRID.split('fr AS')[0].rstrip().rstrip(',')}, p AS (SELECT map_id, r, c, r + dr AS nr, c + dc AS nc FROM cell, o4 WHERE v = 0) SELECT p.map_id, p.r AS row, p.c AS col, b.r AS next_row, b.c AS next_col FROM p JOIN cell b ON b.map_id = p.map_id AND b.r = p.nr AND b.c = p.nc WHERE b.v = 0")
 def map_traversable(spark, sf):
     return G.traversable(grid(spark, sf))
 

@@ -15,10 +15,12 @@ from sensorlith.queries.signals import CFG, DETECT, blocks
 from sensorlith.queries.speeds import settle
 from sensorlith.registry import query
 from sensorlith.streaming import stateful as SF
-from sensorlith.streaming.runs import folder_stream, replay
-from sensorlith.session import work_path
+from sensorlith.streaming.runs import closing_row, replay
 
 c = F.col
+DAY = 86_400
+#: a time after all others, for rows that close a stream
+LAST = "2200-01-01 00:00:00"
 
 
 def halves(df, time):
@@ -45,24 +47,35 @@ def stream_slip_alerts(spark, sf):
 
 @query(
     "stream_guarded_commands",
-    f"""WITH {EVENTS}, {SCANS}, g AS (SELECT *, sts IS NULL OR ts - sts > {TIMEOUT_S} AS stale, coalesce(blocked, true) AS fb FROM seen)
-        SELECT robot_id, {settle('ts', 6)} AS ts, {settle('CASE WHEN (stale OR fb) AND linear_x > 0 THEN 0 ELSE linear_x END', 6)} AS linear_x, {settle('angular_z', 6)} AS angular_z FROM g""",
+    f"""WITH {EVENTS}, {SCANS}, g AS (SELECT *, sts IS NULL OR ts - sts > {TIMEOUT_S} AS stale, coalesce(blocked, true) AS fb FROM seen),
+        nx AS (SELECT robot_id, ts, blocked, lag(blocked, 1, true) OVER w AS was, lead(ts) OVER w AS n FROM blk WINDOW w AS (PARTITION BY robot_id ORDER BY ts)),
+        st AS (SELECT robot_id, ts FROM nx WHERE blocked AND NOT was UNION ALL SELECT robot_id, ts + {TIMEOUT_S} FROM nx WHERE n IS NULL OR n - ts > {TIMEOUT_S}),
+        o AS (SELECT robot_id, 'command' AS kind, ts, CASE WHEN (stale OR fb) AND linear_x > 0 THEN 0 ELSE linear_x END AS x, angular_z AS z FROM g
+              UNION ALL SELECT CAST(robot_id AS INTEGER), 'stop', ts, 0, 0 FROM st)
+        SELECT robot_id, kind, {settle('ts', 6)} AS ts, {settle('x', 6)} AS linear_x, {settle('z', 6)} AS angular_z FROM o""",
 )
 def stream_guarded_commands(spark, sf):
     scans = distances(spark, sf).select(c("robot_id").cast("int").alias("robot_id"), "ts", F.lit("scan").alias("kind"), "front", F.lit(0.0).alias("linear_x"), F.lit(0.0).alias("angular_z"))
     orders = commands(spark, sf).select("robot_id", "ts", F.lit("command").alias("kind"), F.lit(None).cast("double").alias("front"), "linear_x", "angular_z")
-    out = replay(halves(scans.unionByName(orders), "ts"), lambda s: SF.guard(s, 0.2, 0.3, TIMEOUT_S), "guard")
-    return out.filter(c("kind") == "command").select("robot_id", *[settled(c(n), 6).alias(n) for n in ("ts", "linear_x", "angular_z")])
+    # the clock of the robots starts at 0, where Spark takes rows as late: a day later it is
+    messages = scans.unionByName(orders).withColumn("ts", c("ts") + DAY).withColumn("at", F.timestamp_seconds("ts"))
+    end = closing_row(messages, ts=F.lit(7e9), kind=F.lit("command"), linear_x=F.lit(0.0), angular_z=F.lit(0.0), at=F.timestamp_seconds(F.lit(7e9)))
+    out = replay(halves(messages, "ts"), lambda s: SF.guard(s, "at", "1 hour", 0.2, 0.3, TIMEOUT_S), "guard", closing=end)
+    out = out.filter("robot_id IS NOT NULL").withColumn("ts", c("ts") - DAY)
+    return out.select("robot_id", "kind", *[settled(c(n), 6).alias(n) for n in ("ts", "linear_x", "angular_z")])
 
 
 @query(
     "stream_signal_events",
-    f"""WITH {DETECT}, last AS (SELECT source, max(block_idx) AS lb FROM blk GROUP BY source)
+    f"""WITH {DETECT}
         SELECT source, trig AS trigger_sample, {sql_out({'score': 'score', 'peak': 'peak', 'threshold_high': 'hi'}, 7)}, greatest(trig - 32, 0) AS clip_start_sample,
-        trig + 96 AS clip_end_sample, 0 AS lost_samples FROM ev JOIN last USING (source) WHERE (lb + 1) * 64 >= trig + 96""",
+        ce AS clip_end_sample, 0 AS lost_samples FROM ev""",
 )
 def stream_signal_events(spark, sf):
-    out = replay(halves(blocks(spark, sf), "block_idx"), lambda s: SF.detector(s, CFG), "signal")
+    rows = blocks(spark, sf)
+    ends = rows.groupBy("source").agg((F.max("block_idx") + 1).cast(rows.schema["block_idx"].dataType).alias("block_idx"))
+    ends = ends.select("source", "block_idx", *[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name not in ("source", "block_idx")])
+    out = replay(halves(rows, "block_idx"), lambda s: SF.detector(s, CFG), "signal", closing=ends)
     return out.select(
         "source", "trigger_sample", *[settled(c(n), 7).alias(n) for n in ("score", "peak", "threshold_high")], "clip_start_sample", "clip_end_sample", "lost_samples"
     )
@@ -88,23 +101,33 @@ def stream_once_per_version(spark, sf):
 def stream_sliding_report(spark, sf):
     done = ST.status_intervals(ST.classified(station_status(spark, sf)), MAX_GAP_MIN, ("snapshot_id",))
     rows = done.select("status_class", c("duration_sec").cast("long").alias("duration_sec"), c("interval_end_utc").cast("timestamp").alias("interval_end_utc"))
-    root = work_path(spark, "sliding")
-    rows.write.parquet(f"{root}/in")
-    stream = SF.sliding_report(folder_stream(spark, f"{root}/in", rows.schema), "24 hours", "6 hours", "1 hour")
-    q = stream.writeStream.format("memory").queryName("sliding_report").outputMode("complete").option("checkpointLocation", f"{root}/c").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table("sliding_report").select(c("start").cast("timestamp_ntz").alias("start"), c("end").cast("timestamp_ntz").alias("end"), "status_class", "seconds", "interval_count")
+    end = closing_row(rows, interval_end_utc=F.lit(LAST).cast("timestamp"))
+    out = replay([rows], lambda s: SF.sliding_report(s, "24 hours", "6 hours", "1 hour"), "sliding", closing=end)
+    return out.select(c("start").cast("timestamp_ntz").alias("start"), c("end").cast("timestamp_ntz").alias("end"), "status_class", "seconds", "interval_count")
 
 
-@query("stream_collection_spans")
+@query(
+    "stream_collection_spans",
+    f"""WITH {STATUS}, g AS (SELECT station_id, source_last_updated_utc AS t,
+          coalesce(source_last_updated_utc - lag(source_last_updated_utc) OVER w > INTERVAL 24 HOUR, true) AS opens FROM status WINDOW w AS (PARTITION BY station_id ORDER BY source_last_updated_utc)),
+        n AS (SELECT station_id, t, sum(opens::INT) OVER (PARTITION BY station_id ORDER BY t, opens DESC ROWS UNBOUNDED PRECEDING) AS i FROM g)
+        SELECT station_id, min(t) AS start, max(t) + INTERVAL 24 HOUR AS end, count(*) AS snapshots FROM n GROUP BY station_id, i""",
+)
 def stream_collection_spans(spark, sf):
-    """Stretches without a gap of a day; those still open at the watermark wait in state."""
+    """Stretches without a gap of a day; a last row of a far time closes all of them."""
     rows = station_status(spark, sf).select("station_id", c("source_last_updated_utc").cast("timestamp").alias("source_last_updated_utc"))
-    return replay([rows], lambda s: SF.collection_spans(s, "24 hours", "1 hour"), "spans")
+    end = closing_row(rows, source_last_updated_utc=F.lit(LAST).cast("timestamp"))
+    out = replay([rows], lambda s: SF.collection_spans(s, "24 hours", "1 hour"), "spans", closing=end)
+    return out.select("station_id", c("start").cast("timestamp_ntz").alias("start"), c("end").cast("timestamp_ntz").alias("end"), "snapshots")
 
 
-@query("stream_replay_order")
+@query(
+    "stream_replay_order",
+    f"""WITH {LOG}, o AS (SELECT run_id, seq, t, row_number() OVER (PARTITION BY run_id, seq ORDER BY t) > 1 AS again, max(seq) OVER (PARTITION BY run_id ORDER BY t, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM lg)
+        SELECT run_id, t AS event_time_s, seq AS sequence, again AS is_duplicate, CASE WHEN again OR h IS NULL THEN 0 ELSE greatest(seq - h - 1, 0) END AS missing_before FROM o""",
+)
 def stream_replay_order(spark, sf):
-    """Events released in order once the watermark has passed them; checked against the batch order in the tests."""
+    """Events released in order once the watermark has passed them; a last row of a far time lets all of them out."""
     log = run_log(spark, sf).select("run_id", "sequence", "event_time_s", F.timestamp_seconds("event_time_s").alias("at"))
-    return replay(halves(log, "event_time_s"), lambda s: SF.in_order(s, "at", "1 hour"), "order")
+    end = closing_row(log, sequence=F.lit(0), event_time_s=F.lit(7e9), at=F.timestamp_seconds(F.lit(7e9)))
+    return replay(halves(log, "event_time_s"), lambda s: SF.in_order(s, "at", "1 hour"), "order", closing=end)

@@ -179,7 +179,7 @@ def snapshot_stream_tables(spark, sf):
     bike_documents(spark, sf).write.partitionBy("snapshot").json(f"{root}/in")
     stream = spark.readStream.schema(BIKE_SNAPSHOT).option("recursiveFileLookup", "true").json(f"{root}/in")
     docs = SN.identified(stream, F.regexp_extract(c("_metadata.file_path"), r"snapshot=([^/]+)/", 1))
-    tables = {"manifest": (SN.bike_manifest, ["snapshot_id"]), "stations": (SN.bike_stations, ["station_id"])}
+    tables = {"manifest": (SN.bike_manifest, ["snapshot_id"]), "stations": (SN.bike_stations, ["station_id"], ["last_seen_at_utc", "source_snapshot_id"])}
     keep_tables(docs, tables, f"{root}/tables", f"{root}/checkpoint")
     counts = {n: spark.read.parquet(f"{root}/tables/{n}").select(F.count(F.lit(1))).scalar() for n in tables}
     return spark.read.parquet(f"{root}/tables/manifest").agg(F.count(F.lit(1)).alias("manifests")).withColumn("stations", counts["stations"])

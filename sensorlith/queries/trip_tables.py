@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorlith.functions.times import from_micros, micros
 from sensorlith.session import work_path
 
 
@@ -27,7 +26,7 @@ def raw_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     shift = (c("l_orderkey") * 37 + c("l_linenumber") * 11) % 4320 - 1440
     length = (c("l_partkey") * 7 + c("l_suppkey") * 13 + c("l_linenumber")) % 1600 - 60
-    later = lambda minutes: from_micros(micros(c("o_orderdate")) + minutes * 60_000_000)
+    later = lambda minutes: F.timestamp_add("MINUTE", minutes, c("o_orderdate"))
     fare = F.when((c("l_returnflag") == "R") & (c("l_discount") == 0), -c("l_extendedprice")).otherwise(c("l_extendedprice"))
     return joined.select(
         F.when(c("l_linestatus") == "O", "green").otherwise("yellow").alias("taxi_type"),

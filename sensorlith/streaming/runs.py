@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -39,16 +40,25 @@ def drain_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], c
     return q
 
 
-def replay(pieces: list[DataFrame], build: Callable[[DataFrame], DataFrame], name: str, mode: str = "append") -> DataFrame:
-    """Feed the pieces to a stream one after the other, as files that arrive, and read its output."""
+def replay(pieces: list[DataFrame], build: Callable[[DataFrame], DataFrame], name: str, mode: str = "append", closing: DataFrame | None = None) -> DataFrame:
+    """Feed the pieces to a stream one after the other, as files that arrive, and read its output.
+
+    ``closing`` comes last: rows that end the sources, or one of a time so late that the watermark passes all others.
+    """
     spark = pieces[0].sparkSession
     root = work_path(spark, name)
-    for piece in pieces:
+    for piece in [*pieces, *([closing.select(*pieces[0].columns)] if closing is not None else [])]:
         piece.write.mode("append").parquet(f"{root}/in")
-        drain(build(folder_stream(spark, f"{root}/in", piece.schema)), f"{root}/out", f"{root}/checkpoint", mode)
+        drain(build(folder_stream(spark, f"{root}/in", pieces[0].schema)), f"{root}/out", f"{root}/checkpoint", mode)
     return spark.read.parquet(f"{root}/out")
 
 
+def closing_row(df: DataFrame, **values: Column) -> DataFrame:
+    """One row with the columns of ``df``: the given values, null for the rest."""
+    blank = {f.name: values.get(f.name, F.lit(None)).cast(f.dataType) for f in df.schema}
+    return df.sparkSession.range(1).select(*[v.alias(n) for n, v in blank.items()])
+
+
 def budget(progress: list[dict], seconds_per_row: float) -> list[dict]:
     """Per batch: rows, milliseconds, and the share of real time the batch used up."""
     out = []

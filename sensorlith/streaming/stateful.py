@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,48 +74,95 @@ def slip_alerts(samples: DataFrame, threshold_m: float = ALERT_M, consecutive: i
 
 
 def guard(
-    messages: DataFrame, stop_m: float = STOP_DISTANCE_M, resume_m: float = RESUME_DISTANCE_M, timeout_s: float = SCAN_TIMEOUT_S
+    messages: DataFrame, time: str, lateness: str, stop_m: float = STOP_DISTANCE_M, resume_m: float = RESUME_DISTANCE_M, timeout_s: float = SCAN_TIMEOUT_S
 ) -> DataFrame:
     """Scans and commands of each robot in one stream to what is sent on.
 
-    Input: robot_id, ts, kind ('scan' or 'command'), front, linear_x, angular_z. Output kinds:
-    'command' (guarded) and 'stop' (newly blocked, or the scans have gone stale).
+    Input: robot_id, ts, kind ('scan' or 'command'), front, linear_x, angular_z, and ``time``, the same as ``ts``.
+    Output kinds: 'command' (guarded) and 'stop' (newly blocked, or the scans have gone stale). Messages wait until
+    the watermark has passed them, and are taken in order. A timer in event time sends the stop of a robot that has
+    fallen silent.
     """
 
     def step(key, batches, state):
-        rows = _ordered(batches, ["ts", "kind"]).iloc[:]
-        rows = rows.sort_values(["ts", "kind"], ascending=[True, False], kind="stable")
-        blocked, last_scan, told_stale = state.get if state.exists else (True, None, False)
+        waiting = list(zip(*state.get[3:])) if state.exists else []
+        blocked, last_scan, told_stale = state.get[:3] if state.exists else (True, None, False)
+        if not state.hasTimedOut:
+            for pdf in batches:
+                columns = (pdf[c] for c in ("ts", "kind", "front", "linear_x", "angular_z"))
+                waiting += [(float(t), k, None if f is None or np.isnan(f) else float(f), float(x), float(z)) for t, k, f, x, z in zip(*columns)]
+        limit = state.getCurrentWatermarkMs() / 1000.0
+        waiting.sort(key=lambda m: (m[0], m[1] == "command"))
+        ready = [m for m in waiting if m[0] <= limit]
+        waiting = waiting[len(ready) :]
         sent = []
-        for ts, kind, front, linear, angular in rows[["ts", "kind", "front", "linear_x", "angular_z"]].itertuples(index=False, name=None):
-            if last_scan is not None and ts - last_scan > timeout_s and not told_stale:
+
+        def silent_until(now: float) -> None:
+            nonlocal told_stale
+            if last_scan is not None and now - last_scan > timeout_s and not told_stale:
                 told_stale = True
                 sent.append((key[0], last_scan + timeout_s, "stop", 0.0, 0.0))
+
+        for ts, kind, front, linear, angular in ready:
+            silent_until(ts)
             if kind == "scan":
                 was = blocked
-                if front is None or np.isnan(front) or front <= stop_m:
+                if front is None or front <= stop_m:
                     blocked = True
                 elif front >= resume_m:
                     blocked = False
-                last_scan, told_stale = float(ts), False
+                last_scan, told_stale = ts, False
                 if blocked and not was:
                     sent.append((key[0], ts, "stop", 0.0, 0.0))
             else:
                 stale = last_scan is None or ts - last_scan > timeout_s
                 sent.append((key[0], ts, "command", 0.0 if (blocked or stale) and linear > 0 else linear, angular))
-        state.update((bool(blocked), last_scan, bool(told_stale)))
+        silent_until(limit)
+        state.update((bool(blocked), last_scan, bool(told_stale), *([m[i] for m in waiting] for i in range(5))))
+        timers = [m[0] for m in waiting[:1]] + ([last_scan + timeout_s] if last_scan is not None and not told_stale else [])
+        if timers:
+            state.setTimeoutTimestamp(max(int(min(timers) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(sent, columns=["robot_id", "ts", "kind", "linear_x", "angular_z"])
 
     key_type = messages.schema["robot_id"].dataType.simpleString()
-    return messages.groupBy("robot_id").applyInPandasWithState(
-        step,
-        f"robot_id {key_type}, ts double, kind string, linear_x double, angular_z double",
-        "blocked boolean, last_scan double, told_stale boolean",
-        "append",
-        GroupStateTimeout.NoTimeout,
+    return (
+        messages.withWatermark(time, lateness)
+        .groupBy("robot_id")
+        .applyInPandasWithState(
+            step,
+            f"robot_id {key_type}, ts double, kind string, linear_x double, angular_z double",
+            "blocked boolean, last_scan double, told_stale boolean, times array<double>, kinds array<string>, fronts array<double>, linear array<double>, angular array<double>",
+            "append",
+            GroupStateTimeout.EventTimeTimeout,
+        )
     )
 
 
+class Ranges:
+    """Whole numbers seen, as sorted ranges that neither overlap nor touch: as many as the log has gaps."""
+
+    def __init__(self, lows: list[int], highs: list[int]) -> None:
+        self.lows, self.highs = list(lows), list(highs)
+
+    def add(self, value: int) -> bool:
+        """Whether the number is new."""
+        at = bisect_right(self.lows, value)
+        if at and value <= self.highs[at - 1]:
+            return False
+        joins_low, joins_high = at > 0 and self.highs[at - 1] == value - 1, at < len(self.lows) and self.lows[at] == value + 1
+        if joins_low and joins_high:
+            self.highs[at - 1] = self.highs.pop(at)
+            self.lows.pop(at)
+        elif joins_low:
+            self.highs[at - 1] = value
+        elif joins_high:
+            self.lows[at] = value
+        else:
+            self.lows.insert(at, value)
+            self.highs.insert(at, value)
+        return True
+
+
 def in_order(events: DataFrame, time: str, lateness: str) -> DataFrame:
     """Late and mixed-up events (run_id, sequence, event_time_s) in order per run.
 
@@ -124,7 +172,7 @@ def in_order(events: DataFrame, time: str, lateness: str) -> DataFrame:
 
     def step(key, batches, state):
         buffer = list(zip(*state.get[:2])) if state.exists else []
-        seen, highest = (set(state.get[2]), state.get[3]) if state.exists else (set(), None)
+        seen, highest = (Ranges(*state.get[2:4]), state.get[4]) if state.exists else (Ranges([], []), None)
         if not state.hasTimedOut:
             for pdf in batches:
                 buffer += list(pdf[["event_time_s", "sequence"]].itertuples(index=False, name=None))
@@ -133,13 +181,12 @@ def in_order(events: DataFrame, time: str, lateness: str) -> DataFrame:
         waiting = sorted(b for b in buffer if b[0] > limit)
         out = []
         for t, q in ready:
-            again = q in seen
+            again = not seen.add(int(q))
             gap = 0 if again or highest is None else max(0, q - highest - 1)
             if not again:
-                seen.add(q)
                 highest = q if highest is None else max(highest, q)
             out.append((key[0], t, q, again, gap))
-        state.update(([float(t) for t, _ in waiting], [int(q) for _, q in waiting], sorted(seen)[-10_000:], highest))
+        state.update(([float(t) for t, _ in waiting], [int(q) for _, q in waiting], seen.lows, seen.highs, None if highest is None else int(highest)))
         if waiting:
             state.setTimeoutTimestamp(max(int(waiting[0][0] * 1000) + 1, int(limit * 1000) + 1))
         yield pd.DataFrame(out, columns=["run_id", "event_time_s", "sequence", "is_duplicate", "missing_before"])
@@ -151,7 +198,7 @@ def in_order(events: DataFrame, time: str, lateness: str) -> DataFrame:
         .applyInPandasWithState(
             step,
             f"run_id {key_type}, event_time_s double, sequence long, is_duplicate boolean, missing_before long",
-            "times array<double>, sequences array<long>, seen array<long>, highest long",
+            "times array<double>, sequences array<long>, seen_from array<long>, seen_to array<long>, highest long",
             "append",
             GroupStateTimeout.EventTimeTimeout,
         )
@@ -188,8 +235,8 @@ def detector(blocks: DataFrame, cfg: Detector, history_sec: float = 10.0) -> Dat
 
     State per source: detector, energies the envelope reaches back to, the last seconds of
     samples, and events whose clip is not complete yet. A clip is sent when its last sample
-    has come; several events may wait. ``lost_samples`` tells how much of a clip had already
-    left the history.
+    has come, or when the source ends: a last row without samples says so. Several events may
+    wait. ``lost_samples`` tells how much of a clip had already left the history.
     """
     width = cfg.envelope_samples
     keep = int(history_sec * cfg.rate_hz)
@@ -211,10 +258,16 @@ def detector(blocks: DataFrame, cfg: Detector, history_sec: float = 10.0) -> Dat
             machine, tail, history, first, pending = START, np.zeros(width - 1), np.empty(0), 0, []
         sent = []
         for index, samples in rows[["block_idx", "samples"]].itertuples(index=False, name=None):
+            if samples is None:  # the source has ended
+                for trigger, sc, high, pk in pending:
+                    lo, hi = max(0, int(trigger) - pre), min(int(trigger) + post, first + len(history))
+                    clip = history[max(lo - first, 0) : hi - first]
+                    sent.append((key[0], int(trigger), sc, pk, high, lo, hi, hi - lo - len(clip), float(clip.mean())))
+                pending = []
+                continue
             x = np.asarray(samples, dtype=float)
             energy = np.concatenate([tail, x * x])
-            sums = np.concatenate([[0.0], np.cumsum(energy)])
-            env = (sums[width:] - sums[:-width]) / width
+            env = np.convolve(energy, np.full(width, 1.0 / width), "valid")
             tail = energy[len(energy) - (width - 1) :]
             peak, at, score, med, sigma = features(env)
             machine, trace = detector_step(cfg, machine, (index, len(x), peak, at, score, med, sigma, True))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,14 +10,14 @@ from sensorlith.streaming.runs import drain_batches
 
 
 def keep_tables(
-    documents: DataFrame, tables: dict[str, tuple[Callable[[DataFrame], DataFrame], Sequence[str]]], root: str, checkpoint: str
+    documents: DataFrame, tables: dict[str, tuple], root: str, checkpoint: str
 ) -> StreamingQuery:
-    """``tables`` maps a table name to (documents → rows, key columns)."""
+    """``tables`` maps a table name to (documents → rows, key columns) or (…, columns by which the newest row wins)."""
 
     def handle(batch: DataFrame, _: int) -> None:
         batch.persist()
-        for name, (rows, keys) in tables.items():
-            upsert_table(f"{root}/{name}", rows(batch), keys)
+        for name, (rows, keys, *newest) in tables.items():
+            upsert_table(f"{root}/{name}", rows(batch), keys, *newest)
         batch.unpersist()
 
     return drain_batches(documents, handle, checkpoint)

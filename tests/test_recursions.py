@@ -222,3 +222,13 @@ def test_detector_keeps_every_event(spark, cut, request):
         part = x[e.clip_start_sample : e.clip_end_sample]
         want = (np.clip(part - part.mean(), -1, 1) * 32767.0).astype(np.int16)
         np.testing.assert_allclose(np.array(clips[e.event_id]), want, atol=1)
+
+
+def test_highpass_does_not_leak_between_sources(spark):
+    """Source b lacks its first block; what came before it in the task is another source's."""
+    rng = np.random.default_rng(4)
+    rows = [("a", i, (1000 * rng.normal(size=16)).tolist()) for i in range(4)] + [("b", i, [0.0] * 16) for i in (1, 2, 4)]
+    df = spark.createDataFrame(rows, "source string, block_idx long, samples array<double>").coalesce(1)
+    b, a = S.highpass_coefficients(4, 100.0, 1000.0)
+    got = S.highpass_energy(arrange(df, ["source"], ["block_idx"]), b, a).filter("source = 'b'").collect()
+    assert len(got) == 3 and all(v == 0.0 for r in got for v in r["energy"])

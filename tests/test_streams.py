@@ -8,13 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from sensorlith.operators.upserts import last_load_of_version, replace_by_key, upsert_table
+from sensorlith.operators.upserts import last_load_of_version, load_partitions, replace_by_key, upsert_table
 from sensorlith.queries.streams import halves
 from sensorlith.schemas import BIKE_SNAPSHOT
 from sensorlith.session import work_path
 from sensorlith.sources import runlogs, sensors, snapshots, waveforms
 from sensorlith.streaming import stateful
-from sensorlith.streaming.runs import budget, drain, folder_stream, replay
+from sensorlith.streaming.runs import budget, closing_row, drain, folder_stream, replay
 from sensorlith.streaming.tables import keep_tables
 
 
@@ -28,6 +28,64 @@ def test_replay_order_marks_duplicates_and_gaps(spark):
     assert [r["missing_before"] for r in got][:4] == [0, 0, 0, 2]
 
 
+def test_replay_order_forgets_no_number(spark):
+    numbers = [*range(0, 50_000), 5, 49_999, 60_000, 50_000, 5]
+    df = spark.createDataFrame([("r", q, 1000.0 + i) for i, q in enumerate(numbers)], "run_id string, sequence long, event_time_s double")
+    df = df.withColumn("at", F.timestamp_seconds("event_time_s"))
+    end = closing_row(df, sequence=F.lit(0), event_time_s=F.lit(7e9), at=F.timestamp_seconds(F.lit(7e9)))
+    got = replay(halves(df, "event_time_s"), lambda s: stateful.in_order(s, "at", "1 hour"), "numbers-test", closing=end).toPandas().sort_values("event_time_s")
+    assert len(got) == len(numbers) and got["is_duplicate"].tolist()[50_000:] == [True, True, False, False, True]
+    assert not got["is_duplicate"].iloc[:50_000].any() and got["missing_before"].tolist()[50_000:] == [0, 0, 10_000, 0, 0]
+
+
+def test_ranges_of_seen_numbers():
+    random = np.random.default_rng(3)
+    ranges, seen = stateful.Ranges([], []), set()
+    for v in random.integers(0, 300, 600).tolist():
+        assert ranges.add(v) == (v not in seen)
+        seen.add(v)
+    assert {v for lo, hi in zip(ranges.lows, ranges.highs) for v in range(lo, hi + 1)} == seen
+    assert all(b > a + 1 for a, b in zip(ranges.highs, ranges.lows[1:]))
+
+
+def test_silent_robot_is_stopped_by_the_timer(spark):
+    rows = [("a", 1000.0, "scan", 5.0), ("a", 1000.2, "command", None), ("b", 1000.0, "scan", 5.0), ("b", 4000.0, "scan", 5.0), ("b", 9000.0, "scan", 5.0)]
+    df = spark.createDataFrame(rows, "robot_id string, ts double, kind string, front double")
+    df = df.withColumn("linear_x", F.lit(1.0)).withColumn("angular_z", F.lit(0.0)).withColumn("at", F.timestamp_seconds("ts"))
+    got = replay([df.filter("ts < 4000"), df.filter("ts >= 4000")], lambda s: stateful.guard(s, "at", "1 second"), "silent-test")
+    sent = {(r["robot_id"], r["kind"], round(r["ts"], 3), r["linear_x"]) for r in got.collect()}
+    # nothing more comes from a, but the others' time goes on
+    assert {("a", "command", 1000.2, 1.0), ("a", "stop", 1000.5, 0.0), ("b", "stop", 1000.5, 0.0), ("b", "stop", 4000.5, 0.0)} == sent
+
+
+def test_detector_ends_with_its_source(spark):
+    from sensorlith.plans.signals import Detector
+
+    cfg = Detector(rate_hz=1280.0, block=64, calibration_sec=8.0)
+    x = np.random.default_rng(8).normal(0, 0.01, 64 * 202)
+    x[200 * 64 + 10 :] += 1.0
+    rows = [("s", i, x[i * 64 : i * 64 + 64].tolist()) for i in range(202)]
+    df = spark.createDataFrame(rows, "source string, block_idx long, samples array<double>")
+    end = spark.createDataFrame([("s", 202, None)], df.schema)
+    got = replay([df], lambda s: stateful.detector(s, cfg), "detector-end", closing=end).collect()
+    assert [(r["trigger_sample"] // 64, r["clip_end_sample"], r["lost_samples"]) for r in got] == [(200, len(x), 0)]
+
+
+def test_late_batch_does_not_undo_a_later_one(spark):
+    path = work_path(spark, "late-test")
+    rows = lambda *r: spark.createDataFrame(list(r), "k int, v string, seen int")
+    upsert_table(path, rows((1, "new", 2), (2, "x", 1)), ["k"], ["seen"])
+    got = upsert_table(path, rows((1, "old", 1), (2, "y", 3)), ["k"], ["seen"])
+    assert {(r["k"], r["v"]) for r in got.collect()} == {(1, "new"), (2, "y")}
+
+
+def test_partitions_of_null_are_kept(spark):
+    path = work_path(spark, "null-partitions")
+    df = spark.createDataFrame([(1, "a"), (None, "b")], "p int, v string")
+    assert load_partitions(df, path, ["p"]) == 2 and load_partitions(df, path, ["p"]) == 0
+    assert {(r["p"], r["v"]) for r in spark.read.parquet(path).collect()} == {(1, "a"), (None, "b")}
+
+
 def test_detector_state_spans_batches(spark):
     from sensorlith.plans.signals import Detector
 
