@@ -114,7 +114,31 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@_query("op9_licence_scan")
+def _licence_sql() -> str:
+    """The same scan in SQL, over the same fixed sentences and rules."""
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    known = ", ".join(f"({text(licences._normal(s))}, {text(n)})" for n, s in licences.SENTENCES.items())
+    rules = ", ".join(f"({text(n)}, [{', '.join(map(text, r))}])" for n, of in licences.RULES.items() for r in of)
+    return rf"""
+WITH k(norm, id) AS (VALUES {known}), r(licence, rule) AS (VALUES {rules}),
+rr AS (SELECT licence, rule, unnest(rule) AS id, unnest(range(len(rule))) AS i FROM r),
+d AS (SELECT doc_id, string_split_regex(regexp_replace(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.!?;:]+[ 	
+]+', chr(10), 'g'), '[^a-z0-9
+]+', ' ', 'g'), ' ?
+[ 
+]*') AS s FROM documents WHERE text IS NOT NULL),
+x AS (SELECT doc_id, unnest(s) AS t, unnest(range(len(s))) AS place FROM d),
+f AS (SELECT doc_id, place, id, row_number() OVER w AS p, place - lag(place) OVER w AS gap FROM x JOIN k ON trim(t) = norm WINDOW w AS (PARTITION BY doc_id ORDER BY place)),
+m AS (SELECT a.doc_id, rr.licence, min(b.place) AS first_sentence, max(b.place) AS last_sentence, count(*) AS sentences
+      FROM f a JOIN rr o ON o.i = 0 AND o.id = a.id JOIN rr ON rr.licence = o.licence AND rr.rule = o.rule
+      JOIN f b ON b.doc_id = a.doc_id AND b.p = a.p + rr.i AND b.id = rr.id AND (rr.i = 0 OR b.gap <= {licences.GAP + 1})
+      GROUP BY a.doc_id, a.p, rr.licence, rr.rule HAVING count(*) = len(rr.rule))
+SELECT doc_id, licence, first_sentence::INTEGER AS first_sentence, last_sentence::INTEGER AS last_sentence, sentences::INTEGER AS sentences FROM m
+WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.doc_id = m.doc_id AND o.first_sentence <= m.first_sentence AND o.last_sentence >= m.last_sentence AND o.sentences > m.sentences)"""
+
+
+@_query("op9_licence_scan", _licence_sql())
 def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_table(spark, sf_dir, "documents"))
 
