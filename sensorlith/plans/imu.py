@@ -254,10 +254,29 @@ def stationary(s: Series, acc_limit: float = 0.5, gyro_limit: float = 0.1) -> Se
     return s.with_df(out.drop("_rn", "_w", "_mg", "_ma", "_run", "_at", *sums, *[f"_p{c}" for c in sums]))
 
 
-def processed(gyro: DataFrame, acc: DataFrame, gravity: DataFrame, bias_seconds: float) -> DataFrame:
-    """The aligned, calibrated run table with tilt and integrated angles, dt and is_first."""
+def aligned_runs(gyro: DataFrame, acc: DataFrame, gravity: DataFrame) -> DataFrame:
+    """Gyroscope rows with the other sensors at their times."""
     frames = from_zero({"gyro": gyro, "acc": acc, "gravity": gravity})
-    df = align(frames["gyro"], {"acc": (frames["acc"], ACC), "gravity": (frames["gravity"], GRAVITY)})
+    return align(frames["gyro"], {"acc": (frames["acc"], ACC), "gravity": (frames["gravity"], GRAVITY)})
+
+
+def short_runs(gyro: DataFrame, acc: DataFrame, gravity: DataFrame, bias_seconds: float, min_samples: int = 5) -> DataFrame:
+    """Runs that ``processed`` leaves out, with their samples in the bias window: too few to tell the bias."""
+    early = aligned_runs(gyro, acc, gravity).filter(F.col("time_sec") <= bias_seconds).groupBy("run_id").agg(F.count(F.lit(1)).alias("early_samples"))
+    runs = gyro.select("run_id").union(acc.select("run_id")).union(gravity.select("run_id")).distinct()
+    counted = runs.join(early, "run_id", "left").withColumn("early_samples", F.coalesce("early_samples", F.lit(0).cast("long")))
+    return counted.filter(F.col("early_samples") < min_samples)
+
+
+def restless_runs(df: DataFrame) -> DataFrame:
+    """Runs without a stationary row, which ``stationary_bias`` leaves out, with their samples."""
+    counts = df.groupBy("run_id").agg(F.count_if("is_stationary").alias("_still"), F.count(F.lit(1)).alias("total_sample_count"))
+    return counts.filter("_still = 0").drop("_still")
+
+
+def processed(gyro: DataFrame, acc: DataFrame, gravity: DataFrame, bias_seconds: float) -> DataFrame:
+    """The aligned, calibrated run table with tilt and integrated angles, dt and is_first; see ``short_runs`` for the others."""
+    df = aligned_runs(gyro, acc, gravity)
     df = df.withColumn("acc_mag", magnitude(*[F.col(c) for c in ACC])).withColumn("gravity_mag", magnitude(*[F.col(c) for c in GRAVITY]))
     df = cut(df)
     df = tilted(calibrated(df, window_bias(df, bias_seconds)))

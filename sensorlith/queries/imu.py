@@ -298,6 +298,18 @@ def imu_stationary_bias(spark, sf):
     return out(I.stationary_bias(still(spark, sf)), ST_BIAS, "run_id", "stationary_sample_count", "total_sample_count")
 
 
+@query(
+    "imu_rejected_runs",
+    f"""WITH {STILL}, few AS (SELECT u.run_id, count(a.t) FILTER (WHERE a.t <= {BIAS_SEC}) AS n FROM (SELECT DISTINCT run_id FROM smp) u LEFT JOIN aligned a ON a.run_id = u.run_id GROUP BY u.run_id)
+        SELECT run_id, 'too few samples' AS reason, n AS samples FROM few WHERE n < 5
+        UNION ALL SELECT run_id, 'never still', count(*) FROM still GROUP BY run_id HAVING count(*) FILTER (WHERE s) = 0""",
+)
+def imu_rejected_runs(spark, sf):
+    """Every run that a later table lacks, and why."""
+    few = I.short_runs(*sensors(spark, sf), BIAS_SEC).select("run_id", F.lit("too few samples").alias("reason"), c("early_samples").alias("samples"))
+    return few.unionByName(I.restless_runs(still(spark, sf)).select("run_id", F.lit("never still").alias("reason"), c("total_sample_count").alias("samples")))
+
+
 def filtered(spark, sf):
     """Runs with fixed, adaptive and Kalman estimates side by side."""
     s = number(I.run_series(cut(processed(spark, sf))), "_n")
@@ -600,6 +612,21 @@ fin AS (SELECT *, CASE WHEN NOT checked THEN 'ignored' WHEN expected_label IN ('
 CHECKED = {"start_time_sec": "a", "end_time_sec": "b", "dominant_overlap_sec": "top_o", "allowed_overlap_sec": "(CASE WHEN checked THEN h ELSE 0 END)", "match_fraction": "(CASE WHEN checked THEN h / (b - a) END)"}
 
 
+@query(
+    "protocol_rejected",
+    f"""WITH {PROTOCOL}, br AS (SELECT run_id, row_id, CASE WHEN run_id % 2 = 0 AND row_id = 3 THEN a - {D(0.1)} ELSE b END AS b, a,
+          CASE WHEN run_id % 3 = 0 AND row_id = 2 THEN 'unheard of' WHEN run_id % 3 = 1 AND row_id = 1 THEN NULL ELSE expected_label END AS expected_label FROM ex)
+        SELECT run_id, row_id, coalesce(expected_label, '-') AS expected_label, {sql_out({'start_time_sec': 'a', 'end_time_sec': 'b'}, 5)} FROM br
+        WHERE NOT coalesce(b > a AND expected_label IN ({', '.join(repr(n) for n in P.EXPECTED)}), false)""",
+)
+def protocol_rejected(spark, sf):
+    """Protocol rows with a broken rule, some of which are broken here on purpose."""
+    label = F.when((c("run_id") % 3 == 0) & (c("row_id") == 2), "unheard of").when((c("run_id") % 3 != 1) | (c("row_id") != 1), c("expected_label"))
+    end = F.when((c("run_id") % 2 == 0) & (c("row_id") == 3), c("start_time_sec") - 0.1).otherwise(c("end_time_sec"))
+    _, broken = P.usable_rows(expected_rows(spark, sf).withColumns({"expected_label": label, "end_time_sec": end}))
+    return out(broken.fillna("-", ["expected_label"]), ["start_time_sec", "end_time_sec"], "run_id", "row_id", "expected_label", digits=5)
+
+
 def checked(spark, sf):
     rows, _ = P.usable_rows(expected_rows(spark, sf))
     return P.check(rows, cut(merged(spark, sf)), "event_group_clean")
