@@ -118,7 +118,8 @@ class Plan:
         runs = runs.select("sid", "first", F.least(F.col("first") + F.col("count"), F.col("needed")).alias("end"))
         settled = s.join(drawn.groupBy("sid").agg(F.sum("count").alias("drawn")), "sid", "left")
         settled = settled.select("sid", F.coalesce("drawn", F.lit(0).cast("long")).alias("first"), F.col("needed").alias("end"))
-        j = runs.unionByName(settled).where("first < end").select("sid", F.explode(F.expr("sequence(first, end - 1)")).alias("j")).join(s, "sid")
+        runs = runs.unionByName(settled).where("first < end").repartition(max(1, min(shards, 4096)), "sid", "first")
+        j = runs.select("sid", F.explode(F.expr("sequence(first, end - 1)")).alias("j")).join(s, "sid")
         j = j.withColumn("times", F.expr("j div blocks"))
         j = j.withColumn("block", permuted(F.col("j") % F.col("blocks"), F.col("blocks"), F.col("sid"), F.col("times")))
         j = stored(j.select("sid", "j", "times", "block", "blocks", "whole", "rest", "source_size"), "slots")
@@ -140,7 +141,7 @@ class Plan:
         start = F.greatest(F.col("place"), F.col("block") * size)
         end = F.least(F.col("place") + F.col("size"), (F.col("block") + 1) * size)
         cut = cut.select(*self.docs.columns, "block", (start - F.col("place")).alias("begin"), (end - start).alias("length"), (start - F.col("block") * size).alias("in_block"))
-        rows = cut.join(self.slots(), ["sid", "block"], "left")
+        rows = cut.join(self.slots().hint("merge"), ["sid", "block"], "left")  # both grow with the words
         return rows.withColumn("got", F.greatest(F.least(F.col("length"), F.coalesce("take", F.lit(0)) - F.col("in_block")), F.lit(0)))
 
 
