@@ -4,7 +4,8 @@ Chunks are written once, so that several passes see the same ones whatever tasks
 has one row of counters. It is never in one place: each chunk sends the counters that it touches, as gaps
 between their numbers, to the task of a slice, which adds them up and returns to every chunk the merged
 counts of that chunk's own keys. Width grows with the input (``CELLS`` counters for about two million words),
-so the share of keys that share a counter by accident is the same at every size. Counts are never too small.
+so the share of keys that share a counter by accident is the same at every size. Counts are never too small,
+but for one chunk's share of a count, which stops at 255.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from sensorlith.session import work_path
 
 CHUNK_BYTES = 4 << 20
 CELL_BITS = 26
+#: steps of a level in which a count doubles
+LEVELS = 10
 _JUMP = 0xFFFF
 _NO_ID = np.iinfo(np.int64).max
 
@@ -85,7 +88,8 @@ def _cells(gaps: bytes) -> np.ndarray:
 
 
 def sketch_counts(chunks: DataFrame, keys: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], bits: int) -> DataFrame:
-    """For each chunk and slice the merged counts of the chunk's keys, one byte each: floor(log2(count)).
+    """For each chunk and slice the merged counts of the chunk's keys, one byte each: ``LEVELS`` times its binary logarithm,
+    rounded down.
 
     ``keys`` gives a chunk's distinct keys in ascending order and how often each occurs in it."""
 
@@ -110,7 +114,7 @@ def sketch_counts(chunks: DataFrame, keys: Callable[[Chunk], tuple[np.ndarray, n
         first = np.flatnonzero(np.diff(cell, prepend=-1))
         total = np.add.reduceat(count[order], first, dtype=np.int64)
         level = np.empty(len(cell), np.uint8)
-        level[order] = np.repeat(np.log2(total).astype(np.uint8), np.diff(np.append(first, len(cell))))
+        level[order] = np.repeat(np.minimum(LEVELS * np.log2(total), 255).astype(np.uint8), np.diff(np.append(first, len(cell))))
         ends = np.cumsum([len(x) for x in cells])
         return pa.table({"chunk": rows["chunk"], "slice": rows["slice"], "level": pa.array([level[e - len(x) : e].tobytes() for x, e in zip(cells, ends)], pa.binary())})
 

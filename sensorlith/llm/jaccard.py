@@ -7,10 +7,11 @@ Equal sets are one class and are represented once. What is left runs in three st
    shingle of one document is an inverted list of length one and joins nothing. A document needs at least
    ``percent`` of its shingles in longer lists; the others are done.
 2. A partner must share one of the ``n - T + 1`` rarest shingles of a document with ``n``, where ``T`` is the
-   least overlap that links. Only these short lists are posted. In a list, documents of other groups than a
-   centre's are sent to the centre: first the best centre of each document, in a few rounds that join groups
-   after each; then every pair of a list that still lies in two groups and was not compared. So a group of
-   thousands of copies costs about one comparison each, and no link between two groups is lost.
+   least overlap that links. Only these short lists are posted. In a few rounds each document is compared with one
+   partner from another group that its lists propose, and groups that link are joined after each round. At last
+   every pair of a list that still lies in two groups is taken, unless it was compared or the list's shingle comes too
+   late in one of them to be the rarest that the two share. So a group of thousands of copies costs a few
+   comparisons each, and no link between two groups is lost.
 3. A cell holds a centre and up to ``CELL`` documents. There DivideSkip finds those with the required overlap: the
    short inverted lists over the documents are merged with a heap, the long ones are probed by binary search.
 
@@ -38,8 +39,8 @@ from sensorlith.llm.frames import stored
 from sensorlith.llm.words import Words, mix, shingles
 
 CELL = 256
-STAR_ROUNDS = 2
-_SETS = "doc_id long, text_hash long, n long, fp1 long, fp2 long, kept binary, prefix binary"
+SHORT_LIST = 8
+_SETS = "doc_id long, text_hash long, n long, fp1 long, fp2 long, kept binary, prefix binary, places binary"
 
 
 def least_overlap(n: int | np.ndarray, m: int | np.ndarray, percent: int) -> int | np.ndarray:
@@ -89,19 +90,21 @@ def shingle_sets(docs: DataFrame, length: int, percent: int) -> DataFrame:
         shared = np.bincount(s.owner, level > 0, len(s.n)).astype(np.int64)
         least = least_within(s.n, percent)
         at = np.searchsorted(s.owner, np.arange(len(s.n) + 1))
-        kept, prefix = [], []
+        kept, prefix, places = [], [], []
         for i in range(len(s.n)):
             if not s.n[i] or shared[i] < least[i] or s.ids[i] == _NO_ID:
-                kept.append(None)
-                prefix.append(None)
+                for column in (kept, prefix, places):
+                    column.append(None)
                 continue
             a, b = at[i], at[i + 1]
             kept.append(s.value[a:b][level[a:b] > 0].tobytes())
             rare = order[a : a + s.n[i] - least[i] + 1]
-            prefix.append(s.value[rare[level[rare] > 0]].tobytes())
+            posted = np.flatnonzero(level[rare] > 0)
+            prefix.append(s.value[rare[posted]].tobytes())
+            places.append(posted.astype(np.int64).tobytes())
         one, two = s.fingerprints()
         text_hash = np.array([xxhash.xxh64_intdigest(t, 42) for t in s.texts], np.uint64).view(np.int64)
-        return pa.table({"doc_id": id_array(s.ids), "text_hash": text_hash, "n": s.n.astype(np.int64), "fp1": one, "fp2": two, "kept": pa.array(kept, pa.binary()), "prefix": pa.array(prefix, pa.binary())})
+        return pa.table({"doc_id": id_array(s.ids), "text_hash": text_hash, "n": s.n.astype(np.int64), "fp1": one, "fp2": two, "kept": pa.array(kept, pa.binary()), "prefix": pa.array(prefix, pa.binary()), "places": pa.array(places, pa.binary())})
 
     counts = sketch_counts(chunks, keys, bits)
     return stored(chunks.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(fill, _SETS), "sets")
@@ -112,7 +115,7 @@ def divide_skip(query: np.ndarray, members: list[np.ndarray], need: int, mu: flo
 
     Of the inverted lists, the ``L`` longest are left for binary search: whoever has ``need`` values is at least
     ``need - L`` times in the others, which a heap merges."""
-    if need <= 0 or not members:
+    if need <= 0 or not members or not len(query):
         return {}
     value = np.concatenate(members)
     owner = np.repeat(np.arange(len(members)), [len(m) for m in members])
@@ -188,13 +191,20 @@ def _near(n: Column, m: Column, percent: int) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (n > 0)
 
 
+def _first_shared(percent: int) -> Column:
+    """Whether a shared shingle may be the rarest that two linked sets share: from its place on, each set must
+    still have the overlap that links. So late places in long lists, which any two copies of a text share, pair nothing."""
+    least = F.ceil((F.col("n") + F.col("m")) * percent / F.lit(100 + percent))
+    return (F.col("n") - F.col("place") >= least) & (F.col("m") - F.col("centre_place") >= least)
+
+
 def linked_classes(sets: DataFrame, percent: int) -> DataFrame:
     """(id, component) of the class representatives that link with another class."""
     classes = sets.where("prefix IS NOT NULL").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("id"))
     # rows that repeat an id are taken once each: the fingerprints tell them apart
     reps = stored(
         sets.where("prefix IS NOT NULL").join(classes, ["fp1", "fp2", "n"]).where("doc_id = id").dropDuplicates(["fp1", "fp2", "n"])
-        .select(F.xxhash64("fp1", "fp2", "n").alias("id"), F.col("id").alias("doc_id"), "n", "kept", "prefix"), "representatives",
+        .select(F.xxhash64("fp1", "fp2", "n").alias("id"), F.col("id").alias("doc_id"), "n", "kept", "prefix", "places"), "representatives",
     )
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,40 +212,66 @@ def linked_classes(sets: DataFrame, percent: int) -> DataFrame:
             lists = [np.frombuffer(x, np.int64) for x in batch["prefix"].to_pylist()]
             sizes = [len(x) for x in lists]
             yield pa.RecordBatch.from_pydict({
-                "shingle": np.concatenate([np.zeros(0, np.int64), *lists]), "id": np.repeat(batch["id"].to_numpy(), sizes), "n": np.repeat(batch["n"].to_numpy(), sizes),
+                "shingle": np.concatenate([np.zeros(0, np.int64), *lists]), "place": np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in batch["places"].to_pylist())]), "id": np.repeat(batch["id"].to_numpy(), sizes), "n": np.repeat(batch["n"].to_numpy(), sizes),
             })
 
-    posted = reps.select("id", "n", "prefix").mapInArrow(post, "shingle long, id long, n long")
-    lists = posted.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("shingle")
-    posts = stored(posted.join(lists, "shingle"), "posts").withColumn("part", F.col("id"))
-    links, compared = None, None
-    for turn in range(STAR_ROUNDS + 1):
-        open_lists = posts.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("shingle")
-        posts = stored(posts.join(open_lists, "shingle"), "open")
-        if turn < STAR_ROUNDS:
-            centre = posts.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("by"), F.col("id").alias("centre"), F.col("n").alias("m"), F.col("part").alias("centre_part"))).alias("c"))
-            pairs = posts.join(centre.select("shingle", "c.*"), "shingle").where("part <> centre_part").where(_near(F.col("n"), F.col("m"), percent))
-            shared = pairs.groupBy("id", "centre").agg(F.count(F.lit(1)).alias("shared"))
-            pairs = shared.groupBy("id").agg(F.max_by("centre", F.struct("shared", "centre")).alias("centre"))
-        else:
-            other = posts.select("shingle", F.col("id").alias("centre"), F.col("n").alias("m"), F.col("part").alias("centre_part"))
-            pairs = posts.join(other, "shingle").where("part <> centre_part AND id > centre").where(_near(F.col("n"), F.col("m"), percent))
-            pairs = pairs.select("id", "centre").distinct()
+    posted = reps.select("id", "n", "prefix", "places").mapInArrow(post, "shingle long, place long, id long, n long")
+    lists = posted.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    posts = stored(posted.join(lists, "shingle"), "posts")
+    parts, compared = reps.select("id", F.col("id").alias("part")), None
+    for turn, propose in enumerate((_to_centre, _chained, _in_short_lists, _chained, _everyone)):
+        rows = posts.join(parts, "id")
+        open_lists = rows.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("shingle")
+        rows = stored(rows.join(open_lists, "shingle"), "open")
+        posts = rows.drop("part")
+        pairs = propose(rows, turn).where("part <> centre_part").where(_near(F.col("n"), F.col("m"), percent))
+        if propose is _everyone:
+            pairs = pairs.where(_first_shared(percent)).select("id", "centre").distinct()
+        else:  # each document takes the partner that the most lists propose
+            pairs = pairs.groupBy("id", "centre").agg(F.count(F.lit(1)).alias("shared"))
+            pairs = pairs.groupBy("id").agg(F.max_by("centre", F.struct("shared", "centre")).alias("centre"))
         pairs = pairs.select("id", "centre", F.least("id", "centre").alias("low"), F.greatest("id", "centre").alias("high"))
         if compared is not None:
-            pairs = pairs.join(compared.select("low", "high"), ["low", "high"], "left_anti")
+            pairs = pairs.join(compared, ["low", "high"], "left_anti")
         pairs = stored(pairs, "pairs")
-        found = stored(_verified(pairs, reps, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        compared = pairs if compared is None else compared.unionByName(pairs)
-        if turn < STAR_ROUNDS:
-            part = components(links.select(F.col("id").alias("a"), F.col("centre").alias("b")))
-            posts = posts.drop("part").join(part.select("id", F.col("component").alias("part")), "id", "left").withColumn("part", F.coalesce("part", "id"))
-    # in the end components go by the smallest document id
-    groups = components(links.select(F.col("id").alias("a"), F.col("centre").alias("b")))
-    named = reps.select("id", "doc_id").join(groups, "id")
-    smallest = named.groupBy("component").agg(F.min("doc_id").alias("smallest"))
-    return named.join(smallest, "component").select("doc_id", F.col("smallest").alias("component"))
+        compared = pairs.select("low", "high") if compared is None else compared.unionByName(pairs.select("low", "high"))
+        found = _verified(pairs, reps, percent)
+        links = found.join(parts, "id").select(F.col("part").alias("a"), "centre").join(parts.select(F.col("id").alias("centre"), F.col("part").alias("b")), "centre")
+        merged = components(links.select("a", "b")).select(F.col("id").alias("part"), "component")
+        parts = stored(parts.join(merged, "part", "left").select("id", F.coalesce("component", "part").alias("part")), "parts")
+    # components go by the smallest document id in the end
+    named = reps.select("id", "doc_id").join(parts, "id")
+    smallest = named.groupBy("part").agg(F.min("doc_id").alias("smallest"))
+    return named.join(smallest, "part").select("doc_id", F.col("smallest").alias("component"))
+
+
+def _other(rows: DataFrame) -> list[Column]:
+    return [F.col("id").alias("centre"), F.col("n").alias("m"), F.col("part").alias("centre_part")]
+
+
+def _to_centre(rows: DataFrame, turn: int) -> DataFrame:
+    """Everyone in a list with the one that is in the most and longest lists for its size: the likeliest source of copies."""
+    central = rows.groupBy("id").agg((F.sum("k") / F.max("n")).alias("central"))
+    ranked = rows.join(central, "id")
+    centre = ranked.groupBy("shingle").agg(F.max(F.struct("central", "id", "n", "part")).alias("c"))
+    return rows.join(centre.select("shingle", F.col("c.id").alias("centre"), F.col("c.n").alias("m"), F.col("c.part").alias("centre_part")), "shingle")
+
+
+def _in_short_lists(rows: DataFrame, turn: int) -> DataFrame:
+    """All pairs of lists of at most ``SHORT_LIST`` documents."""
+    short = rows.where(F.col("k") <= SHORT_LIST)
+    return short.join(short.select("shingle", *_other(short)), "shingle")
+
+
+def _chained(rows: DataFrame, turn: int) -> DataFrame:
+    """In each list, the pairs where one group's documents end and the next one's begin, in an order that changes each turn."""
+    order = Window.partitionBy("shingle").orderBy(F.xxhash64("part", F.lit(turn)), "part", F.xxhash64("id", F.lit(turn)), "id")
+    return rows.withColumn("last", F.lag(F.struct(*_other(rows))).over(order)).select("shingle", "id", "n", "part", "last.*")
+
+
+def _everyone(rows: DataFrame, turn: int) -> DataFrame:
+    """All pairs of lists that still lie in several groups."""
+    return rows.join(rows.select("shingle", F.col("place").alias("centre_place"), *_other(rows)), "shingle").where("id > centre")
 
 
 def similar_documents(docs: DataFrame, length: int = 5, percent: int = 75) -> DataFrame:
