@@ -23,3 +23,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = work_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a table that ``stored`` wrote, once nothing reads it any more: what came out of it is written."""
+    spark = df.sparkSession
+    for folder in {path.rsplit("/", 1)[0] for path in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

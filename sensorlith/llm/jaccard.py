@@ -35,7 +35,7 @@ from pyspark.sql import Window
 
 from sensorlith.llm.chunks import _NO_ID, Chunk, id_array, levels, read_chunk, sketch_counts, slice_bits, write_chunks
 from sensorlith.llm.components import components
-from sensorlith.llm.frames import stored
+from sensorlith.llm.frames import discard, stored
 from sensorlith.llm.words import Words, mix, shingles
 
 CELL = 256
@@ -107,7 +107,9 @@ def shingle_sets(docs: DataFrame, length: int, percent: int) -> DataFrame:
         return pa.table({"doc_id": id_array(s.ids), "text_hash": text_hash, "n": s.n.astype(np.int64), "fp1": one, "fp2": two, "kept": pa.array(kept, pa.binary()), "prefix": pa.array(prefix, pa.binary()), "places": pa.array(places, pa.binary())})
 
     counts = sketch_counts(chunks, keys, bits)
-    return stored(chunks.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(fill, _SETS), "sets")
+    sets = stored(chunks.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(fill, _SETS), "sets")
+    discard(chunks)
+    return sets
 
 
 def divide_skip(query: np.ndarray, members: list[np.ndarray], need: int, mu: float = 0.01) -> dict[int, int]:
@@ -242,7 +244,9 @@ def linked_classes(sets: DataFrame, percent: int) -> DataFrame:
     # components go by the smallest document id in the end
     named = reps.select("id", "doc_id").join(parts, "id")
     smallest = named.groupBy("part").agg(F.min("doc_id").alias("smallest"))
-    return named.join(smallest, "part").select("doc_id", F.col("smallest").alias("component"))
+    named = stored(named.join(smallest, "part").select("doc_id", F.col("smallest").alias("component")), "linked")
+    discard(reps)
+    return named
 
 
 def _other(rows: DataFrame) -> list[Column]:
@@ -278,8 +282,10 @@ def similar_documents(docs: DataFrame, length: int = 5, percent: int = 75) -> Da
     """doc_id, n_shingles, class_id (smallest id with the same set), component_id (smallest id that links reach)
     and class_size for each row of ``docs``; an empty set is a class of its own."""
     sets = shingle_sets(docs, length, percent)
-    classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     linked = linked_classes(sets, percent)
+    wide, sets = sets, stored(sets.drop("kept", "prefix", "places"), "classes")
+    discard(wide)
+    classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     classes = classes.join(linked.groupBy(F.col("doc_id").alias("class_id")).agg(F.min("component").alias("component")), "class_id", "left")
     rows = sets.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "n", "fp1", "fp2").join(classes, ["fp1", "fp2", "n"], "left")
     some = (F.col("n") > 0) & F.col("doc_id").isNotNull()
