@@ -31,7 +31,7 @@ from sensorlith.session import work_path
 
 END_ID = 1
 SHARD_TOKENS = 2 << 20
-CACHED_WORDS = 700_000
+CACHED_WORDS = 400_000
 
 #: words of these characters are split and encoded the same way with and without their surroundings
 _PLAIN = re.compile(r"[a-zß-öø-ÿ0-9!-&(-/:-@\[-`{-~]+")

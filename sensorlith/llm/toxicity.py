@@ -24,7 +24,7 @@ from sensorlith.llm.words import Words, mix, pieces, texts_of
 
 PREFIXES = (3, 4, 5, 6)
 BUCKET_BITS = 20
-SAMPLE_DOCUMENTS = 12_000
+SAMPLE_DOCUMENTS = 8_000
 OFFENDING = "array<struct<sentence:int,start:int,end:int,score:double>>"
 
 _LETTER = np.zeros(256, bool)
