@@ -164,6 +164,24 @@ def test_decontamination(spark, messy, nothing):
     assert decontaminate.contaminated(df, tests.limit(0)).count() == 0 and decontaminate.keep_clean(df, tests.limit(0)).count() == 7
 
 
+@pytest.mark.parametrize("size", [*range(5, 21), 33])
+def test_decontamination_finds_every_placement(size):
+    """Whichever words the threshold lets a passage replace, it is found; with one more replaced it is not."""
+    width = min(size, 20)
+    item = [f"w{k}" for k in range(size)]
+    items = decontaminate.Items.of([0], [" ".join(item).encode()], 20, 80)
+    start = (size - width) // 2
+    for more in (0, 1):
+        texts = []
+        for gone in combinations(range(width), width // 5 + more):
+            passage = ["x" if k in gone else w for k, w in enumerate(item[start : start + width])]
+            texts.append(" ".join(["a", "b", *passage, "c"]).encode())
+        for at in range(0, len(texts), 5000):
+            part = texts[at : at + 5000]
+            found = items.found(decontaminate.Words(part, lower=True), 20, 80)
+            assert [(t, m, c) for t, _, m, c, _, _ in found] == ([] if more else [(t, width - width // 5, width) for t in range(len(part))])
+
+
 # -- tokens
 
 
