@@ -1,10 +1,14 @@
 """Licence scans by sentence rules, with DataFrame functions only.
 
 Texts are split into sentences and normalised (A-Z in lower case, runs of other characters than letters and digits as one
-space). A sentence that is known gets its identifier, and a document is left with the sequence of identifiers
+space). Marks and line breaks end a sentence; successive lines that only together are a known sentence, as in wrapped texts
+and comments, are one too, unless a mark or a blank line stands between them. A sentence that is known gets its identifier, and a document is left with the sequence of identifiers
 and their places. Rules are ordered lists of identifiers; a rule is found where its sentences follow each other
 with at most ``GAP`` unknown ones between two. Where a longer rule's place covers a shorter one's, the longer stays.
 
+A sentence over several lines has the number of its first line where it starts and of its last where it ends; of unknown
+text each line counts.
+
 Results in special cases: null and empty texts and those without a known sentence have no rows; a known sentence
 that no rule begins with gives none either; repeated rows give their rows each; null ids are scanned and
 reported as null; extra columns are not read.
@@ -12,6 +16,8 @@ reported as null; extra columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +73,7 @@ RULES: dict[str, tuple[tuple[str, ...], ...]] = {
 _SENTENCE_END = "[.!?;:]+[ \t\r\n\f]+"
 _OTHER = "[^a-z0-9\n]+"
 _BREAK = " ?\n[ \n]*"
+_FULL_BREAK = " ?\n ?\n[ \n]*"
 
 
 def _normal(sentence: str) -> str:
@@ -74,18 +81,63 @@ def _normal(sentence: str) -> str:
     return " ".join("".join(c if "a" <= c <= "z" or "0" <= c <= "9" else " " for c in lower).split())
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences in order; empty ones keep their places."""
+#: what a wrapped sentence may have in its first line, and the words of the longest
+_OPENINGS = sorted({" ".join(words[:n]) for words in (_normal(s).split() for s in SENTENCES.values()) for n in range(1, len(words))})
+_LONGEST = max(len(_normal(s).split()) for s in SENTENCES.values())
+
+
+def _marked(text: Column) -> Column:
+    """Normalised text with a line break at each line's end, and two or more at a mark or blank line."""
     folded = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    marked = F.regexp_replace(F.regexp_replace(folded, _SENTENCE_END, "\n"), _OTHER, " ")
-    return F.split(marked, _BREAK)
+    return F.regexp_replace(F.regexp_replace(folded, _SENTENCE_END, "\n\n"), _OTHER, " ")
 
 
-def identified(text: Column) -> Column:
-    """array<struct<place, id>> of the known sentences."""
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value made once for each row: it would be made again wherever it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _wrapped(lines: Column) -> Column:
+    """array<struct<place, end, id>> of the known sentences that go over several lines, the longest at each place."""
+    table = F.array(*(F.struct(F.lit(_normal(s)).alias("norm"), F.lit(name).alias("id")) for name, s in SENTENCES.items()))
+
+    def longest(text: Column, i: Column) -> Column:
+        def here(k: Column) -> Column:
+            size = F.length(k["norm"])
+            breaks = size - F.length(F.translate(F.substring(text["rest"], F.lit(1), size), "\n", ""))
+            return F.struct(size.alias("size"), i.alias("place"), (i + breaks).alias("end"), k["id"].alias("id"))
+
+        fits = F.filter(table, lambda k: text["flat"].startswith(k["norm"]) & F.substring(text["rest"], F.length(k["norm"]) + 1, F.lit(1)).isin("", "\n"))
+        return F.array_max(F.transform(fits, here))
+
+    def at(line: Column, i: Column) -> Column:
+        # the words that may belong to a sentence from here on, with their line breaks and without
+        rest = F.ltrim(F.array_join(F.slice(lines, i + 1, F.lit(_LONGEST)), "\n"), F.lit("|"))
+        both = lambda rest: F.struct(rest.alias("rest"), F.translate(rest, "\n", " ").alias("flat"))
+        return F.when(F.ltrim(line, F.lit("|")).isin(_OPENINGS), _once(_once(rest, both), lambda text: longest(text, i)))
+
+    every = F.filter(F.transform(lines, at), lambda x: x["end"] > x["place"])
+    return F.transform(every, lambda x: F.struct(x["place"].alias("place"), x["end"].alias("end"), x["id"].alias("id")))
+
+
+def _identified(lines: Column) -> Column:
     known = F.create_map(*(F.lit(x) for name, s in SENTENCES.items() for x in (_normal(s), name)))
-    every = F.transform(sentences(text), lambda s, i: F.struct(i.alias("place"), F.element_at(known, F.trim(s)).alias("id")))
-    return F.filter(every, lambda x: x["id"].isNotNull())
+    every = F.transform(lines, lambda s, i: F.struct(i.alias("place"), i.alias("end"), F.element_at(known, F.ltrim(s, F.lit("|"))).alias("id")))
+    single = F.filter(every, lambda x: x["id"].isNotNull())
+
+    def merged(wrapped: Column) -> Column:
+        # what lies within a longer place is a part of it
+        part = lambda x: F.exists(wrapped, lambda w: (w["place"] <= x["place"]) & (w["end"] >= x["end"]) & (w["end"] - w["place"] > x["end"] - x["place"]))
+        return F.when(F.size(wrapped) > 0, F.filter(F.array_sort(F.concat(single, wrapped)), lambda x: ~part(x))).otherwise(single)
+
+    return _once(_wrapped(lines), merged)
+
+
+def identified(text: Column) -> Column:
+    """array<struct<place, end, id>> of the known sentences, with the numbers of their first and last line."""
+    # a line after a full break starts with a bar, which no known sentence has
+    lines = F.split(F.regexp_replace(_marked(text), _FULL_BREAK, "\n|"), _BREAK)
+    return _once(F.transform(lines, lambda s: F.trim(s)), _identified)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -98,9 +150,9 @@ def scan(docs: DataFrame) -> DataFrame:
     runs = F.transform(F.sequence(F.lit(1), F.size("found")), lambda i: F.slice("found", i, F.lit(longest)))
     rows = rows.select("doc_id", F.explode(runs).alias("run")).withColumn("opens", F.col("run")[0]["id"])
     rows = rows.join(F.broadcast(rules), "opens").withColumn("run", F.expr("slice(run, 1, size(rule))"))
-    near = F.forall(F.sequence(F.lit(1), F.size("run")), lambda i: (i == 1) | (F.element_at("run", i)["place"] - F.element_at("run", F.greatest(i - 1, F.lit(1)))["place"] <= GAP + 1))
+    near = F.forall(F.sequence(F.lit(1), F.size("run")), lambda i: (i == 1) | (F.element_at("run", i)["place"] - F.element_at("run", F.greatest(i - 1, F.lit(1)))["end"] <= GAP + 1))
     rows = rows.where((F.col("run")["id"] == F.col("rule")) & near)
-    rows = rows.select("doc_id", "licence", F.col("run")[0]["place"].alias("first_sentence"), F.element_at("run", -1)["place"].alias("last_sentence"), F.size("rule").alias("sentences"))
+    rows = rows.select("doc_id", "licence", F.col("run")[0]["place"].alias("first_sentence"), F.element_at("run", -1)["end"].alias("last_sentence"), F.size("rule").alias("sentences"))
     # longer places first at each start: a later row that ends no further, and is shorter, lies within one before
     before = Window.partitionBy("doc_id").orderBy("first_sentence", F.col("last_sentence").desc(), F.col("sentences").desc()).rowsBetween(Window.unboundedPreceding, -1)
     cover = F.max(F.struct("last_sentence", "sentences")).over(before)

@@ -303,6 +303,34 @@ def test_known_sentences_normalise_to_one(spark):
         assert [x.id for x in r.found] == [r.name], r.name
 
 
+def test_wrapped_licences(spark, messy):
+    """Sentences over several lines, as real files have them, with comment marks, and what must not be joined."""
+    import textwrap
+
+    s = licences.SENTENCES
+    wrap = lambda x, width=60, mark="": textwrap.fill(x, width, initial_indent=mark, subsequent_indent=mark, break_long_words=False)
+    lines = lambda *names: sum(wrap(s[n]).count("\n") + 1 for n in names)
+    mit = "MIT License\n\nCopyright (c) 2020 Some One\n\n" + "\n\n".join(wrap(s[n]) + e for n, e in (("mit-grant", ":"), ("mit-condition", ""), ("as-is", "")))
+    apache = " * Copyright 2020 Some One\n *\n * Licensed under the Apache License, Version\n * 2.0 (the \"License\");\n * you may not use this file except in\n * compliance with the License.\n * You may obtain a copy\n * of the License at\n *\n *     http://www.apache.org/licenses/LICENSE-2.0\n *"
+    gpl = wrap("This program is free software: " + s["gpl3-or-later"], 60, "# ") + "\r\n#\r\n" + wrap(s["gpl-hope"] + "; without more", 60, "# ")
+    bsd = wrap(s["bsd-redistribution"] + ":") + "\n\n1. " + wrap(s["bsd-source"]) + "\n2. " + wrap(s["bsd-binary"]) + "\n3. " + wrap(s["bsd-endorse"]) + "\n"
+    docs = [
+        (1, mit, {("MIT", 2, 1 + lines("mit-grant", "mit-condition", "as-is"), 3)}),
+        (2, apache, {("Apache-2.0", 1, 7, 4)}),
+        (3, gpl, {("GPL-3.0-or-later", 0, gpl.count("\n") - 1 + 1, 3)}),
+        (4, bsd, {("BSD-3-Clause", 0, 2 + lines("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse"), 4)}),
+        (5, "\n".join(s["mit-notice"].split()), {("MIT", 0, 4, 1)}),
+        (6, "Released under\n\nthe MIT License.", set()),
+        (7, "Released under. the MIT License.", set()),
+        (8, "It was released under\nthe MIT License.", set()),
+        (9, "Released under\nthe MIT License of old", set()),
+        (10, "text\nAll rights\nreserved", {("LicenseRef-all-rights-reserved", 1, 2, 1)}),
+    ]
+    df = spark.createDataFrame([(d, t) for d, t, _ in docs], "doc_id long, text string")
+    got = {tuple(r) for r in licences.scan(df).collect()}
+    assert got == {(d, *x) for d, _, of in docs for x in of}
+
+
 # -- classifiers
 
 
