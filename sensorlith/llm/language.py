@@ -77,8 +77,10 @@ class LanguageModel:
             return share, active & False
         share[some], score = _mixture(p, grams.first[some], words[some], np.full((len(some), n), 1 / n), rounds)
         penalty = 0.5 * np.log(np.maximum(words, 2))
-        # most texts are all but of one language; the others give languages up one by one
-        clear = share[some].max(axis=1) > 0.995
+        # most texts lose less than one penalty if only one language is left, so no step of the selection would stop before;
+        # the others give languages up one by one
+        likely = p[np.arange(len(p)), np.repeat(share[some].argmax(axis=1), words[some])]
+        clear = score - np.add.reduceat(np.log(likely + 1e-300), grams.first[some]) <= penalty[some]
         active[some[clear]] = share[some[clear]] == share[some[clear]].max(axis=1, keepdims=True)
         todo, best = some[~clear], score[~clear] - n * penalty[some[~clear]]
         for _ in range(n - 1):

@@ -392,6 +392,17 @@ def test_language_sets(spark, messy, nothing):
     assert {r.lang_pred for r in language.identify(both, none).collect()} == {"und"}
 
 
+def test_language_sets_of_long_texts():
+    """A language of a very small share stays if the likelihood gains more from it than the penalty."""
+    teach = [b"abab baba abba", b"xyxy yxyx xyyx", b"cdcd dcdc cddc"]
+    counts = np.stack([np.bincount(language.Grams([t]).grams, minlength=1 << language.GRAM_BITS) for t in teach], axis=1)
+    model = language.LanguageModel(["aa", "bb", "cc"], np.log((counts + 0.01) / (counts + 0.01).sum(axis=0)))
+    texts = [b"abab " * 20_000 + b"xyxy " * 60, b"abab " * 20_000, b"abab " * 100 + b"cdcd " * 100, b""]
+    share, active = model.proportions(language.Grams(texts))
+    assert active.tolist() == [[True, True, False], [True, False, False], [True, False, True], [False] * 3]
+    assert abs(share[0, 1] - 60 / 20_060) < 1e-3
+
+
 def test_quality(spark, messy, nothing):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = quality.learn(docs, labels)
