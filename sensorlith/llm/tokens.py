@@ -68,7 +68,7 @@ class Encoder:
         self.parts: dict[str, bytes] = _Table(self._part)
 
     def __call__(self, text: str) -> bytes:
-        if not self.by_word:
+        if not self.by_word or "<|" in text:  # special tokens are looked for in the text as it stands
             return self._whole(text)
         try:
             text.encode("latin-1")

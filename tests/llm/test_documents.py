@@ -220,6 +220,15 @@ def test_encoder_by_word():
         assert np.frombuffer(encode(text), encode.kind).tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
+def test_encoder_looks_for_special_tokens_in_the_text_as_it_stands():
+    from tokenizers import Tokenizer
+
+    spec = open(public_tokenizers.path("word_bpe_49k.json")).read()
+    whole, encode = Tokenizer.from_str(spec), tokens.Encoder(spec)
+    for text in ("<|ENDOFTEXT|>", "a <|EndOfText|> b", "É<|STARTOFTEXT|>", "<|endoftext|> A <|EndOfText|>", "Σ <|ENDOFTEXT|>"):
+        assert np.frombuffer(encode(text), encode.kind).tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
 # -- mixture
 
 
