@@ -77,6 +77,11 @@ class Encoder:
             pass
         return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
+    def forget(self) -> None:
+        """Free the tables: a worker that has encoded runs other operators next."""
+        self.words.clear()
+        self.parts.clear()
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
@@ -144,16 +149,19 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, end
             codes.clear()
             return pa.RecordBatch.from_pylist([row])
 
-        for batch in batches:
-            for i, text in zip(batch["doc_id"].fill_null(_NO_ID).to_pylist(), batch["text"]):
-                code = encode(text.as_py() or "") + end
-                ids.append(i)
-                codes.append(code)
-                size += len(code) // encode.kind.itemsize
-                if size >= shard_tokens:
-                    yield flush()
-        if ids:
-            yield flush()
+        try:
+            for batch in batches:
+                for i, text in zip(batch["doc_id"].fill_null(_NO_ID).to_pylist(), batch["text"]):
+                    code = encode(text.as_py() or "") + end
+                    ids.append(i)
+                    codes.append(code)
+                    size += len(code) // encode.kind.itemsize
+                    if size >= shard_tokens:
+                        yield flush()
+            if ids:
+                yield flush()
+        finally:
+            encode.forget()
 
     return stored(rows.mapInArrow(run, "part long, number long, path string, documents long, tokens long, bytes long"), "shards")
 

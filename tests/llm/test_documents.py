@@ -229,6 +229,22 @@ def test_encoder_looks_for_special_tokens_in_the_text_as_it_stands():
         assert np.frombuffer(encode(text), encode.kind).tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
+def test_token_tasks_free_their_tables(spark, messy):
+    """Workers are used again: what encoded must not keep its words beside what another operator needs."""
+    tokens.write_shards(messy, public_tokenizers.path("word_bpe_49k.json"), work_path(spark, "tokens-test"))
+
+    def held(batches):
+        import gc
+
+        yield from ()
+        for batch in batches:
+            of = [x for x in gc.get_objects() if type(x).__name__ == "_Table"]
+            yield batch.from_pydict({"n": [sum(map(len, of))]})
+
+    assert {r.n for r in spark.range(0, 64, 1, 8).mapInArrow(held, "n long").collect()} == {0}
+    assert toxicity.SAMPLE_DOCUMENTS == 12_000
+
+
 # -- mixture
 
 
