@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import wraps
+from zlib import crc32
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorlith.llm import decontaminate, jaccard, language, licences, mixture, neighbours, quality, repeats, tokens, toxicity
+from sensorlith.llm import decontaminate, jaccard, language, licences, mixture, neighbours, periods, quality, repeats, tokens, toxicity, tries
 from sensorlith.llm.frames import bucket_of
 from sensorlith.session import prepare, work_path
 
@@ -123,7 +125,7 @@ def _licence_sql() -> str:
 WITH k(norm, id) AS (VALUES {known}), r(licence, rule) AS (VALUES {rules}),
 rr AS (SELECT licence, rule, unnest(rule) AS id, unnest(range(len(rule))) AS i FROM r),
 d AS (SELECT doc_id, string_split_regex(regexp_replace(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-        '[.!?;:]+[ 	
+        '[.!?;:]+[ 	
 ]+', chr(10), 'g'), '[^a-z0-9
 ]+', ' ', 'g'), ' ?
 [ 
@@ -148,3 +150,52 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = language.identify(docs, language.learn(docs, bucket_of("doc_id", 3) != 1))
     return found.select("doc_id", (bucket_of("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", F.transform("languages", lambda x: x["lang"]).alias("languages"))
+
+
+#: crc32 of the decimal of a number, byte by byte and bit by bit
+_CRC_SQL = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({}::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
+@_query(
+    "op11_conversation_trie",
+    rf"""
+WITH d AS (SELECT conv_id, turn, md5(length(role)::VARCHAR || ':' || role || text) AS d, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+t AS (SELECT conv_id, d, w, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, d) AS p FROM d),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS src, {_CRC_SQL.format("conv_id")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, p, d, w FROM c JOIN t ON t.conv_id = src AND p <= h UNION ALL SELECT c.conv_id, p, d, w FROM c JOIN t ON t.conv_id = c.conv_id AND p > h),
+s AS (SELECT c.conv_id, coalesce(string_agg(d, '' ORDER BY p), '') AS path, list(w ORDER BY p) AS ws, count(p) AS k FROM c LEFT JOIN r USING (conv_id) GROUP BY c.conv_id),
+x AS (SELECT conv_id, path, ws, unnest(range(k + 1)) AS depth FROM s),
+n AS (SELECT left(path, 32 * depth) AS node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(CASE WHEN depth > 0 THEN ws[depth] ELSE 0 END) AS w FROM x GROUP BY ALL),
+k AS (SELECT left(node, 32 * (depth - 1)) AS node, count(*) AS n FROM n WHERE depth > 0 GROUP BY 1),
+o AS (SELECT node, depth, (n_convs - 1) * w AS saved, CASE WHEN k.n IS NULL THEN 1 ELSE 0 END AS leaf FROM n LEFT JOIN k USING (node)),
+u AS (SELECT left(node, 32 * a) AS node, sum(saved) AS saved, sum(leaf) AS leaves FROM (SELECT *, unnest(range(depth + 1)) AS a FROM o) GROUP BY 1),
+e AS (SELECT path AS node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ends FROM s GROUP BY path)
+SELECT n.conv_id, n.depth, q.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, u.leaves::BIGINT AS n_leaves, u.saved::BIGINT AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM n JOIN u USING (node) LEFT JOIN k USING (node) LEFT JOIN e USING (node) LEFT JOIN n q ON n.depth > 0 AND q.node = left(n.node, 32 * (n.depth - 1))""",
+)
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of conversations that begin with up to three turns of the first one of their twenty."""
+    convs = tries.turns_in_order(_table(spark, sf_dir, "conversations"))
+    opened = tries.with_openings(convs, F.col("conv_id") - F.col("conv_id") % 20, F.crc32(F.col("conv_id").cast("string")) % 4, 3)
+    return tries.prefix_trie(opened)
+
+
+def _planted(doc_id: int | None, n: int) -> np.ndarray | None:
+    """For a tenth of the documents, words that repeat from a place on: which original word stands at each place."""
+    h = None if doc_id is None else crc32(str(doc_id).encode())
+    if h is None or h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    places = np.arange(n)
+    places[a:] = a + (places[a:] - a) % p
+    return places
+
+
+@_query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all documents, a tenth of which repeat their last part."""
+    return periods.run_digests(_table(spark, sf_dir, "documents"), _planted)
