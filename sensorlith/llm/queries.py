@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorlith.llm import decontaminate, jaccard, language, licences, mixture, neighbours, periods, quality, repeats, tokens, toxicity, tries
+from sensorlith.llm import cosines, decontaminate, jaccard, language, licences, mixture, neighbours, periods, quality, repeats, tokens, toxicity, tries
 from sensorlith.llm.frames import bucket_of
 from sensorlith.session import prepare, work_path
 
@@ -199,3 +199,20 @@ def _planted(doc_id: int | None, n: int) -> np.ndarray | None:
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of all documents, a tenth of which repeat their last part."""
     return periods.run_digests(_table(spark, sf_dir, "documents"), _planted)
+
+
+@_query(
+    "op13_embedding_dedup",
+    """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+u AS (SELECT vec_id, label, x, sqrt(list_dot_product(x, x)) AS n FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(x) > 0
+  AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(x, lambda e: e <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id
+  AND list_dot_product(a.x, b.x) / (a.n * b.n) >= 0.93),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS low FROM r GROUP BY a), k AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(k.n, 0) AS n_links, least(v.vec_id, c.low) AS component_id, v.vec_id <= coalesce(c.low, v.vec_id) AS kept
+FROM v LEFT JOIN c USING (vec_id) LEFT JOIN k USING (vec_id)""",
+)
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cosines.near_duplicates(_table(spark, sf_dir, "embeddings"))
