@@ -1,99 +1,146 @@
-"""Distance joins without all pairs: cells of a pyramid narrow the candidates down.
-
-The target points or segments are put into small cells. Cells of each level are grouped
-into the next larger ones, up to one cell for everything. A search starts with that one
-cell for every query row and goes down level by level by an equi-join on the parent cell.
-After each step only the cells stay whose nearest possible distance is not above the
-smallest farthest distance found so far, so the answer is exact and the candidates of a
-row stay few.
+"""Distance joins without all pairs: cells for a radius, a tree packed along a curve for the nearest.
+
+For the nearest target, targets are sorted along a space-filling curve over range partitions and cut into leaves of
+``LEAF`` neighbours. ``FAN`` leaves in a row have a box around them, as many boxes a larger one, until few are left: these
+are a bounded table that every task holds. A search starts there. Of the boxes below those that are left, only the ones stay that can
+hold something nearer than what the best one holds for sure. So the answer is exact, a
+row stays with few candidates, and every join key is a box of bounded content.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
-from math import ceil, cos, log2, radians
+from collections.abc import Callable, Iterator, Sequence
+from math import cos, radians
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorlith.functions.geo import EARTH_RADIUS_M, haversine_m, local_xy_m, origin_to_segment_m
-
-FAN = 4  # cells per axis that share a parent
-
-
-@dataclass(frozen=True)
-class Lattice:
-    """Corner and cell size per axis, and how many levels lead up to the single cell."""
-
-    low: tuple[float, ...]
-    size: tuple[float, ...]
-    levels: int
-
-    @property
-    def axes(self) -> range:
-        return range(len(self.low))
-
-    def cell(self, axis: int, value: Column) -> Column:
-        return F.floor((value - self.low[axis]) / self.size[axis]).cast("long")
-
-    def edge(self, axis: int, index: Column, level: int) -> tuple[Column, Column]:
-        width = self.size[axis] * FAN**level
-        return self.low[axis] + index * width, self.low[axis] + (index + 1) * width
-
-
-def lattice(points: DataFrame, axes: Sequence[str], size: Sequence[float]) -> Lattice | None:
-    """Fit over the targets' extent: one small aggregate."""
-    row = points.agg(*[f(a).alias(f"{f.__name__}{i}") for i, a in enumerate(axes) for f in (F.min, F.max)]).first()
-    if row["min0"] is None:
-        return None
-    low = tuple(row[f"min{i}"] - 1e-9 for i in range(len(axes)))
-    cells = max((row[f"max{i}"] - low[i]) / size[i] for i in range(len(axes))) + 2
-    return Lattice(low, tuple(size), max(1, ceil(log2(cells) / log2(FAN))))
-
-
-def _index(level: int, axes: range) -> list[str]:
-    return [f"_c{level}_{a}" for a in axes]
-
-
-def descend(
-    queries: DataFrame, query_id: str, lat: Lattice, cells: DataFrame, metres: Sequence[tuple[str, Column]], margin: float = 0.0
-) -> DataFrame:
-    """(query row, base cell) pairs that may hold the nearest target.
-
-    ``margin``, in base cells, is how far a target registered in a cell may reach out of it.
-
-    ``cells`` has the occupied base cells as ``_c0_*``; ``metres`` gives per axis the query's
-    value column and how many metres one unit is worth at the query.
-    """
-    axes = lat.axes
-    pyramid = cells
-    for level in range(1, lat.levels + 1):
-        pyramid = pyramid.withColumns(
-            {n: F.floor(F.col(p) / FAN).cast("long") for p, n in zip(_index(level - 1, axes), _index(level, axes))}
-        )
-    top = _index(lat.levels, axes)
-    found = queries.withColumns({n: F.lit(0).cast("long") for n in top})
-    for level in range(lat.levels - 1, -1, -1):
-        here, above = _index(level, axes), _index(level + 1, axes)
-        step = pyramid.select(*above, *here).distinct()
-        found = found.join(step, above).drop(*above)
-        near, far = F.lit(0.0), F.lit(0.0)
-        for a, (column, scale) in zip(axes, metres):
-            lo, hi = lat.edge(a, F.col(here[a]), level)
-            x = F.col(column)
-            out = margin * lat.size[a]
-            gap = F.greatest(lo - out - x, x - hi - out, F.lit(0.0)) * scale
-            reach = F.greatest(F.abs(x - lo), F.abs(hi - x)) * scale
-            near, far = near + gap * gap, far + reach * reach
-        best = F.min("_far").over(Window.partitionBy(query_id))
-        found = (
-            found.withColumns({"_near": near, "_far": far})
-            .withColumn("_best", best)
-            .filter(F.col("_near") <= F.col("_best") * (1 + 1e-9) + 1e-9)
-            .drop("_near", "_far", "_best")
-        )
-    return found
+from sensorlith.session import ship, work_path
+
+LEAF = 32
+FAN = 128
+#: boxes that every task may hold
+TOP = 4096
+#: targets that a task sorts, at least and at most
+PART_ROWS = (4096, LEAF * FAN * FAN)
+_PART = 33  # bits of the row number within a partition, as monotonically_increasing_id has it
+
+
+def along_curve(unit: Sequence[Column]) -> Column:
+    """Place of values within 0 to 1 on a curve that takes their binary digits in turn."""
+    bits, masks = {
+        2: (31, ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))),
+        3: (20, ((32, 0x001F00000000FFFF), (16, 0x001F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249))),
+    }[len(unit)]
+    place = F.lit(0).cast("long")
+    for axis, value in enumerate(unit):
+        x = F.least(F.greatest(F.floor(value * float(1 << bits)), F.lit(0)), F.lit((1 << bits) - 1)).cast("long")
+        for shift, mask in masks:
+            x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
+        place = place.bitwiseOR(F.shiftleft(x, axis))
+    return place
+
+
+class Tree:
+    """Targets (with ``_low`` and ``_high``: arrays of their ends per axis) in leaves, and the boxes above the leaves."""
+
+    def __init__(self, targets: DataFrame, curve: Column, axes: int) -> None:
+        spark = targets.sparkSession
+        self.axes = axes
+        targets = targets.withColumn("_curve", curve)
+        path = work_path(spark, "spatial-targets")
+        targets.write.parquet(path)
+        targets = spark.read.schema(targets.schema).parquet(path)
+        n = targets.count()
+        few, many = PART_ROWS
+        parts = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // few)), -(-n // many), 1)
+        path = work_path(spark, "spatial-leaves")
+        number = F.monotonically_increasing_id()
+        leaf = F.shiftright(number, _PART) * (1 << _PART) + F.floor(number.bitwiseAND(F.lit((1 << _PART) - 1)) / LEAF)
+        dealt = targets.repartitionByRange(parts, "_curve").sortWithinPartitions("_curve").withColumn("_box", leaf.cast("long")).drop("_curve")
+        dealt.write.parquet(path)
+        self.targets = spark.read.schema(dealt.schema).parquet(path)
+        self.levels: list[DataFrame] = []
+        boxes, step = self._around(self.targets, F.col("_box")), FAN
+        # a box of the next level holds FAN in a row of one partition, and in the end partitions in a row
+        while True:
+            size = boxes.agg(F.count(F.lit(1)).alias("n"), F.max(F.col("_box").bitwiseAND(F.lit((1 << _PART) - 1))).alias("last")).first()
+            if size.n <= TOP:
+                break
+            if size.last:
+                above = F.shiftright("_box", _PART) * (1 << _PART) + F.floor(F.col("_box").bitwiseAND(F.lit((1 << _PART) - 1)) / step)
+            else:
+                above = F.floor(F.shiftright("_box", _PART) / step) * (1 << _PART)
+            path = work_path(spark, "spatial-boxes")
+            boxes.groupBy(above.cast("long").alias("_box")).agg(F.collect_list(F.struct("_box", "_low", "_high")).alias("_below")).write.parquet(path)
+            packed = spark.read.parquet(path)
+            self.levels.append(packed)
+            boxes = self._around(packed.select("_box", F.explode("_below").alias("b")).select("_box", "b._low", "b._high"), F.col("_box"))
+        rows = boxes.collect()  # TOP at most
+        self.top = (np.array([r["_box"] for r in rows], np.int64), *(np.array([r[c] for r in rows], float).reshape(-1, axes) for c in ("_low", "_high")))
+
+    def _around(self, rows: DataFrame, box: Column) -> DataFrame:
+        ends = [f(F.col(c)[a]).alias(f"{c}{a}") for a in range(self.axes) for c, f in (("_low", F.min), ("_high", F.max))]
+        return rows.groupBy(box.alias("_box")).agg(*ends).select("_box", *(F.array(*[F.col(f"{c}{a}") for a in range(self.axes)]).alias(c) for c in ("_low", "_high")))
+
+    def near(self, queries: DataFrame, place: Sequence[Column], scale: Sequence[Column]) -> DataFrame:
+        """(query row, ``_box``) of the leaves that may hold a query's nearest target. ``place`` and, in metres a unit, ``scale`` are a
+        query's values per axis."""
+        ship(queries.sparkSession)
+        asked = queries.withColumns({"_at": F.array(*place), "_scale": F.array(*scale), "_best": F.lit(float("inf"))})
+        top = queries.sparkSession.sparkContext.broadcast(self.top)
+        found = asked.mapInArrow(_narrowing(top, self.axes), _ddl(asked) + ", _box long")
+        for packed in reversed(self.levels):
+            joined = found.join(packed, "_box").drop("_box")
+            found = joined.mapInArrow(_narrowing(None, self.axes), _ddl(asked) + ", _box long")
+        return found.drop("_at", "_scale", "_best")
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def _narrowing(top: Broadcast | None, axes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each row's boxes those that can hold something nearer than what the best one holds for sure. The boxes are
+    ``top``'s for every row, or the row's own ``_below``."""
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, axes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, 512):
+                batch = whole.slice(a, 512)
+                n = batch.num_rows
+                if top is not None:
+                    box, low, high = top.value
+                    counts = np.full(n, len(box))
+                    box, low, high = np.tile(box, n), np.tile(low, (n, 1)), np.tile(high, (n, 1))
+                else:
+                    below = batch["_below"]
+                    counts = np.diff(below.offsets.to_numpy())
+                    inner = below.flatten()
+                    box, low, high = inner.field("_box").to_numpy(), matrix(inner.field("_low")), matrix(inner.field("_high"))
+                row = np.repeat(np.arange(n), counts)
+                if not len(row):
+                    continue
+                at, scale = matrix(batch["_at"])[row], matrix(batch["_scale"])[row]
+                gap = np.maximum(np.maximum(low - at, at - high), 0) * scale
+                one, two = (np.abs(at - low) * scale) ** 2, (np.abs(high - at) * scale) ** 2
+                # something touches each side of a box: on the nearer side of one axis it lies within the other axes' farther ones
+                sides, reach = np.minimum(one, two), np.maximum(one, two)
+                nearest, farthest = (gap * gap).sum(axis=1), reach.sum(axis=1) + (sides - reach).min(axis=1)
+                best = np.minimum(batch["_best"].to_numpy(), np.minimum.reduceat(farthest, np.concatenate([[0], np.cumsum(counts)[:-1]])))
+                keep = np.flatnonzero(nearest <= best[row] * (1 + 1e-9) + 1e-9)
+                kept = batch.take(pa.array(row[keep]))
+                columns = {c: kept[c] for c in kept.schema.names if c != "_below"} | {"_best": pa.array(best[row[keep]]), "_box": pa.array(box[keep])}
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return run
 
 
 def segments_of(lines: DataFrame, line_id: str, points: str) -> DataFrame:
@@ -176,57 +223,50 @@ def lines_within(points: DataFrame, point_id: str, segments: DataFrame, line_id:
     return points.select(point_id, "lat", "lon").join(close, ["lat", "lon"]).select(*out_columns)
 
 
-def nearest_line(points: DataFrame, point_id: str, segments: DataFrame, line_id: str, cell_m: float) -> DataFrame:
-    """(point, nearest line, distance_m), however far; equal distances go to the smaller line id."""
-    out_columns = [point_id, line_id, "distance_m"]
-    extent = _extent(points, "lat")
-    if extent is None:
-        return points.select(point_id).join(segments.select(line_id), F.lit(False)).withColumn("distance_m", F.lit(0.0)).select(*out_columns)
-    lat_size, lon_size = _cell_sizes(extent, cell_m)
-    pieces = _pieces(segments, lat_size, lon_size)
-    grid = lattice(pieces, ["_lat", "_lon"], [lat_size, lon_size])
-    if grid is None:
-        return points.select(point_id).join(segments.select(line_id), F.lit(False)).withColumn("distance_m", F.lit(0.0)).select(*out_columns)
-    base = _index(0, grid.axes)
-    laid = pieces.withColumns({base[0]: grid.cell(0, F.col("_lat")), base[1]: grid.cell(1, F.col("_lon"))})
-    laid = laid.drop("_step", "_lat", "_lon").distinct()
-    places = points.select("lat", "lon").distinct().withColumn("_place", F.struct("lat", "lon"))
+def _nothing(points: DataFrame, point_id: str, targets: DataFrame, target_id: str) -> DataFrame:
+    return points.select(point_id).join(targets.select(target_id), F.lit(False)).withColumn("distance_m", F.lit(0.0))
+
+
+def nearest_line(points: DataFrame, point_id: str, segments: DataFrame, line_id: str) -> DataFrame:
+    """(point, nearest line, distance_m), however far; equal distances go to the smaller line id. Points without a place have no line."""
+    ends = ["a_lat", "a_lon", "b_lat", "b_lon"]
+    known = segments.select(line_id, *ends).dropna().withColumns({
+        "_low": F.array(F.least("a_lat", "b_lat"), F.least("a_lon", "b_lon")), "_high": F.array(F.greatest("a_lat", "b_lat"), F.greatest("a_lon", "b_lon")),
+    })
+    middle = [(F.col(f"a_{x}") + F.col(f"b_{x}")) / (4 * half) + 0.5 for x, half in (("lat", 90.0), ("lon", 180.0))]
+    tree = Tree(known, along_curve(middle), 2)
+    if not len(tree.top[0]):
+        return _nothing(points, point_id, segments, line_id)
     degree = F.radians(F.lit(1.0)) * EARTH_RADIUS_M
-    metres = [("lat", degree), ("lon", degree * F.cos(F.radians("lat")))]
-    found = descend(places, "_place", grid, laid.select(*base).distinct(), metres, margin=0.5)
+    places = points.select("lat", "lon").dropna().distinct()
+    found = tree.near(places, [F.col("lat"), F.col("lon")], [degree, degree * F.cos(F.radians("lat"))])
     best = (
-        found.join(laid, base)
+        found.join(tree.targets.drop("_low", "_high"), "_box")
         .withColumn("distance_m", _distance())
         .groupBy("lat", "lon")
         .agg(F.min(F.struct("distance_m", line_id)).alias("_best"))
         .select("lat", "lon", "_best.*")
     )
-    return points.select(point_id, "lat", "lon").join(best, ["lat", "lon"]).select(*out_columns)
+    return points.select(point_id, "lat", "lon").join(best, ["lat", "lon"]).select(point_id, line_id, "distance_m")
 
 
-def nearest_point(points: DataFrame, point_id: str, targets: DataFrame, target_id: str, cell_m: float) -> DataFrame:
+def nearest_point(points: DataFrame, point_id: str, targets: DataFrame, target_id: str) -> DataFrame:
     """(point, nearest target, distance_m) on the globe; equal distances go to the smaller target id.
 
     The search runs on the unit sphere in three axes, where the chord grows with the arc.
     """
-    def sphere(df: DataFrame) -> DataFrame:
-        la, lo = F.radians("lat"), F.radians("lon")
-        return df.withColumns({"_x": F.cos(la) * F.cos(lo), "_y": F.cos(la) * F.sin(lo), "_z": F.sin(la)})
-
-    known = sphere(targets.select(F.col(target_id).alias("_t"), "lat", "lon").dropna())
-    known = known.groupBy("lat", "lon", "_x", "_y", "_z").agg(F.min("_t").alias(target_id))
-    axes = ["_x", "_y", "_z"]
-    grid = lattice(known, axes, [cell_m / EARTH_RADIUS_M] * 3)
-    places = sphere(points.select("lat", "lon").distinct()).withColumn("_place", F.struct("lat", "lon"))
-    if grid is None:
-        empty = points.select(point_id).join(targets.select(target_id), F.lit(False))
-        return empty.withColumn("distance_m", F.lit(0.0))
-    base = _index(0, grid.axes)
-    laid = known.withColumns({n: grid.cell(a, F.col(axes[a])) for a, n in enumerate(base)})
-    found = descend(places, "_place", grid, laid.select(*base).distinct(), [(a, F.lit(1.0)) for a in axes])
-    there = laid.select(target_id, F.col("lat").alias("_tlat"), F.col("lon").alias("_tlon"), *base)
+    la, lo = F.radians("lat"), F.radians("lon")
+    axes = {"_x": F.cos(la) * F.cos(lo), "_y": F.cos(la) * F.sin(lo), "_z": F.sin(la)}
+    known = targets.select(F.col(target_id).alias("_t"), "lat", "lon").dropna().groupBy("lat", "lon").agg(F.min("_t").alias(target_id))
+    known = known.withColumns(axes).withColumn("_low", F.array(*axes)).drop(*axes)
+    known = known.withColumnsRenamed({"lat": "_tlat", "lon": "_tlon"}).withColumn("_high", F.col("_low"))
+    tree = Tree(known, along_curve([(F.col("_low")[a] + 1.0) / 2.0 for a in range(3)]), 3)
+    if not len(tree.top[0]):
+        return _nothing(points, point_id, targets, target_id)
+    places = points.select("lat", "lon").dropna().distinct().withColumns(axes)
+    found = tree.near(places, [F.col(a) for a in axes], [F.lit(1.0)] * 3)
     best = (
-        found.join(there, base)
+        found.join(tree.targets.drop("_low", "_high"), "_box")
         .withColumn("distance_m", haversine_m(F.col("lat"), F.col("lon"), F.col("_tlat"), F.col("_tlon")))
         .groupBy("lat", "lon")
         .agg(F.min(F.struct("distance_m", target_id)).alias("_best"))

@@ -62,7 +62,7 @@ def local_traffic(stations: DataFrame, links: DataFrame, radius_m: float) -> Dat
         (F.sum(w * F.col("traffic_stress_score")) / F.sum(w)).alias("local_score"),
     )
     closest = (
-        nearest_line(stations, "station_id", segments, "link_id", radius_m)
+        nearest_line(stations, "station_id", segments, "link_id")
         .join(scores, "link_id")
         .select(
             "station_id",
@@ -166,13 +166,13 @@ WEATHER_COLUMNS = (
 )
 
 
-def with_weather(fused: DataFrame, weather: DataFrame, places: DataFrame, cell_m: float = 5_000.0) -> DataFrame:
+def with_weather(fused: DataFrame, weather: DataFrame, places: DataFrame) -> DataFrame:
     """Nearest weather location with known coordinates, and the adjusted score and class."""
     require_columns(fused, FUSED_COLUMNS, "fusion table")
     require_columns(weather, WEATHER_COLUMNS, "weather table")
     known = weather.join(places.select("location_id", "lat", "lon").dropna(), "location_id")
     at = fused.select("station_id", F.col("station_lat").alias("lat"), F.col("station_lon").alias("lon"))
-    nearest = nearest_point(at, "station_id", known, "location_id", cell_m)
+    nearest = nearest_point(at, "station_id", known, "location_id")
     attributes = known.select(
         "location_id",
         *[F.col(c).alias(f"weather_{c}") for c in ("temperature_f", "precipitation_probability_pct", "wind_speed_mph_est", "short_forecast")],

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from sensorlith.operators import spatial
 from sensorlith.operators.intervals import overlaps
 from sensorlith.operators.spatial import lines_within, nearest_line, nearest_point, segments_of
 
@@ -47,21 +48,34 @@ def test_all_lines_within_a_radius(places):
     assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
 
 
-@pytest.mark.parametrize("cell_m", [300.0, 2500.0, 100_000.0])
-def test_nearest_line_however_far(places, cell_m):
+def trees(monkeypatch, leaf, fan, top, rows):
+    for name, value in {"LEAF": leaf, "FAN": fan, "TOP": top, "PART_ROWS": rows}.items():
+        monkeypatch.setattr(spatial, name, value)
+
+
+#: one leaf; leaves only; several levels in one part; many parts
+TREES = [(32, 128, 4096, (4096, 1 << 20)), (3, 2, 4096, (4096, 1 << 20)), (2, 2, 3, (4096, 1 << 20)), (2, 3, 2, (9, 18))]
+
+
+@pytest.mark.parametrize("shape", TREES)
+def test_nearest_line_however_far(places, monkeypatch, shape):
     stations, lines, s, seg = places
-    got = {r[0]: (r[1], r[2]) for r in nearest_line(s, "station_id", seg, "link_id", cell_m).collect()}
+    trees(monkeypatch, *shape)
+    got = {r[0]: (r[1], r[2]) for r in nearest_line(s, "station_id", seg, "link_id").collect()}
+    assert len(got) == len(stations)
     for i, a, b in stations:
         d, j = min((to_line(a, b, p), j) for j, p in lines)
         assert got[i] == (j, pytest.approx(d, abs=1e-6))
 
 
-def test_nearest_point_on_the_globe(spark):
+@pytest.mark.parametrize("shape", TREES[::2] + TREES[3:])
+def test_nearest_point_on_the_globe(spark, monkeypatch, shape):
+    trees(monkeypatch, *shape)
     rng = np.random.default_rng(6)
     at = [(i, float(rng.uniform(-89, 89)), float(rng.uniform(-180, 180))) for i in range(80)]
     to = [(i, float(rng.uniform(-89, 89)), float(rng.uniform(-180, 180))) for i in range(50)] + [(90, 10.0, 179.9), (91, 10.0, 179.9), (92, None, None)]
     got = {r[0]: r[1] for r in nearest_point(
-        spark.createDataFrame(at, "p long, lat double, lon double"), "p", spark.createDataFrame(to, "q long, lat double, lon double"), "q", 50_000.0).collect()}
+        spark.createDataFrame(at, "p long, lat double, lon double"), "p", spark.createDataFrame(to, "q long, lat double, lon double"), "q").collect()}
 
     def hav(a, b, c, d):
         a, b, c, d = np.radians([a, b, c, d])
@@ -71,6 +85,34 @@ def test_nearest_point_on_the_globe(spark):
         assert got[i] == min((hav(a, b, x, y), j) for j, x, y in to if x is not None)[1]
 
 
+def test_nearest_of_nothing(spark, places):
+    _, _, s, seg = places
+    assert nearest_line(s, "station_id", seg.limit(0), "link_id").count() == 0
+    assert nearest_line(s.limit(0), "station_id", seg, "link_id").count() == 0
+    assert nearest_point(s, "station_id", s.limit(0).withColumnRenamed("station_id", "t"), "t").columns == ["station_id", "t", "distance_m"]
+
+
+def test_curve_takes_binary_digits_in_turn(spark):
+    rng = np.random.default_rng(1)
+    for axes, bits in ((2, 31), (3, 20)):
+        x = rng.uniform(0, 1, (50, axes))
+        df = spark.createDataFrame([tuple(map(float, r)) for r in x], [f"x{a}" for a in range(axes)])
+        got = [r[0] for r in df.select(spatial.along_curve([spatial.F.col(f"x{a}") for a in range(axes)])).collect()]
+        want = [sum((int(v * 2**bits) >> b & 1) << (b * axes + a) for a, v in enumerate(r) for b in range(bits)) for r in x]
+        assert got == want
+
+
+def test_few_candidates_for_each_place(spark):
+    """A search reads a few leaves, wherever the query lies: also far from a dense crowd of targets."""
+    rng = np.random.default_rng(4)
+    to = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.normal(40, 0.01, 5000), rng.normal(-73, 0.01, 5000)))]
+    at = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(-60, 60, 100), rng.uniform(-170, 170, 100)))] + [(1000 + i, a, b) for i, a, b in to[:100]]
+    targets = spark.createDataFrame(to, "t long, lat double, lon double").withColumn("_low", spatial.F.array("lat", "lon")).withColumn("_high", spatial.F.col("_low"))
+    tree = spatial.Tree(targets, spatial.along_curve([(spatial.F.col("lat") + 90) / 180, (spatial.F.col("lon") + 180) / 360]), 2)
+    found = tree.near(spark.createDataFrame(at, "q long, lat double, lon double"), [spatial.F.col("lat"), spatial.F.col("lon")], [spatial.F.lit(1.0)] * 2)
+    assert found.count() < 10 * len(at)
+
+
 def test_overlaps_against_all_pairs(spark):
     rng = np.random.default_rng(9)
 
