@@ -1,67 +1,124 @@
-"""Exact interpolated percentiles per key, also when a key has more values than one task should hold."""
+"""Exact interpolated percentiles per key by histograms, whatever a key holds.
+
+A rank is narrowed down in rounds. A round cuts the range that holds it into equal cells, counts the values of each cell and
+notes its smallest and largest one. The rank lies in one of the cells, whose smallest and largest value are the range of the next
+round; when they are equal, they are the answer. All columns and fractions share a round, counts are combined before they are
+shuffled, and a window runs over the cells of one range. So a key with most of the rows is a row of counts for each task and cell.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from sensorlith.operators.series import arrange, largest_group, row_limit, running_sum
+from sensorlith.session import cut
 
+CELLS = 1 << 14
+#: ranges that are sent to every task; more are joined by a shuffle
+SENT_ROWS = 50_000
+_MOST = 1.7976931348623157e308
 
-def percentiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    wanted: Mapping[str, tuple[str, float]],
-    probe: DataFrame | None = None,
-) -> DataFrame:
-    """One row per key with ``{output name: (value column, fraction)}``; nulls do not count."""
-    source = df if probe is None else probe
-    largest, _ = largest_group(source, keys)
-    if largest <= row_limit(df):
-        return df.groupBy(*keys).agg(*[F.percentile(c, p).alias(n) for n, (c, p) in wanted.items()])
-    return _ranked(df, keys, wanted)
 
+def _cell(v: Column, low: Column, high: Column) -> Column:
+    """Number of the cell of a value within ``low`` to ``high``. The two ends are always in different cells. NaN is the largest."""
+    low, high = F.greatest(low, F.lit(-_MOST)), F.least(high, F.lit(_MOST))
+    width = high - low
+    share = F.when(width <= _MOST, F.try_divide(v - low, width)).otherwise(F.try_divide(v / 2 - low / 2, high / 2 - low / 2))
+    return (
+        F.when(F.isnan(v), CELLS + 2).when(v > _MOST, CELLS + 1).when(v < -_MOST, -1)
+        .otherwise(F.least(F.floor(F.coalesce(share, F.lit(0.0)) * CELLS), F.lit(CELLS))).cast("int")
+    )
 
-def _ranked(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]]) -> DataFrame:
-    """Count equal values first, rank by running counts, and read off the two ranks around each fraction."""
-    columns = sorted({c for c, _ in wanted.values()})
-    long = df.select(
-        *keys, F.explode(F.array(*[F.struct(F.lit(c).alias("_m"), F.col(c).cast("double").alias("_v")) for c in columns])).alias("_x")
-    ).select(*keys, "_x._m", "_x._v")
-    counts = long.filter("_v is not null").groupBy(*keys, "_m", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    s = running_sum(arrange(counts, [*keys, "_m"], ["_v"]), {"_upto": F.col("_n")})
-    ranked = s.result()
-    totals = counts.groupBy(*keys, "_m").agg(F.sum("_n").alias("_all"))
-    # Rows are joined to totals null-safely, so that a null key keeps its percentile.
-    names = {k: f"_t_{k}" for k in [*keys, "_m"]}
-    right = totals.select(*[F.col(k).alias(n) for k, n in names.items()], "_all")
-    on = F.lit(True)
-    for k, n in names.items():
-        on = on & F.col(k).eqNullSafe(F.col(n))
-    placed = ranked.join(right, on).drop(*names.values())
-    picks = []
-    for name, (column, p) in wanted.items():
-        at = (F.col("_all") - 1) * F.lit(float(p))
-        low, high = F.floor(at), F.ceil(at)
-        mine = F.col("_m") == column
-        holds = lambda rank: mine & (F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank)
-        lower = F.max(F.when(holds(low), F.col("_v")))
-        upper = F.max(F.when(holds(high), F.col("_v")))
-        part = F.max(F.when(mine, at - low))
-        picks.append((lower + (upper - lower) * part).alias(name))
-    per_key = placed.groupBy(*keys).agg(*picks)
-    if not keys:
-        return per_key
-    left = {k: f"_a_{k}" for k in keys}
-    everyone = df.select(*[F.col(k).alias(n) for k, n in left.items()]).distinct()
+
+def _on(left: Sequence[str], right: Sequence[str]) -> Column:
+    """Equal columns, a null being equal to a null."""
     on = F.lit(True)
-    for k, n in left.items():
-        on = on & F.col(k).eqNullSafe(F.col(n))
-    return everyone.join(per_key, on, "left").select(
-        *[F.col(n).alias(k) for k, n in left.items()], *wanted.keys()
-    )
+    for a, b in zip(left, right):
+        on = on & F.col(a).eqNullSafe(F.col(b))
+    return on
+
+
+def percentiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]]) -> DataFrame:
+    """One row per key with ``{output name: (value column, fraction)}``; nulls do not count."""
+    columns = sorted({c for c, _ in wanted.values()})
+    ks = [f"_k{i}" for i in range(len(keys))]
+    base = df.select(*[F.col(k).alias(n) for k, n in zip(keys, ks)], F.array(*[F.col(c).cast("double") for c in columns]).alias("_v"))
+    totals = base.groupBy(*ks).agg(*[f(F.col("_v")[i]).alias(f"_{n}{i}") for i in range(len(columns)) for n, f in (("n", F.count), ("low", F.min), ("high", F.max))])
+    totals = _Kept(totals.select(*ks, *[F.struct(F.col(f"_n{i}").alias("n"), F.col(f"_low{i}").alias("low"), F.col(f"_high{i}").alias("high")).alias(f"_m{i}") for i in range(len(columns))])).df
+    asked = []
+    for number, (column, p) in enumerate(wanted.values()):
+        m = columns.index(column)
+        at = (F.col(f"_m{m}.n") - 1) * F.lit(float(p))
+        asked += [F.struct(F.lit(m).alias("_m"), F.lit(2 * number + side).alias("_rank_of"), F.col(f"_m{m}.low").alias("_low"), F.col(f"_m{m}.high").alias("_high"), f(at).cast("long").alias("_rank")) for side, f in enumerate((F.floor, F.ceil))]
+    step = _Kept(totals.select(*ks, F.explode(F.array(*asked)).alias("_a")).select(*ks, "_a.*").where("_low IS NOT NULL"))
+    found = step.closed()
+    names = [*ks, "_m", "_low", "_high"]
+    other = [f"_r{n}" for n in names]
+    while (open_ := step.open()) is not None:
+        hist = _histogram(base, open_.distinct(names), ks)
+        upto = F.sum("_n").over(Window.partitionBy(*names).orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        at = open_.df.select(*[F.col(n).alias(o) for n, o in zip(names, other)], "_rank_of", "_rank")
+        holds = _on(names, other) & (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_n"))
+        hist = hist.withColumn("_upto", upto).join(at, holds)
+        step = _Kept(hist.select(*ks, "_m", "_rank_of", F.col("_least").alias("_low"), F.col("_most").alias("_high"), (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank")))
+        found = found.unionByName(step.closed())
+    value = lambda r: F.max(F.when(F.col("_rank_of") == r, F.col("_low"))).alias(f"_x{r}")
+    values = found.groupBy(*ks).agg(*[value(r) for r in range(2 * len(wanted))])
+    out = []
+    for number, (name, (column, p)) in enumerate(wanted.items()):
+        at = (F.col(f"_m{columns.index(column)}.n") - 1) * F.lit(float(p))
+        low, high = F.col(f"_x{2 * number}"), F.col(f"_x{2 * number + 1}")
+        out.append(F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high).alias(name))
+    right = [f"_r{k}" for k in ks]
+    values = values.withColumnsRenamed(dict(zip(ks, right)))
+    return totals.join(values, _on(ks, right), "left").select(*[F.col(n).alias(k) for n, k in zip(ks, keys)], *out)
+
+
+def _histogram(base: DataFrame, ranges: DataFrame, ks: Sequence[str]) -> DataFrame:
+    """Count, smallest and largest value of each cell of each range."""
+    other = [f"_r{k}" for k in ks]
+    rows = base.join(ranges.withColumnsRenamed(dict(zip(ks, other))), _on(ks, other)).drop(*other)
+    v = F.element_at("_v", F.col("_m") + 1)
+    rows = rows.select(*ks, "_m", "_low", "_high", v.alias("_x")).where("_x >= _low AND _x <= _high")
+    rows = rows.withColumn("_cell", _cell(F.col("_x"), F.col("_low"), F.col("_high")))
+    return rows.groupBy(*ks, "_m", "_low", "_high", "_cell").agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_least"), F.max("_x").alias("_most"))
+
+
+class _Kept:
+    """Rows that are computed once. Up to ``SENT_ROWS`` become a table of the plan, which is sent where it is joined; more are written."""
+
+    def __init__(self, df: DataFrame | None, rows: pa.Table | None = None, schema: StructType | None = None, spark: SparkSession | None = None) -> None:
+        self.spark, self.schema = spark or df.sparkSession, schema or df.schema
+        if rows is None:
+            rows = df.limit(SENT_ROWS + 1).toArrow()
+            rows = rows if rows.num_rows <= SENT_ROWS else None
+        self.rows = rows
+        self.df = cut(df) if rows is None else self.spark.createDataFrame(rows, self.schema)
+
+    def _part(self, rows: pa.Table, schema: StructType) -> _Kept:
+        return _Kept(None, rows, schema, self.spark)
+
+    def closed(self) -> DataFrame:
+        """The ranges of one value."""
+        return self.df.where("NOT (_low < _high)")
+
+    def open(self) -> _Kept | None:
+        if self.rows is None:
+            rest = self.df.where("_low < _high")
+            return None if rest.isEmpty() else _Kept(rest)
+        low, high = self.rows["_low"], self.rows["_high"]
+        wide = pc.or_(pc.less(low, high), pc.and_(pc.is_nan(high), pc.invert(pc.is_nan(low))))
+        return self._part(self.rows.filter(wide), self.schema) if pc.any(wide).as_py() else None
+
+    def distinct(self, names: Sequence[str]) -> DataFrame:
+        if self.rows is None:
+            return _Kept(self.df.select(*names).distinct()).df
+        return self._part(self.rows.select(names).group_by(names).aggregate([]), self.df.select(*names).schema).df
 
 
 def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

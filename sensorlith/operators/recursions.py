@@ -7,10 +7,13 @@ streamed through in Arrow batches, so that a task holds one batch at a time and
 series share it. A series that is cut into parts is composed part by part, the parts in
 order (one small row per part), and each part is then streamed again from what enters it.
 
-``run_fold``: for state machines without such a form. Parts run side by side from guessed
-states and repeat until every part was entered with the state its predecessor left; a
-part's state is right at the latest when all before it are, so the result is that of one
-pass in order.
+State machines with few states have one too: a row is the table of what each state becomes (``table_compose``).
+
+``run_fold``: for recursions without such a form. Parts run side by side from no state. A part that its
+predecessor leaves in another state than it was entered with runs again, but only up to the rows at which both runs
+are in the same state: from there on nothing changes. Recursions that forget meet after few rows, so the
+second run is short and leaves the part as it was. Others repeat until nothing changes any more; the result is that of one pass in order,
+to twelve digits.
 """
 
 from __future__ import annotations
@@ -20,12 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sensorlith.operators.series import PART, Series
-from sensorlith.session import cut
+from sensorlith.session import cut, written
 
 Element = tuple[np.ndarray, ...]
 BLOCK = 64
@@ -170,64 +173,124 @@ def run_scan(s: Series, scan: Scan, schema: T.StructType) -> DataFrame:
     return led.repartition(s.parts, PART).sortWithinPartitions(*sequence).mapInPandas(stream_parts, out)
 
 
-def run_fold(
-    s: Series,
-    fold: Callable[[pd.DataFrame, list[float] | None], tuple[pd.DataFrame, list[float]]],
-    schema: T.StructType,
-) -> DataFrame:
-    """``fold(rows in order, entering state or None)`` returns (output rows, leaving state)."""
+Fold = Callable[[pd.DataFrame, "list[float] | None"], "tuple[pd.DataFrame, list[float]]"]
+#: rows after which the states of two runs are compared
+MARK = 256
+#: states this near count as one: a mean that forgets comes as close as rounding lets it, and may stay one last bit away
+SAME = 1e-12
+
+
+def _run_again(pdf: pd.DataFrame, fold: Fold, state: list[float] | None, marks: dict[int, list[float]]) -> pd.DataFrame:
+    """Rows in order with ``_pos`` and, at marks and at the end, ``_state``. It stops at a mark where the last run had the same state."""
+    out = []
+    for a in range(0, len(pdf), MARK):
+        piece = pdf.iloc[a : a + MARK].reset_index(drop=True)
+        emitted, state = fold(piece, state)
+        state = [float(x) for x in state]
+        end = a + len(piece) - 1
+        out.append(emitted.assign(_pos=np.arange(a, end + 1), _state=[None] * (len(piece) - 1) + [state]))
+        if end in marks and np.allclose(state, marks[end], rtol=SAME, atol=SAME * 1e-3, equal_nan=True):
+            break
+    return pd.concat(out, ignore_index=True)
+
+
+def _null_safe(left: DataFrame, right: DataFrame, names: Sequence[str], how: str) -> DataFrame:
+    """Join on equal columns, a null being equal to a null; the right side's copies are dropped."""
+    other = {n: f"_r_{n}" for n in names}
+    right = right.withColumnsRenamed(other)
+    on = F.lit(True)
+    for n, o in other.items():
+        on = on & F.col(n).eqNullSafe(F.col(o))
+    return left.join(right, on, how).drop(*other.values())
+
+
+def run_fold(s: Series, fold: Fold, schema: T.StructType, guess: Callable[[pd.DataFrame], list[float]] | None = None) -> DataFrame:
+    """``fold(rows in order, entering state or None)`` returns (output rows, leaving state). ``guess`` may give a state from a part's first
+    rows from which its first run sooner meets the right one; the result does not depend on it."""
     order, keys = list(s.order), list(s.keys)
     out = T.StructType(_fields(s.df, keys) + schema.fields)
     names = [f.name for f in schema.fields]
 
-    def rows(pdf: pd.DataFrame, state) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        emitted, _ = fold(pdf, state)
-        emitted = emitted[names].copy()
-        for i, k in enumerate(keys):
-            emitted.insert(i, k, pdf[k].iloc[0])
-        return emitted
+    def sorted_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.sort_values(order, kind="stable").reset_index(drop=True)
 
-    if not s.cut_up:
-        spread = s.df.repartition(tasks(s.df), *keys)
-        return spread.groupBy(*keys).applyInPandas(lambda pdf: rows(pdf, None), out)
-
-    group = [*keys, PART]
-    states = T.StructType(
-        _fields(s.df, group) + [T.StructField("entry", T.ArrayType(T.DoubleType())), T.StructField("leaving", T.ArrayType(T.DoubleType()))]
-    )
+    def keyed(rows: pd.DataFrame, pdf: pd.DataFrame, columns: Sequence[str]) -> pd.DataFrame:
+        rows = rows.copy()
+        for k in columns:
+            rows[k] = pdf[k].iloc[0]
+        return rows
 
-    def leave(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values(order, kind="stable").reset_index(drop=True)
-        entry = right["entry"].iloc[0] if len(right) else None
-        entry = None if entry is None else list(entry)
-        _, leaving = fold(left, entry)
-        head = {c: [left[c].iloc[0]] for c in group}
-        return pd.DataFrame({**head, "entry": [entry], "leaving": [list(leaving)]})
+    if not s.cut_up:
+        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = sorted_rows(pdf)
+            return keyed(fold(pdf, None)[0], pdf, keys)[[*keys, *names]]
 
-    def hand_on(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(PART)
-        return pdf.assign(entry=[None, *pdf["leaving"].tolist()[:-1]])
+        return s.df.repartition(tasks(s.df), *keys).groupBy(*keys).applyInPandas(whole, out)
 
-    nothing = s.df.select(*group).distinct().withColumn("entry", F.lit(None).cast("array<double>"))
-    entries = cut(nothing)
+    group = [*keys, PART]
+    state_type = T.ArrayType(T.DoubleType())
+    version = T.StructType([*_fields(s.df, group), *schema.fields, T.StructField("_pos", T.LongType()), T.StructField("_state", state_type)])
+    columns = [f.name for f in version]
+
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = sorted_rows(pdf)
+        later = pdf[PART].iloc[0] > pdf["_begins"].iloc[0]  # never true of a series within one part
+        state = guess(pdf.head(MARK)) if guess is not None and later else None
+        return keyed(_run_again(pdf.drop(columns="_begins"), fold, state, {}), pdf, group)[columns]
+
+    def again(pdf: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
+        pdf = sorted_rows(pdf)
+        known = {int(p): list(x) for p, x in zip(marks["_pos"], marks["_state"])}
+        return keyed(_run_again(pdf.drop(columns="_entry"), fold, list(pdf["_entry"].iloc[0]), known), pdf, group)[columns]
+
+    spans = s.df.groupBy(*keys).agg(F.min(PART).alias("_begins"), F.max(PART).alias("_ends")).where("_begins < _ends").drop("_ends")
+    begun = _null_safe(s.df, F.broadcast(spans), keys, "left")  # fewer series than parts go on in another part
+    versions = [written(begun.groupBy(*group).applyInPandas(first, version), "fold")]
+    marks, lengths = versions[0].where("_state IS NOT NULL").select(*group, "_pos", "_state"), []
+    by_key = Window.partitionBy(*keys)
+    # series within one part are done; of the others a part holds two at most
+    parts = cut(marks.groupBy(*group).agg(F.max_by("_state", "_pos").alias("_leaving")).withColumn("_parts", F.count(F.lit(1)).over(by_key)).where("_parts > 1"))
+    used = parts.select(*group, F.lit(None).cast(state_type).alias("_used"))
     while True:
-        left = s.df.groupBy(*group).cogroup(entries.groupBy(*group)).applyInPandas(leave, states)
-        handed = cut(left.groupBy(*keys).applyInPandas(hand_on, states))
-        before = entries.select(*[F.col(c).alias(f"_b_{c}") for c in group], F.col("entry").alias("_b_entry"))
-        same = handed[group[0]].eqNullSafe(before[f"_b_{group[0]}"])
-        for c in group[1:]:
-            same = same & handed[c].eqNullSafe(before[f"_b_{c}"])
-        changed = handed.join(before, same).filter(~F.col("entry").eqNullSafe(F.col("_b_entry"))).limit(1).count()
-        entries = handed.drop("leaving")
-        if not changed:
+        entries = parts.withColumn("_entry", F.lag("_leaving").over(by_key.orderBy(PART)))
+        todo = cut(_null_safe(entries, used, group, "inner").where("_entry IS NOT NULL AND NOT (_entry <=> _used)").select(*group, "_entry"))
+        if todo.isEmpty():
             break
-
-    def again(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        entry = right["entry"].iloc[0]
-        return rows(left, None if entry is None else list(entry))
-
-    return s.df.groupBy(*group).cogroup(entries.groupBy(*group)).applyInPandas(again, out)
+        few = F.broadcast(todo)  # at most two rows for each part
+        rows = _null_safe(s.df, few, group, "inner")
+        old = _null_safe(marks, few, group, "left_semi")
+        versions.append(written(rows.groupBy(*group).cogroup(old.groupBy(*group)).applyInPandas(again, version), "fold"))
+        length = cut(versions[-1].groupBy(*group).agg((F.max("_pos") + 1).alias("_length")))
+        lengths.append(length)
+        new = versions[-1].where("_state IS NOT NULL").select(*group, "_pos", "_state")
+        marks = cut(_null_safe(marks, F.broadcast(length), group, "left").where("_pos >= coalesce(_length, 0)").drop("_length").unionByName(new))
+        used = cut(entries.select(*group, F.col("_entry").alias("_used")))
+        leaving = marks.groupBy(*group).agg(F.max_by("_state", "_pos").alias("_leaving"))
+        parts = cut(_null_safe(leaving, F.broadcast(used.select(*group)), group, "left_semi"))
+    result = None
+    for number, rows in enumerate(versions):
+        later = lengths[number:]
+        if later:  # what later runs have done anew
+            over = later[0]
+            for length in later[1:]:
+                over = over.unionByName(length)
+            over = over.groupBy(*group).agg(F.max("_length").alias("_length"))
+            rows = _null_safe(rows, F.broadcast(over), group, "left").where("_pos >= coalesce(_length, 0)")
+        rows = rows.select(*keys, *names)
+        result = rows if result is None else result.unionByName(rows)
+    return result
+
+
+# --- state machines with few states ---------------------------------------------------------
+
+
+def table_compose(first: Element, then: Element) -> Element:
+    """Tables of what each state becomes, by number; a table whose entries are all equal forgets what came before."""
+    return (np.take_along_axis(then[0], first[0].astype(int), axis=-1),)
+
+
+def table_identity(states: int) -> Element:
+    return (np.arange(states, dtype=float),)
 
 
 # --- affine maps: x -> a x + b, one per channel -------------------------------------------

@@ -18,7 +18,7 @@ from sensorlith.functions.scans import (
     TURN_TRIGGER_M,
     nearest_in_sector,
 )
-from sensorlith.operators.recursions import run_fold
+from sensorlith.operators.recursions import Scan, run_scan, table_compose, table_identity
 from sensorlith.operators.series import arrange, fill, shift
 
 
@@ -105,33 +105,50 @@ def path_gated(commands: DataFrame, paths: DataFrame, timeout_s: float = PATH_TI
 TURN = T.StructType([T.StructField("ts", T.DoubleType()), T.StructField("turn", T.DoubleType()), T.StructField("forward", T.BooleanType())])
 
 
-def turn_step(turn: float, front: float, left: float, right: float, trigger: float, clear: float) -> tuple[float, bool]:
-    """(turn direction or 0, whether to drive on); NaN is no distance."""
-    if np.isnan(front):
-        return turn, False
-    if turn:
-        return (turn, False) if front <= clear else (0.0, True)
-    if front > trigger:
-        return 0.0, True
-    if np.isnan(left) and np.isnan(right):
-        return 0.0, False
-    if np.isnan(left) or (not np.isnan(right) and right > left):
-        return -1.0, False
-    return 1.0, False
+#: directions by number: right, none, left
+TURNS = np.array([-1.0, 0.0, 1.0])
+
+
+def turn_table(front: np.ndarray, left: np.ndarray, right: np.ndarray, trigger: float, clear: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each tick what every direction becomes, by number, and whether to drive on in it; NaN is no distance."""
+    n, blind = len(front), np.isnan(front)
+    free_right = np.isnan(left) | (~np.isnan(right) & (right > left))
+    start = np.where(np.isnan(left) & np.isnan(right), 1, np.where(free_right, 0, 2))
+    becomes, forward = np.tile(np.arange(3.0), (n, 1)), np.zeros((n, 3), bool)
+    with np.errstate(invalid="ignore"):
+        turned, open_ = front > clear, front > trigger
+    for state in (0, 2):
+        becomes[:, state] = np.where(turned, 1, state)
+        forward[:, state] = turned
+    becomes[:, 1] = np.where(blind | open_, 1, start)
+    forward[:, 1] = open_
+    return becomes, forward
 
 
 def turn_states(ticks: DataFrame, trigger_m: float = TURN_TRIGGER_M, clear_m: float = TURN_CLEAR_M) -> DataFrame:
-    """Turn direction per tick (robot_id, ts, front, left, right): towards the freer side until the front is clear."""
+    """Turn direction per tick (robot_id, ts, front, left, right): towards the freer side until the front is clear.
+
+    A tick is a table of three directions; tables are composed, so a long drive runs in parts side by side."""
+
+    def tables(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        values = (pd.to_numeric(pdf[c]).to_numpy(dtype=float) for c in ("front", "left", "right"))
+        return turn_table(*values, trigger_m, clear_m)
+
+    def elements(pdf: pd.DataFrame):
+        becomes, _ = tables(pdf)
+        first = pdf["is_first"].to_numpy(dtype=bool)
+        return (np.where(first[:, None], becomes[:, 1:2], becomes),)
 
-    def fold(pdf: pd.DataFrame, state):
-        turn, rows = (state[0] if state is not None else 0.0), []
-        for ts, front, left, right in pdf[["ts", "front", "left", "right"]].to_numpy(dtype=float):
-            turn, forward = turn_step(turn, front, left, right, trigger_m, clear_m)
-            rows.append((ts, turn, forward))
-        return pd.DataFrame(rows, columns=TURN.names), [turn]
+    def emit(composed, pdf: pd.DataFrame, entering) -> pd.DataFrame:
+        after = composed[0][:, 1].astype(int)
+        before = np.where(pdf["is_first"].to_numpy(dtype=bool), 1, np.append(int(entering[0][0, 1]), after[:-1]))
+        _, forward = tables(pdf)
+        return pd.DataFrame({"ts": pdf["ts"].to_numpy(), "turn": TURNS[after], "forward": forward[np.arange(len(after)), before]})
 
     s = arrange(ticks.select("robot_id", "ts", "front", "left", "right"), ["robot_id"], ["ts"])
-    return run_fold(s, fold, TURN)
+    s = shift(s, {"_before": F.struct("ts")})
+    s = s.with_df(s.df.withColumn("is_first", F.col("_before").isNull()).drop("_before"))
+    return run_scan(s, Scan(elements, table_compose, table_identity(3), emit), TURN)
 
 
 def lookahead(ticks: DataFrame, distance_m: float = LOOKAHEAD_M) -> DataFrame:

@@ -232,6 +232,8 @@ def detector_step(cfg: Detector, state: tuple, row: tuple, gate: bool = False) -
         last = float(trigger)
     else:
         mu, sigma = learned
+    if end - last > int(cfg.refractory_sec * cfg.rate_hz):
+        last = START[-1]  # long past: it holds nothing back any more, whenever it was
     trace = (int(block_idx), high, low, *was, was_armed, bool(inside), trigger, score, peak)
     return (mu, sigma, float(armed), float(inside), last), trace
 
@@ -239,6 +241,11 @@ def detector_step(cfg: Detector, state: tuple, row: tuple, gate: bool = False) -
 INPUTS = ["block_idx", "length", "peak", "peak_idx", "score", "median", "sigma", "gate"]
 
 
+def quiet_state(rows: pd.DataFrame) -> list[float]:
+    """Noise as the middle of these blocks has it, armed, no event."""
+    return [float(rows["median"].median()), float(rows["sigma"].median()), 1.0, 0.0, START[-1]]
+
+
 def detect(features: DataFrame, cfg: Detector, gate: bool = False) -> DataFrame:
     """Threshold trace of every block; a trigger sample marks an event.
 
@@ -256,7 +263,7 @@ def detect(features: DataFrame, cfg: Detector, gate: bool = False) -> DataFrame:
         out = pd.DataFrame(rows, columns=TRACE.names)
         return out.astype({"trigger_sample": "Int64"}), list(state)
 
-    return R.run_fold(arrange(df, ["source"], ["block_idx"]), fold, TRACE)
+    return R.run_fold(arrange(df, ["source"], ["block_idx"]), fold, TRACE, quiet_state)
 
 
 def event_records(trace: DataFrame, lengths: DataFrame, cfg: Detector) -> DataFrame:

@@ -14,9 +14,13 @@ from pyspark.sql import functions as F
 from sensorlith.functions.numbers import half_up, stable_mean
 from sensorlith.functions.times import month_start, next_month_start, seconds_between, sunday_zero_weekday
 from sensorlith.operators.quantiles import join_on_keys, percentiles
+from sensorlith.session import written
 
 PARTITION = ("taxi_type", "data_year", "data_month")
 
+# What reading adds to the columns of a trip file.
+LINEAGE = ("taxi_type", "data_year", "data_month", "source_file", "ingested_at_utc")
+
 # Limits of the clean rules.
 MAX_MINUTES = 24 * 60
 MAX_MILES = 100
@@ -169,8 +173,14 @@ def medians(trips: DataFrame, by: Sequence[str], which: Sequence[str]) -> DataFr
     return out.withColumns({n: half_up(F.col(n), DIGITS) for n in wanted})
 
 
+def narrow(trips: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
+    """Only these columns, written once: percentiles go over their values in rounds."""
+    return written(trips.select(*dict.fromkeys(columns)), name)
+
+
 def month_summary(trips: DataFrame, by: Sequence[str] = PARTITION) -> DataFrame:
     which = ("total", "fare", "tip", "distance", "duration", "speed")
+    trips = narrow(trips, [*by, "pickup_datetime", "tolls_amount", *[MEANS[w][0] for w in which]], "month-trips")
     base = trips.groupBy(*by).agg(
         F.count(F.lit(1)).alias("clean_trip_count"),
         F.min("pickup_datetime").alias("min_pickup_datetime"),
@@ -323,6 +333,7 @@ def period_coverage(trips: DataFrame) -> DataFrame:
 
 def period_summary(trips: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     which = ("total", "distance", "duration", "speed")
+    trips = narrow(trips, [*by, "pickup_date", "pickup_datetime", "fare_amount", "tip_amount", *[MEANS[w][0] for w in which]], "period-trips")
     base = trips.groupBy(*by).agg(
         F.count(F.lit(1)).alias("clean_trip_count"),
         F.count_distinct("pickup_date").alias("active_pickup_days"),
@@ -435,8 +446,7 @@ def density_document(zones: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def file_profile(raw: DataFrame, by: Sequence[str] = ("source_file",)) -> DataFrame:
-    """Rows, times, nulls and rule counts of each file, and statistics over its valid trips, in one pass."""
-    df = staged(raw)
+    """Rows, times, nulls and rule counts of each file, and statistics over its valid trips."""
     c = F.col
     valid = (c("dropoff_datetime") > c("pickup_datetime")) & (c("trip_distance") > 0)
     nulls = {
@@ -459,6 +469,7 @@ def file_profile(raw: DataFrame, by: Sequence[str] = ("source_file",)) -> DataFr
         "negative_passenger_count": c("passenger_count") < 0,
     }
     which = ("distance", "duration", "speed", "fare", "total")
+    df = narrow(staged(raw), [*by, *nulls.values(), "passenger_count", *[MEANS[w][0] for w in which]], "profile-trips")
     counted = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("row_count"),
         *[f(n).alias(f"{f.__name__}_{n}") for n in ("pickup_datetime", "dropoff_datetime") for f in (F.min, F.max)],
@@ -477,6 +488,17 @@ def file_profile(raw: DataFrame, by: Sequence[str] = ("source_file",)) -> DataFr
     return join_on_keys(counted, medians(only_valid, by, which), by)
 
 
+def file_columns(files: DataFrame) -> DataFrame:
+    """For each file name and column of trip files: the type, the values that are not null, and the size of the file."""
+    columns = [c for c in files.columns if c not in LINEAGE]
+    sized = files.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_size").alias("_size"))
+    parts = sized.groupBy("taxi_type", "data_year", "data_month", "_path", "_size").agg(F.count(F.lit(1)).alias("row_count"), *[F.count(c).alias(c) for c in columns])
+    whole = parts.groupBy("taxi_type", "data_year", "data_month").agg(F.sum("row_count").alias("row_count"), (F.sum("_size") / 1_000_000).alias("file_size_mb"), *[F.sum(c).alias(c) for c in columns])
+    types = dict(files.dtypes)
+    each = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(types[c]).alias("data_type"), F.col(c).alias("not_null_count")) for c in columns])
+    return whole.select("taxi_type", "data_year", "data_month", "row_count", "file_size_mb", F.explode(each).alias("_c")).select("taxi_type", "data_year", "data_month", "row_count", "file_size_mb", "_c.*")
+
+
 def value_histogram(raw: DataFrame, column: str) -> DataFrame:
     return raw.groupBy(column).agg(F.count(F.lit(1)).alias("trip_count")).orderBy(F.desc("trip_count"), F.asc_nulls_last(column))
 

@@ -229,9 +229,31 @@ def mission_valid_split(spark, sf):
     return good.select(F.lit("valid").alias("part")).unionByName(bad.select(F.lit("rejected").alias("part"))).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("mission_gps_replay")
+def _wrap(a: str) -> str:
+    """An angle within −π to π, as SQL."""
+    return f"(({a}) + pi() - 2 * pi() * floor((({a}) + pi()) / (2 * pi())) - pi())"
+
+
+@query(
+    "mission_gps_replay",
+    f"""WITH RECURSIVE {EVENTS},
+    n AS (SELECT user_id AS run_id, event_id, row_number() OVER w AS rn, k / 100.0 AS l, (k + 7) % 100 / 100.0 AS r,
+        CASE WHEN event_type = 'click' THEN value / 50.0 END AS gx, CASE WHEN event_type = 'click' THEN k / 50.0 END AS gy
+        FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, (l + r) / 2.0 * 0.1 AS ahead, (r - l) / 0.42 * 0.1 AS turn FROM n),
+    p AS (
+      SELECT run_id, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS rn, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS yaw, NULL::DOUBLE AS lx, NULL::DOUBLE AS ly FROM s WHERE rn = 1
+      UNION ALL
+      SELECT run_id, event_id, rn, x, y, CASE WHEN course IS NULL THEN yaw ELSE {_wrap(f"yaw + 0.45 * {_wrap('course - yaw')}")} END, lx, ly FROM (
+        SELECT run_id, event_id, rn, CASE WHEN gx IS NULL THEN x ELSE x + 0.55 * (gx - x) END AS x, CASE WHEN gx IS NULL THEN y ELSE y + 0.55 * (gy - y) END AS y, yaw,
+          CASE WHEN gx IS NOT NULL AND lx IS NOT NULL AND sqrt((gx - lx) * (gx - lx) + (gy - ly) * (gy - ly)) >= 0.18 THEN atan2(gy - ly, gx - lx) END AS course,
+          coalesce(gx, lx) AS lx, CASE WHEN gx IS NULL THEN ly ELSE gy END AS ly FROM (
+            SELECT s.run_id, s.event_id, s.rn, p.x + s.ahead * cos(p.yaw + s.turn / 2.0) AS x, p.y + s.ahead * sin(p.yaw + s.turn / 2.0) AS y,
+              {_wrap("p.yaw + s.turn")} AS yaw, p.lx, p.ly, s.gx, s.gy FROM p JOIN s ON s.run_id = p.run_id AND s.rn = p.rn + 1)))
+    SELECT run_id, event_id, {sql_out({'corrected_x': 'x', 'corrected_y': 'y', 'corrected_yaw': 'yaw'})} FROM p WHERE rn > 0""",
+)
 def mission_gps_replay(spark, sf):
-    """Wheel commands replayed with gain corrections towards GPS; checked against a plain loop in the tests."""
+    """Wheel commands replayed with gain corrections towards GPS."""
     from sensorlith.operators.series import arrange
     from sensorlith.plans.filters import gps_correction
 
@@ -245,4 +267,5 @@ def mission_gps_replay(spark, sf):
         F.when(c("event_type") == "click", c("value") / 50.0).alias("gps_x"),
         F.when(c("event_type") == "click", c("k") / 50.0).alias("gps_y"),
     )
-    return gps_correction(arrange(rows, ["run_id"], ["time_sec", "event_id"]), ["event_id"])
+    corrected = gps_correction(arrange(rows, ["run_id"], ["time_sec", "event_id"]), ["event_id"])
+    return out(corrected, ["corrected_x", "corrected_y", "corrected_yaw"], "run_id", "event_id")

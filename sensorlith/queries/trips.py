@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from sensorlith.plans import trips as T
 from sensorlith.queries.trip_tables import RAW_TRIPS, STAGED, ZONES, raw_trips, rnd, stored_trips, zones
 from sensorlith.registry import query
+from sensorlith.session import work_path, written
+from sensorlith.sources.landing import landing_path, read_trips
 
 P = "taxi_type, data_year, data_month"
 SUMS = {k: f"{rnd(f'sum({k}_amount)')} AS gross_{k}_amount" for k in ("total", "fare", "tip", "tolls")}
@@ -29,11 +31,6 @@ def clean(spark, sf):
     return T.clean(staging(spark, sf))
 
 
-def stored_clean(spark, sf):
-    """Clean trips for reports that go over them several times."""
-    return T.clean(T.staged(stored_trips(spark, sf)))
-
-
 @query(
     "trip_anomaly_counts",
     f"WITH {STAGED} " + " UNION ALL ".join(
@@ -102,7 +99,7 @@ def trip_anomaly_samples(spark, sf):
         {rnd('max(speed_mph)')} AS max_speed_mph FROM clean GROUP BY {P}""",
 )
 def trip_month_summary(spark, sf):
-    return T.month_summary(stored_clean(spark, sf))
+    return T.month_summary(clean(spark, sf))
 
 
 @query(
@@ -204,7 +201,7 @@ FOUR = ("total", "distance", "duration", "speed")
         {pick(SUMS, 'total', 'fare', 'tip')}, {pick(AVGS, *FOUR)}, {pick(MEDS, *FOUR)} FROM clean""",
 )
 def trip_period_summary(spark, sf):
-    return T.period_summary(stored_clean(spark, sf))
+    return T.period_summary(clean(spark, sf))
 
 
 @query(
@@ -331,6 +328,12 @@ PROFILE_NULLS = {
     "null_do_location": "dropoff_location_id", "null_trip_distance": "trip_distance", "null_fare_amount": "fare_amount",
     "null_total_amount": "total_amount",
 }
+# Columns of a trip file and their types.
+FILE_TYPES = {
+    "order_id": "bigint", "line_id": "int", "tpep_pickup_datetime": "timestamp_ntz", "tpep_dropoff_datetime": "timestamp_ntz",
+    "passenger_count": "int", "trip_distance": "double", "RatecodeID": "int", "PULocationID": "int", "DOLocationID": "int",
+    "payment_type": "string", "fare_amount": "double", "tip_amount": "double", "tolls_amount": "double", "total_amount": "double",
+}
 VALID = "FILTER (WHERE dropoff_datetime > pickup_datetime AND trip_distance > 0)"
 FIVE = ("distance", "duration", "speed", "fare", "total")
 
@@ -347,7 +350,40 @@ FIVE = ("distance", "duration", "speed", "fare", "total")
         FROM staged GROUP BY source_file""",
 )
 def trip_file_profile(spark, sf):
-    return T.file_profile(stored_trips(spark, sf))
+    return T.file_profile(raw_trips(spark, sf))
+
+
+@query(
+    "trip_file_columns",
+    f"""WITH {RAW_TRIPS}, f AS (SELECT taxi_type, data_year, data_month, count(*) AS row_count, {', '.join(f'count({c}) AS {c}' for c in FILE_TYPES)} FROM raw_trips GROUP BY ALL)
+        SELECT taxi_type, data_year, data_month, row_count, column_name, data_type, not_null_count, TRUE AS has_size FROM (
+        {' UNION ALL '.join(f"SELECT taxi_type, data_year, data_month, row_count, '{c}' AS column_name, '{t}' AS data_type, {c} AS not_null_count FROM f" for c, t in FILE_TYPES.items())})""",
+)
+def trip_file_columns(spark, sf):
+    """Trips written to the landing layout, one folder a file, and read back by the pattern of their names."""
+    root = work_path(spark, "landing")
+    rows = raw_trips(spark, sf)
+    at = F.format_string("%s_tripdata_%d-%02d.parquet", "taxi_type", "data_year", "data_month")
+    rows.select(*FILE_TYPES, F.col("taxi_type").alias("type"), F.col("data_year").alias("year"), F.col("data_month").alias("month"), at.alias("file")).write.partitionBy("type", "year", "month", "file").parquet(root)
+    found = T.file_columns(read_trips(spark, root).drop("type", "year", "month", "file"))
+    return found.withColumn("has_size", F.col("file_size_mb") > 0).drop("file_size_mb")
+
+
+@query(
+    "source_landing_months",
+    f"""WITH {RAW_TRIPS} SELECT taxi_type, data_year, data_month, count(*) AS trip_count, {rnd('sum(total_amount)')} AS gross
+        FROM raw_trips WHERE data_year = 1996 AND data_month <= 2 GROUP BY ALL""",
+)
+def source_landing_months(spark, sf):
+    """Months under their landing paths, type / year / month / file, read back with what the names say."""
+    root = work_path(spark, "landing")
+    rows = written(raw_trips(spark, sf).where("data_year = 1996 AND data_month <= 2"), "landing-months")
+    for taxi_type in ("green", "yellow"):
+        for month in (1, 2):
+            part = rows.where((F.col("taxi_type") == taxi_type) & (F.col("data_month") == month)).select(*FILE_TYPES)
+            part.write.parquet(landing_path(root, taxi_type, 1996, month))
+    found = read_trips(spark, root)
+    return found.groupBy("taxi_type", "data_year", "data_month").agg(F.count(F.lit(1)).alias("trip_count"), T.half_up(F.sum("total_amount"), 4).alias("gross"))
 
 
 @query("trip_payment_histogram", f"WITH {RAW_TRIPS} SELECT payment_type, count(*) AS trip_count FROM raw_trips GROUP BY payment_type")

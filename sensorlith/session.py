@@ -25,9 +25,10 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config(CHECKPOINT_CONF, tempfile.mkdtemp(prefix="sensorlith-"))
-        .getOrCreate()
     )
+    if master.startswith("local[") or master == "local":  # a cluster names a folder that its executors share
+        spark = spark.config(CHECKPOINT_CONF, tempfile.mkdtemp(prefix="sensorlith-"))
+    spark = spark.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -79,6 +80,13 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder, for those who read some of its columns several times."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from there."""
     shared_dir(df.sparkSession)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,20 +32,6 @@ def read_trips(spark: SparkSession, root: str, pattern: str = FILE_PATTERN) -> D
     return with_lineage(files.parquet(root), pattern)
 
 
-def union_drifting(frames: list[DataFrame]) -> DataFrame:
-    """Stack tables by column name; a column missing in one is null there."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-
-
-def file_sizes(df: DataFrame) -> DataFrame:
-    """Size of each source file, from file metadata alone."""
-    return df.select(F.col("_metadata.file_path").alias("source_file"), (F.col("_metadata.file_size") / 1_000_000).alias("file_size_mb")).distinct()
-
-
-def described_schema(df: DataFrame) -> list[tuple[str, str]]:
-    return df.dtypes
-
-
 def read_zones_csv(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("header", "true").option("inferSchema", "true").csv(path)
     return raw.select(

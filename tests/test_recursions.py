@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sensorlith.operators import recursions as R
 from sensorlith.operators.series import arrange
 from sensorlith.plans import filters as FI
+from sensorlith.plans import rovers as RV
 from sensorlith.plans import signals as S
 
 
@@ -232,3 +236,63 @@ def test_highpass_does_not_leak_between_sources(spark):
     b, a = S.highpass_coefficients(4, 100.0, 1000.0)
     got = S.highpass_energy(arrange(df, ["source"], ["block_idx"]), b, a).filter("source = 'b'").collect()
     assert len(got) == 3 and all(v == 0.0 for r in got for v in r["energy"])
+
+
+def turn_loop(rows, trigger, clear):
+    turn, out = 0.0, []
+    for front, left, right in rows:
+        forward = False
+        if np.isnan(front):
+            pass
+        elif turn:
+            if front > clear:
+                turn, forward = 0.0, True
+        elif front > trigger:
+            forward = True
+        elif not (np.isnan(left) and np.isnan(right)):
+            turn = -1.0 if np.isnan(left) or (not np.isnan(right) and right > left) else 1.0
+        out.append((turn, forward))
+    return out
+
+
+@pytest.mark.parametrize("cut", [False, True])
+def test_turn_states_against_a_loop(spark, cut, request):
+    if cut:
+        request.getfixturevalue("cut_series")
+    rng = np.random.default_rng(5)
+    frames = []
+    for robot, n in ((1, 150), (2, 1), (3, 40)):
+        values = rng.uniform(0, 1, (n, 3))
+        values[rng.random((n, 3)) < 0.2] = np.nan
+        frames.append(pd.DataFrame(values, columns=["front", "left", "right"]).assign(robot_id=robot, ts=np.arange(n) * 0.1))
+    pdf = pd.concat(frames, ignore_index=True)
+    got = RV.turn_states(spark.createDataFrame(pdf).repartition(3), 0.4, 0.6).orderBy("robot_id", "ts").toPandas()
+    want = [x for _, g in pdf.groupby("robot_id") for x in turn_loop(g[["front", "left", "right"]].to_numpy(), 0.4, 0.6)]
+    assert [tuple(x) for x in got[["turn", "forward"]].itertuples(index=False)] == want
+
+
+def test_folds_of_sixteen_parts_run_few_rows_again(spark):
+    """The detector forgets, so a part that is entered anew meets its first run again after some hundred rows."""
+    rng = np.random.default_rng(7)
+    cfg = S.Detector(rate_hz=640.0, block=64, calibration_sec=8.0)
+    n = 16 * 1600
+    rows = [("s", i, 64, float(p), 3, float(sc), float(m), float(g), bool(o)) for i, p, sc, m, g, o in zip(range(n), rng.random(n), np.where(rng.random(n) < 0.002, 9.0, rng.random(n)), 0.2 + 0.01 * rng.random(n), 0.05 + 0.01 * rng.random(n), rng.random(n) < 0.9)]
+    df = spark.createDataFrame(rows, "source string, block_idx long, length long, peak double, peak_idx long, score double, median double, sigma double, gate boolean")
+    folded = spark.sparkContext.accumulator(0)
+
+    def fold(pdf, state):
+        folded.add(len(pdf))
+        state, out = tuple(state) if state is not None else S.START, []
+        for row in pdf[S.INPUTS].itertuples(index=False, name=None):
+            state, trace = S.detector_step(cfg, state, row)
+            out.append(trace)
+        return pd.DataFrame(out, columns=S.TRACE.names).astype({"trigger_sample": "Int64"}), list(state)
+
+    s = arrange(df, ["source"], ["block_idx"])
+    parts = R.cut(df.repartitionByRange(16, "source", "block_idx").withColumn(R.PART, F.spark_partition_id()))
+    cut_up = R.run_fold(replace(s, df=parts, parts=16), fold, S.TRACE, S.quiet_state).orderBy("block_idx").toPandas()
+    print(f"rows folded on 16 parts: {folded.value} of {n}")
+    assert n < folded.value <= 2 * n
+    whole = R.run_fold(s, fold, S.TRACE).orderBy("block_idx").toPandas()
+    pd.testing.assert_frame_equal(cut_up, whole)
+    assert whole["trigger_sample"].notna().sum() > 10
