@@ -181,14 +181,18 @@ SAME = 1e-12
 
 
 def _run_again(pdf: pd.DataFrame, fold: Fold, state: list[float] | None, marks: dict[int, list[float]]) -> pd.DataFrame:
-    """Rows in order with ``_pos`` and, at marks and at the end, ``_state``. It stops at a mark where the last run had the same state."""
+    """What the fold gives, with the number of the last row of its piece (``_pos``), and a row with the state after each piece. It stops
+    where the last run had the same state."""
     out = []
     for a in range(0, len(pdf), MARK):
         piece = pdf.iloc[a : a + MARK].reset_index(drop=True)
         emitted, state = fold(piece, state)
         state = [float(x) for x in state]
         end = a + len(piece) - 1
-        out.append(emitted.assign(_pos=np.arange(a, end + 1), _state=[None] * (len(piece) - 1) + [state]))
+        n = len(emitted)
+        if not n:  # a row for the state alone
+            emitted = emitted.astype(object).reindex([0])
+        out.append(emitted.assign(_pos=end, _state=[None] * max(n - 1, 0) + [state], _given=n > 0))
         if end in marks and np.allclose(state, marks[end], rtol=SAME, atol=SAME * 1e-3, equal_nan=True):
             break
     return pd.concat(out, ignore_index=True)
@@ -205,7 +209,7 @@ def _null_safe(left: DataFrame, right: DataFrame, names: Sequence[str], how: str
 
 
 def run_fold(s: Series, fold: Fold, schema: T.StructType, guess: Callable[[pd.DataFrame], list[float]] | None = None) -> DataFrame:
-    """``fold(rows in order, entering state or None)`` returns (output rows, leaving state). ``guess`` may give a state from a part's first
+    """``fold(rows in order, entering state or None)`` returns (output rows, as many as it likes, leaving state). ``guess`` may give a state from a part's first
     rows from which its first run sooner meets the right one; the result does not depend on it."""
     order, keys = list(s.order), list(s.keys)
     out = T.StructType(_fields(s.df, keys) + schema.fields)
@@ -229,7 +233,7 @@ def run_fold(s: Series, fold: Fold, schema: T.StructType, guess: Callable[[pd.Da
 
     group = [*keys, PART]
     state_type = T.ArrayType(T.DoubleType())
-    version = T.StructType([*_fields(s.df, group), *schema.fields, T.StructField("_pos", T.LongType()), T.StructField("_state", state_type)])
+    version = T.StructType([*_fields(s.df, group), *schema.fields, T.StructField("_pos", T.LongType()), T.StructField("_state", state_type), T.StructField("_given", T.BooleanType())])
     columns = [f.name for f in version]
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -276,7 +280,7 @@ def run_fold(s: Series, fold: Fold, schema: T.StructType, guess: Callable[[pd.Da
                 over = over.unionByName(length)
             over = over.groupBy(*group).agg(F.max("_length").alias("_length"))
             rows = _null_safe(rows, F.broadcast(over), group, "left").where("_pos >= coalesce(_length, 0)")
-        rows = rows.select(*keys, *names)
+        rows = rows.where("_given").select(*keys, *names)
         result = rows if result is None else result.unionByName(rows)
     return result
 

@@ -23,6 +23,7 @@ from sensorlith.operators.series import (
     running_sum,
     shift,
 )
+from sensorlith.operators.segments import without_tiny
 from sensorlith.plans.filters import with_dt
 from sensorlith.session import cut
 
@@ -561,45 +562,16 @@ def with_duration(segs: DataFrame, step: DataFrame) -> DataFrame:
 
 
 def merged_labels(s: Series, label: str, out: str, min_sec: float = TINY_SEGMENT_SEC, passes: int = MERGE_PASSES) -> DataFrame:
-    """Segments after tiny ones have taken a neighbour's label, pass by pass.
-
-    Works on the segment table only. Each pass decides on the segments as they stand at its
-    start: equal neighbours win, else the longer one, else the earlier one; a run's first or
-    last segment takes its only neighbour. Each result row says which rows (by time) it holds.
-    """
+    """Segments after tiny ones have taken a neighbour's label, pass by pass. Each result row says which rows (by time) it holds."""
     numbered = islands(s, F.col(label), "_seg")
-    step = cut(median_step(s.df))
-    segs = cut(
-        numbered.df.groupBy("run_id", "_seg").agg(
-            F.first(label).alias("label"), F.min("time_sec").alias("start_time_sec"), F.max("time_sec").alias("end_time_sec"), F.count(F.lit(1)).alias("sample_count")
-        )
+    step = median_step(s.df)
+    segs = numbered.df.groupBy("run_id", "_seg").agg(
+        F.first(label).alias("label"), F.min("time_sec").alias("start_time_sec"), F.max("time_sec").alias("end_time_sec"), F.count(F.lit(1)).alias("sample_count")
     )
-    for _ in range(passes):
-        table = segs.join(step, "run_id").withColumn("dur", F.col("end_time_sec") - F.col("start_time_sec") + F.col("step")).drop("step")
-        t = arrange(table, ["run_id"], ["start_time_sec"])
-        t = shift(t, {"_pl": F.col("label"), "_pd": F.col("dur")})
-        t = shift(t, {"_nl": F.col("label"), "_nd": F.col("dur")}, by=-1)
-        tiny = (F.col("dur") < min_sec) & ~F.col("label").isin(*PROTECTED)
-        neighbour = (
-            F.when(F.col("_pl").isNull(), F.col("_nl"))
-            .when(F.col("_nl").isNull() | (F.col("_pl") == F.col("_nl")) | (F.col("_pd") >= F.col("_nd")), F.col("_pl"))
-            .otherwise(F.col("_nl"))
-        )
-        t = t.with_df(t.df.withColumn("_new", F.when(tiny & neighbour.isNotNull(), neighbour)))
-        t = t.with_df(cut(t.df))
-        if t.df.filter("_new is not null").limit(1).count() == 0:
-            break
-        t = t.with_df(t.df.withColumn("label", F.coalesce("_new", "label")).drop("_new", "_pl", "_pd", "_nl", "_nd", "dur"))
-        t = islands(t, F.col("label"), "_seg2")
-        segs = cut(
-            t.df.groupBy("run_id", F.col("_seg2").alias("_seg")).agg(
-                F.first("label").alias("label"),
-                F.min("start_time_sec").alias("start_time_sec"),
-                F.max("end_time_sec").alias("end_time_sec"),
-                F.sum("sample_count").alias("sample_count"),
-            )
-        )
-    return with_duration(segs.withColumnRenamed("_seg", "segment_id").withColumnRenamed("label", out), step)
+    labels = list(dict.fromkeys(GROUPS.values()))
+    merged = without_tiny(segs.drop("_seg").join(step, "run_id"), ["run_id"], labels, PROTECTED, min_sec, passes)
+    merged = number(arrange(merged, ["run_id"], ["start_time_sec"]), "segment_id").result()
+    return with_duration(merged.withColumnRenamed("label", out), step)
 
 
 def run_summary(samples: DataFrame, fine: DataFrame, group: DataFrame, clean: DataFrame) -> DataFrame:
