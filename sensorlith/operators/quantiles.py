@@ -16,22 +16,24 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sensorlith.session import cut
+from sensorlith.session import cut, written
 
-CELLS = 1 << 14
+#: cells of a range, and how many of its values share one at least: few values need few cells, or nothing is combined
+CELLS, SHARE = (32, 1 << 14), 64
 #: ranges that are sent to every task; more are joined by a shuffle
 SENT_ROWS = 50_000
 _MOST = 1.7976931348623157e308
 
 
-def _cell(v: Column, low: Column, high: Column) -> Column:
-    """Number of the cell of a value within ``low`` to ``high``. The two ends are always in different cells. NaN is the largest."""
+def _cell(v: Column, low: Column, high: Column, n: Column) -> Column:
+    """Number of the cell of a value within ``low`` to ``high``, which hold ``n``. The two ends are always in different cells. NaN is the largest."""
+    cells = F.greatest(F.lit(CELLS[0]), F.least(F.lit(CELLS[1]), F.floor(n / SHARE)))
     low, high = F.greatest(low, F.lit(-_MOST)), F.least(high, F.lit(_MOST))
     width = high - low
     share = F.when(width <= _MOST, F.try_divide(v - low, width)).otherwise(F.try_divide(v / 2 - low / 2, high / 2 - low / 2))
     return (
-        F.when(F.isnan(v), CELLS + 2).when(v > _MOST, CELLS + 1).when(v < -_MOST, -1)
-        .otherwise(F.least(F.floor(F.coalesce(share, F.lit(0.0)) * CELLS), F.lit(CELLS))).cast("int")
+        F.when(F.isnan(v), cells + 2).when(v > _MOST, cells + 1).when(v < -_MOST, -1)
+        .otherwise(F.least(F.floor(F.coalesce(share, F.lit(0.0)) * cells), cells)).cast("int")
     )
 
 
@@ -54,18 +56,20 @@ def percentiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[s
     for number, (column, p) in enumerate(wanted.values()):
         m = columns.index(column)
         at = (F.col(f"_m{m}.n") - 1) * F.lit(float(p))
-        asked += [F.struct(F.lit(m).alias("_m"), F.lit(2 * number + side).alias("_rank_of"), F.col(f"_m{m}.low").alias("_low"), F.col(f"_m{m}.high").alias("_high"), f(at).cast("long").alias("_rank")) for side, f in enumerate((F.floor, F.ceil))]
-    step = _Kept(totals.select(*ks, F.explode(F.array(*asked)).alias("_a")).select(*ks, "_a.*").where("_low IS NOT NULL"))
+        asked += [F.struct(F.lit(m).alias("_m"), F.lit(2 * number + side).alias("_rank_of"), F.col(f"_m{m}.low").alias("_low"), F.col(f"_m{m}.high").alias("_high"), F.col(f"_m{m}.n").alias("_size"), f(at).cast("long").alias("_rank")) for side, f in enumerate((F.floor, F.ceil))]
+    step = _Kept(totals.select(*ks, F.explode(F.array(*asked)).alias("_a")).select(*ks, "_a._m", F.lit(0).cast("long").alias("_in"), *[f"_a.{n}" for n in ("_rank_of", "_low", "_high", "_size", "_rank")]).where("_low IS NOT NULL"))
     found = step.closed()
-    names = [*ks, "_m", "_low", "_high"]
-    other = [f"_r{n}" for n in names]
+    rows, number = base, 0
     while (open_ := step.open()) is not None:
-        hist = _histogram(base, open_.distinct(names), ks)
-        upto = F.sum("_n").over(Window.partitionBy(*names).orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        at = open_.df.select(*[F.col(n).alias(o) for n, o in zip(names, other)], "_rank_of", "_rank")
-        holds = _on(names, other) & (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_n"))
-        hist = hist.withColumn("_upto", upto).join(at, holds)
-        step = _Kept(hist.select(*ks, "_m", "_rank_of", F.col("_least").alias("_low"), F.col("_most").alias("_high"), (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank")))
+        ranges, at = open_.ranges(ks)
+        rows = _within(base, ranges, ks) if number < 2 else _narrowed(rows, ranges)
+        if number == 1:  # the values of a few cells: later rounds read these only
+            rows = written(rows, "percentile-values")
+        number += 1
+        hist = _histogram(rows)
+        upto = F.sum("_n").over(Window.partitionBy("_id").orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        hist = hist.withColumn("_upto", upto).join(at, "_id").where("_rank < _upto AND _rank >= _upto - _n")
+        step = _Kept(hist.select(*ks, "_m", F.col("_id").alias("_in"), "_rank_of", F.col("_least").alias("_low"), F.col("_most").alias("_high"), F.col("_n").alias("_size"), (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank")))
         found = found.unionByName(step.closed())
     value = lambda r: F.max(F.when(F.col("_rank_of") == r, F.col("_low"))).alias(f"_x{r}")
     values = found.groupBy(*ks).agg(*[value(r) for r in range(2 * len(wanted))])
@@ -79,14 +83,23 @@ def percentiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[s
     return totals.join(values, _on(ks, right), "left").select(*[F.col(n).alias(k) for n, k in zip(ks, keys)], *out)
 
 
-def _histogram(base: DataFrame, ranges: DataFrame, ks: Sequence[str]) -> DataFrame:
-    """Count, smallest and largest value of each cell of each range."""
+def _within(base: DataFrame, ranges: DataFrame, ks: Sequence[str]) -> DataFrame:
+    """The values that lie in a range, with its number, ends and size."""
     other = [f"_r{k}" for k in ks]
-    rows = base.join(ranges.withColumnsRenamed(dict(zip(ks, other))), _on(ks, other)).drop(*other)
-    v = F.element_at("_v", F.col("_m") + 1)
-    rows = rows.select(*ks, "_m", "_low", "_high", v.alias("_x")).where("_x >= _low AND _x <= _high")
-    rows = rows.withColumn("_cell", _cell(F.col("_x"), F.col("_low"), F.col("_high")))
-    return rows.groupBy(*ks, "_m", "_low", "_high", "_cell").agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_least"), F.max("_x").alias("_most"))
+    rows = base.join(ranges.withColumnsRenamed(dict(zip(ks, other))), _on(ks, other))
+    return rows.select("_id", "_low", "_high", "_size", F.element_at("_v", F.col("_m") + 1).alias("_x")).where("_x >= _low AND _x <= _high")
+
+
+def _narrowed(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The values that lie in a part of the range they were found in."""
+    rows = rows.select(F.col("_id").alias("_in"), "_x").join(ranges.select("_in", "_id", "_low", "_high", "_size"), "_in")
+    return rows.where("_x >= _low AND _x <= _high").select("_id", "_low", "_high", "_size", "_x")
+
+
+def _histogram(rows: DataFrame) -> DataFrame:
+    """Count, smallest and largest value of each cell of each range."""
+    rows = rows.select("_id", "_x", _cell(F.col("_x"), F.col("_low"), F.col("_high"), F.col("_size")).alias("_cell"))
+    return rows.groupBy("_id", "_cell").agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_least"), F.max("_x").alias("_most"))
 
 
 class _Kept:
@@ -115,10 +128,24 @@ class _Kept:
         wide = pc.or_(pc.less(low, high), pc.and_(pc.is_nan(high), pc.invert(pc.is_nan(low))))
         return self._part(self.rows.filter(wide), self.schema) if pc.any(wide).as_py() else None
 
-    def distinct(self, names: Sequence[str]) -> DataFrame:
+    def ranges(self, ks: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+        """The ranges, numbered (``_id``), and the ranks that are looked for in them."""
+        names, rest = [*ks, "_m", "_in", "_low", "_high", "_size"], [*ks, "_m", "_rank_of", "_rank"]
         if self.rows is None:
-            return _Kept(self.df.select(*names).distinct()).df
-        return self._part(self.rows.select(names).group_by(names).aggregate([]), self.df.select(*names).schema).df
+            ranges = cut(self.df.select(*names).distinct().withColumn("_id", F.monotonically_increasing_id()))
+            other = [f"_r{n}" for n in names]
+            at = self.df.join(ranges.withColumnsRenamed(dict(zip(names, other))), _on(names, other))
+            return ranges, at.select("_id", *rest)
+        numbers: dict[str, int] = {}
+        ids = [numbers.setdefault(repr(r), len(numbers)) for r in zip(*(self.rows[n].to_pylist() for n in names))]
+        rows = self.rows.append_column("_id", pa.array(ids, pa.int64()))
+        seen: set[int] = set()
+        first = pa.array([not (i in seen or seen.add(i)) for i in ids])
+        kind = lambda columns: StructType([self.schema[c] for c in columns]).add("_id", "long")
+        return (
+            self.spark.createDataFrame(rows.filter(first).select([*names, "_id"]), kind(names)),
+            self.spark.createDataFrame(rows.select([*rest, "_id"]), kind(rest)),
+        )
 
 
 def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -62,13 +62,13 @@ class Pass:
             self.joined = (label, start, end, rows)
 
 
-def without_tiny(segments: DataFrame, keys: Sequence[str], labels: Sequence[str], protected: Collection[str], min_sec: float, passes: int) -> DataFrame:
+def without_tiny(segments: DataFrame, keys: Sequence[str], labels: Sequence[str], protected: Collection[str], min_sec: float, passes: int, probe: DataFrame | None = None) -> DataFrame:
     """``segments`` (label, start_time_sec, end_time_sec, sample_count, step) after the passes: equal neighbours give a tiny segment its
-    label, else the longer one, else the earlier one; a series' first or last segment takes its only neighbour."""
+    label, else the longer one, else the earlier one; a series' first or last segment takes its only neighbour. ``probe`` as in ``arrange``."""
     known = list(labels)
     kept = {known.index(p) for p in protected}
     coded = segments.withColumn("_label", F.array_position(F.array(*[F.lit(x) for x in known]), F.col("label")) - 1).drop("label")
-    s = shift(arrange(coded, keys, ["start_time_sec"]), {"_after": F.struct("start_time_sec")}, by=-1)
+    s = shift(arrange(coded, keys, ["start_time_sec"], probe), {"_after": F.struct("start_time_sec")}, by=-1)
     s = s.with_df(s.df.withColumn("_last", F.col("_after").isNull()).drop("_after"))
 
     def fold(pdf: pd.DataFrame, state: list[float] | None) -> tuple[pd.DataFrame, list[float]]:

@@ -569,8 +569,8 @@ def merged_labels(s: Series, label: str, out: str, min_sec: float = TINY_SEGMENT
         F.first(label).alias("label"), F.min("time_sec").alias("start_time_sec"), F.max("time_sec").alias("end_time_sec"), F.count(F.lit(1)).alias("sample_count")
     )
     labels = list(dict.fromkeys(GROUPS.values()))
-    merged = without_tiny(segs.drop("_seg").join(step, "run_id"), ["run_id"], labels, PROTECTED, min_sec, passes)
-    merged = number(arrange(merged, ["run_id"], ["start_time_sec"]), "segment_id").result()
+    merged = without_tiny(segs.drop("_seg").join(step, "run_id"), ["run_id"], labels, PROTECTED, min_sec, passes, s.df)
+    merged = number(arrange(merged, ["run_id"], ["start_time_sec"], s.df), "segment_id").result()
     return with_duration(merged.withColumnRenamed("label", out), step)
 
 
