@@ -146,16 +146,17 @@ def scan(docs: DataFrame) -> DataFrame:
     rules = [(licence, list(rule), rule[0]) for licence, of in RULES.items() for rule in of]
     rules = spark.createDataFrame(rules, "licence string, rule array<string>, opens string")
     longest = max(len(rule) for of in RULES.values() for rule in of)
-    rows = docs.select("doc_id", identified(F.col("text")).alias("found")).where(F.size("found") > 0)
+    # a number of its own for each row: ids may be null or repeat
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), identified(F.col("text")).alias("found")).where(F.size("found") > 0)
     runs = F.transform(F.sequence(F.lit(1), F.size("found")), lambda i: F.slice("found", i, F.lit(longest)))
-    rows = rows.select("doc_id", F.explode(runs).alias("run")).withColumn("opens", F.col("run")[0]["id"])
+    rows = rows.select("doc_id", "row", F.explode(runs).alias("run")).withColumn("opens", F.col("run")[0]["id"])
     rows = rows.join(F.broadcast(rules), "opens").withColumn("run", F.expr("slice(run, 1, size(rule))"))
     near = F.forall(F.sequence(F.lit(1), F.size("run")), lambda i: (i == 1) | (F.element_at("run", i)["place"] - F.element_at("run", F.greatest(i - 1, F.lit(1)))["end"] <= GAP + 1))
     rows = rows.where((F.col("run")["id"] == F.col("rule")) & near)
-    rows = rows.select("doc_id", "licence", F.col("run")[0]["place"].alias("first_sentence"), F.element_at("run", -1)["end"].alias("last_sentence"), F.size("rule").alias("sentences"))
+    rows = rows.select("doc_id", "row", "licence", F.col("run")[0]["place"].alias("first_sentence"), F.element_at("run", -1)["end"].alias("last_sentence"), F.size("rule").alias("sentences"))
     # longer places first at each start: a later row that ends no further, and is shorter, lies within one before
-    before = Window.partitionBy("doc_id").orderBy("first_sentence", F.col("last_sentence").desc(), F.col("sentences").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("row").orderBy("first_sentence", F.col("last_sentence").desc(), F.col("sentences").desc()).rowsBetween(Window.unboundedPreceding, -1)
     cover = F.max(F.struct("last_sentence", "sentences")).over(before)
     rows = rows.withColumn("cover", cover)
     inside = (F.col("cover.last_sentence") >= F.col("last_sentence")) & (F.col("cover.sentences") > F.col("sentences"))
-    return rows.where(F.coalesce(~inside, F.lit(True))).drop("cover")
+    return rows.where(F.coalesce(~inside, F.lit(True))).drop("cover", "row")

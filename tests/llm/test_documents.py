@@ -356,6 +356,15 @@ def test_wrapped_licences(spark, messy):
     assert got == {(d, *x) for d, _, of in docs for x in of}
 
 
+def test_licences_of_rows_with_equal_and_null_ids(spark):
+    apache = "Licensed under the Apache License, Version 2.0 (the \"License\")."
+    texts = [f"{apache}\nmore text\n", "plain\n\nAll rights reserved.\n"]
+    for ids in ((1, 1), (None, None), (1, 2)):
+        df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(2)
+        alone = [r.licence for t in texts for r in licences.scan(spark.createDataFrame([(7, t)], "doc_id long, text string")).collect()]
+        assert sorted(r.licence for r in licences.scan(df).collect()) == sorted(alone) and "LicenseRef-all-rights-reserved" in alone
+
+
 # -- classifiers
 
 
