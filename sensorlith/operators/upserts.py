@@ -41,10 +41,15 @@ def last_load_of_key(facts: DataFrame, keys: Sequence[str], snapshot: str) -> Da
     return facts.join(last, same, "left_semi")
 
 
+#: folders that a keyed table's rows are dealt out to, by a hash of the key
+BUCKETS = 64
+_BUCKET = "_bucket_of_"
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
     """The table, or None before its first load."""
     try:
-        return spark.read.parquet(path)
+        return spark.read.option("mergeSchema", "true").parquet(path)
     except AnalysisException:
         return None
 
@@ -54,22 +59,37 @@ def create_empty(like: DataFrame, path: str, partition_by: Sequence[str] = ()) -
     like.limit(0).write.mode("ignore").partitionBy(*partition_by).parquet(path)
 
 
-def upsert_table(path: str, new: DataFrame, keys: Sequence[str], newest: Sequence[str] = ()) -> DataFrame:
+def read_keyed(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of a table that ``upsert_table`` keeps."""
+    table = read_table(spark, path)
+    return table if table is None else table.drop(*[c for c in table.columns if c.startswith(_BUCKET)])
+
+
+def upsert_table(path: str, new: DataFrame, keys: Sequence[str], newest: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
     """Replace the batch's keys in the stored table. With ``newest``, of old and new rows of a key only the
     largest by these columns stays, so that a batch that comes late doesn't undo a later one.
 
-    The merged rows are written to the shared folder first, so the table is never read and
-    overwritten at once, and a lost executor cannot lose rows.
+    The table lies in ``buckets`` folders by a hash of the key; the number stays as it was at the first load. A batch reads and
+    writes only the folders of its keys, whatever the size of the table. What it writes is made in the shared folder first, so the table is
+    never read and overwritten at once; a batch that fails is run again and gives the same rows.
     """
     spark = new.sparkSession
     old = read_table(spark, path)
+    column = next((c for c in old.columns if c.startswith(_BUCKET)), None) if old is not None else f"{_BUCKET}{buckets}"
+    if column is None:
+        raise ValueError(f"{path} is not a table in buckets")
+    number = F.pmod(F.xxhash64(*keys), F.lit(int(column.removeprefix(_BUCKET)))).cast("int")
+    new = cut(new.withColumn(column, number))
+    if old is not None:
+        touched = [r[0] for r in new.select(column).distinct().collect()]  # at most the number of folders
+        old = old.where(F.col(column).isin(touched))
     if newest:
         every = new if old is None else old.unionByName(new, allowMissingColumns=True)
         merged = latest(every, list(keys), [F.col(c) for c in newest])
     else:
         merged = new if old is None else replace_by_key(old, new, keys)
-    cut(merged).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    replace_partitions(cut(merged).repartition(column), path, [column])
+    return read_keyed(spark, path)
 
 
 def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:

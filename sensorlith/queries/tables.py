@@ -313,6 +313,80 @@ def snapshot_weather_alerts(spark, sf):
     return SN.active_alerts(stored_weather(spark, sf)).select("location_id", "alert_id", "severity")
 
 
+def replayed(spark, sf, rows, name):
+    """Rows of all snapshots in a table by snapshot, into which every second snapshot is loaded again, with each row twice and then once."""
+    facts = cut(rows(stored_weather(spark, sf)))
+    again = facts.where(F.col("snapshot_id").cast("int") % 2 == 0)
+    path = work_path(spark, name)
+    U.upsert_table(path, facts, ["snapshot_id"])
+    U.upsert_table(path, again.unionAll(again), ["snapshot_id"])
+    return U.upsert_table(path, again, ["snapshot_id"])
+
+
+SNAPSHOT = "printf('%08d', event_id // 500) AS snapshot_id"
+
+
+@query(
+    "snapshot_forecast_table",
+    f"""WITH {EVENTS} SELECT {SNAPSHOT}, count(*) AS n, count(DISTINCT user_id) AS locations, min(date_trunc('second', ts) + INTERVAL 5 HOUR) AS first_start,
+        CAST(sum(k) AS BIGINT) AS wind_from, 'number' AS first_json_key FROM ev GROUP BY 1""",
+)
+def snapshot_forecast_table(spark, sf):
+    """Forecast facts kept by snapshot, with the period as JSON text."""
+    first_number = F.regexp_extract(F.get_json_object("raw_period_json", "$.windSpeed"), r"^(\d+)", 1).cast("long")
+    return replayed(spark, sf, SN.hourly_forecasts, "forecasts").groupBy("snapshot_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("location_id").alias("locations"), F.min("forecast_start_utc").alias("first_start"),
+        F.sum(first_number).alias("wind_from"), F.max(F.regexp_extract("raw_period_json", r'^\{"(\w+)"', 1)).alias("first_json_key"),
+    )
+
+
+@query(
+    "snapshot_observation_table",
+    f"""WITH {EVENTS} SELECT {SNAPSHOT}, count(*) AS n, count(DISTINCT user_id) AS locations, count(DISTINCT k % 4) AS stations, {settle('sum(CAST(k AS DOUBLE))', 4)} AS celsius_sum
+        FROM ev WHERE event_type <> 'error' GROUP BY 1""",
+)
+def snapshot_observation_table(spark, sf):
+    return replayed(spark, sf, SN.latest_observations, "observations").groupBy("snapshot_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("location_id").alias("locations"), F.count_distinct("station_id").alias("stations"), settled(F.sum("temperature_c"), 4).alias("celsius_sum")
+    )
+
+
+@query("snapshot_alert_table", f"WITH {EVENTS} SELECT {SNAPSHOT}, count(*) AS n, count(DISTINCT user_id) AS locations, min(CASE WHEN k % 2 = 0 THEN 'A' ELSE 'P' END || CAST(event_id AS VARCHAR)) AS first_alert FROM ev WHERE event_type = 'signup' GROUP BY 1")
+def snapshot_alert_table(spark, sf):
+    return replayed(spark, sf, SN.active_alerts, "alerts").groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("location_id").alias("locations"), F.min("alert_id").alias("first_alert"))
+
+
+@query(
+    "snapshot_weather_counts",
+    f"""WITH {EVENTS}, s AS (SELECT *, {SNAPSHOT} FROM ev)
+        SELECT 'forecasts' AS table_name, count(*) AS n, count(DISTINCT user_id) AS locations, count(DISTINCT snapshot_id) AS snapshots, max(snapshot_id) AS newest FROM s
+        UNION ALL SELECT 'observations', count(*), count(DISTINCT user_id), count(DISTINCT snapshot_id), max(snapshot_id) FROM s WHERE event_type <> 'error'
+        UNION ALL SELECT 'alerts', count(*), count(DISTINCT user_id), count(DISTINCT snapshot_id), max(snapshot_id) FROM s WHERE event_type = 'signup'""",
+)
+def snapshot_weather_counts(spark, sf):
+    """What the weather tables hold after an ingest."""
+    docs = stored_weather(spark, sf)
+    out = None
+    for name, rows in (("forecasts", SN.hourly_forecasts), ("observations", SN.latest_observations), ("alerts", SN.active_alerts)):
+        counted = rows(docs).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("location_id").alias("locations"), F.count_distinct("snapshot_id").alias("snapshots"), F.max("snapshot_id").alias("newest"))
+        counted = counted.select(F.lit(name).alias("table_name"), "*")
+        out = counted if out is None else out.unionByName(counted)
+    return out
+
+
+@query(
+    "snapshot_road_counts",
+    f"""WITH {ROAD} SELECT event_type AS borough, count(*) AS n, count(DISTINCT user_id) AS links, count(DISTINCT data_as_of) AS versions, count(*) FILTER (WHERE k % 10 > 1) AS with_speed,
+        max(snapshot_id) AS newest FROM rd WHERE data_as_of IS NOT NULL GROUP BY 1""",
+)
+def snapshot_road_counts(spark, sf):
+    """Rows per borough after an ingest."""
+    docs = stored_documents(spark, road_documents(spark, sf), ROAD_SNAPSHOT, "road")
+    return SN.link_speeds(docs).groupBy("borough").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("link_id").alias("links"), F.count_distinct("data_as_of").alias("versions"), F.count("speed_mph").alias("with_speed"), F.max("snapshot_id").alias("newest")
+    )
+
+
 @query("snapshot_weather_locations", f"WITH {EVENTS} SELECT 'loc' || CAST(user_id AS VARCHAR) AS location_id, user_id / 10.0 AS lat, 'OKX' AS office, printf('%08d', max(event_id // 500)) AS last_seen_snapshot_id FROM ev GROUP BY user_id")
 def snapshot_weather_locations(spark, sf):
     return SN.weather_locations(stored_weather(spark, sf)).select("location_id", "lat", "office", "last_seen_snapshot_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -177,3 +178,28 @@ def test_run_log_lines(spark, tmp_path):
     event = runlogs.events(lines).first()
     assert (event["sequence"], event["payload"]["waypoints_reached"]) == (3, 3)
     assert sorted(len(r["errors"]) for r in runlogs.rejected(lines).collect()) == [1, 2]
+
+
+def test_a_batch_rewrites_only_the_folders_of_its_keys(spark):
+    path = work_path(spark, "buckets-test")
+    rows = lambda ids, v: spark.createDataFrame([(i, v) for i in ids], "k long, v string")
+    upsert_table(path, rows(range(400), "old"), ["k"], buckets=16)
+
+    def files():
+        return {(p.parent.name, p.name) for p in Path(path.removeprefix("file://")).rglob("part-*.parquet")}
+
+    before = files()
+    got = upsert_table(path, rows([3, 5, 900], "new"), ["k"], buckets=8)  # the number of folders stays
+    after = files()
+    touched = {folder for folder, _ in after - before}
+    assert len({folder for folder, _ in before}) == 16 and 1 <= len(touched) <= 3
+    assert {x for x in before if x[0] not in touched} == {x for x in after if x[0] not in touched}
+    assert got.columns == ["k", "v"] and got.count() == 401
+    assert {r.k for r in got.where("v = 'new'").collect()} == {3, 5, 900}
+
+
+def test_a_later_column_is_null_in_older_rows(spark):
+    path = work_path(spark, "buckets-test")
+    upsert_table(path, spark.createDataFrame([(i, "x") for i in range(50)], "k long, v string"), ["k"])
+    got = upsert_table(path, spark.createDataFrame([(1, "y", 7)], "k long, v string, w int"), ["k"])
+    assert got.count() == 50 and [tuple(r) for r in got.where("w IS NOT NULL").select("k", "v", "w").collect()] == [(1, "y", 7)]
