@@ -11,7 +11,8 @@ from sensorlith.queries.imu import D, out, sql_out
 from sensorlith.queries.speeds import settle
 from sensorlith.queries.trip_tables import table
 from sensorlith.registry import query
-from sensorlith.session import cut
+from sensorlith.session import cut, work_path
+from sensorlith.sources.waveforms import read_files, write_files
 
 c = F.col
 CFG = S.Detector(rate_hz=64.0, block=64, envelope_ms=125.0, cutoff_hz=8.0, threshold_sigmas=5.0)
@@ -118,6 +119,23 @@ def signal_event_clips(spark, sf):
     return pcm.join(means, ["source", "event_id"]).select("source", "event_id", F.size("pcm").cast("long").alias("n_samples"), settled(c("m"), 4).alias("removed_mean"))
 
 
+@query(
+    "signal_clip_files",
+    f"""WITH {DETECT}, cl AS (SELECT ev.source, event_id, n, x, n - min(n) OVER w AS i, avg(x) OVER w AS m FROM ev JOIN sp ON sp.source = ev.source AND n >= cs AND n < ce WINDOW w AS (PARTITION BY ev.source, event_id)),
+        q AS (SELECT *, CAST(trunc(greatest(-1.0, least(1.0, x - m)) * 32767.0) AS BIGINT) AS s FROM cl)
+        SELECT source, event_id, count(*) AS n_samples, CAST(sum(s) AS BIGINT) AS sample_sum, CAST(sum(s * (i % 97)) AS BIGINT) AS weighted_sum, CAST(min(s) AS BIGINT) AS lowest, CAST(max(s) AS BIGINT) AS highest FROM q GROUP BY ALL""",
+)
+def signal_clip_files(spark, sf):
+    """Clips as 16-bit files, written by tasks and read back: every sample counts."""
+    pcm = S.clips(cut(records(spark, sf)), blocks(spark, sf), CFG)
+    name = F.concat(c("source").cast("string"), F.lit("-"), c("event_id").cast("string"))
+    path = work_path(spark, "clips")
+    write_files(pcm.select(name.alias("name"), F.lit(int(CFG.rate_hz)).alias("rate_hz"), F.lit(1).alias("channels"), F.lit(2).alias("width"), c("pcm").cast("array<bigint>").alias("pcm")), path)
+    back = read_files(spark, path, block=CFG.block).select(F.regexp_extract("source", r"([^/]+)-(\d+)\.wav$", 1).cast(dict(pcm.dtypes)["source"]).alias("source"), F.regexp_extract("source", r"-(\d+)\.wav$", 1).cast("long").alias("event_id"), "block_idx", F.posexplode("samples").alias("at", "x"))
+    s, i = F.rint(c("x") * 32768.0).cast("long"), c("block_idx") * CFG.block + c("at")
+    return back.groupBy("source", "event_id").agg(F.count(F.lit(1)).alias("n_samples"), F.sum(s).alias("sample_sum"), F.sum(s * (i % 97)).alias("weighted_sum"), F.min(s).alias("lowest"), F.max(s).alias("highest"))
+
+
 @query("signal_trailing_mean", f"WITH {SIGNAL} SELECT source, n AS sample, {settle('e', 7)} AS envelope FROM env")
 def signal_trailing_mean(spark, sf):
     rows = S.sample_rows(blocks(spark, sf), "samples", CFG.block).withColumn("e", c("x").cast("double") * c("x").cast("double"))

@@ -465,6 +465,29 @@ def source_waveform_blocks(spark, sf):
     return WV.blocks(files, 16).select("source", "rate_hz", "block_idx", F.rint(total * 32768.0).cast("long").alias("sample_sum"))
 
 
+@query(
+    "source_waveform_files",
+    f"""WITH s AS (SELECT vec_id, i, embedding[i + 1] AS x, [1, 2, 4][vec_id % 3 + 1] AS width, vec_id % 2 + 1 AS channels FROM embeddings, LATERAL (SELECT unnest(range(64)) AS i)),
+        p AS (SELECT *, CASE width WHEN 1 THEN 128 WHEN 2 THEN 32768 ELSE 2147483648 END::DOUBLE AS scale FROM s),
+        d AS (SELECT vec_id, i, CASE WHEN channels = 1 THEN round_even(x * scale, 0) / scale ELSE (round_even(x * scale, 0) + round_even(x * scale / 2, 0)) / 2 / scale END AS y FROM p)
+        SELECT CAST(vec_id AS VARCHAR) AS source, 64 AS rate_hz, CAST(i // 16 AS BIGINT) AS block_idx, 16 AS n, {settle('sum(y)', 6)} AS total FROM d GROUP BY vec_id, i // 16""",
+)
+def source_waveform_files(spark, sf):
+    """Files of 8, 16 and 32 bits, mono and stereo, written by tasks and read back in parts of a few hundred bytes."""
+    width = F.element_at(F.array(F.lit(1), F.lit(2), F.lit(4)), (c("vec_id") % 3 + 1).cast("int"))
+    full = F.when(width == 1, 128.0).when(width == 2, 32768.0).otherwise(2147483648.0)
+    whole = lambda y: F.rint(y).cast("long") + F.when(width == 1, 128).otherwise(0)
+    frame = lambda x: F.when(c("vec_id") % 2 == 0, F.array(whole(x.cast("double") * full))).otherwise(F.array(whole(x.cast("double") * full), whole(x.cast("double") * full / 2)))
+    rows = table(spark, sf, "embeddings").select(
+        c("vec_id").cast("string").alias("name"), F.lit(64).alias("rate_hz"), (c("vec_id") % 2 + 1).cast("int").alias("channels"), width.alias("width"), F.flatten(F.transform("embedding", frame)).alias("pcm")
+    )
+    path = work_path(spark, "waveforms")
+    WV.write_files(rows, path)
+    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)
+    read = WV.read_files(spark, path, block=16, part_bytes=540)
+    return read.select(F.regexp_extract("source", r"([^/]+)\.wav$", 1).alias("source"), "rate_hz", "block_idx", F.size("samples").alias("n"), settled(total, 6).alias("total"))
+
+
 # --- run logs and reports -------------------------------------------------------------------
 
 

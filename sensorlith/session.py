@@ -76,7 +76,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared one, never used twice."""
+    """A fresh folder under the shared one, never used twice. Who writes there may run Python on the workers, so they get the package."""
+    ship(spark)
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 

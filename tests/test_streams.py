@@ -156,6 +156,30 @@ def test_sensor_files(spark, tmp_path):
         assert "run_8" in str(e)
 
 
+def test_long_waveform_in_parts(spark, tmp_path):
+    """Each task reads its own bytes of a long file; blocks are those of the whole."""
+    import wave
+
+    rng = np.random.default_rng(2)
+    for name, width, channels, n in (("long", 2, 2, 5003), ("deep/short", 1, 1, 70), ("none", 4, 1, 0)):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        with wave.open(str(tmp_path / f"{name}.wav"), "wb") as f:
+            f.setnchannels(channels)
+            f.setsampwidth(width)
+            f.setframerate(1000)
+            f.writeframes(rng.integers(0, 200, n * channels).astype(waveforms.KINDS[width]).tobytes())
+    got = waveforms.read_files(spark, str(tmp_path), block=64, part_bytes=1500)
+    assert got.rdd.getNumPartitions() >= 14
+    rows = got.orderBy("source", "block_idx").collect()
+    for name in ("long", "deep/short"):
+        path = str(tmp_path / f"{name}.wav")
+        rate, x = waveforms.decode(Path(path).read_bytes())
+        mine = [r for r in rows if r.source == path]
+        assert [r.block_idx for r in mine] == list(range(-(-len(x) // 64))) and {r.rate_hz for r in mine} == {rate}
+        np.testing.assert_allclose(np.concatenate([r.samples for r in mine]), x)
+    assert len(rows) == 79 + 2
+
+
 def test_waveform_files(spark, tmp_path):
     import wave
 
