@@ -76,10 +76,17 @@ def rotate(q: Quat, v: tuple[Column, Column, Column], inverse: bool = False) ->
 
 
 def rotation_matrix(q: Quat) -> Column:
-    """3×3 array of arrays."""
-    axes = ((1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0))
-    columns = [rotate(q, tuple(F.lit(v) for v in axis)) for axis in axes]
-    return F.array(*[F.array(*[columns[c][r] for c in range(3)]) for r in range(3)])
+    """3×3 array of arrays; the quaternion is brought to length one."""
+
+    def rows(u: Column) -> Column:
+        w, x, y, z = (u[i] for i in range(4))
+        return F.array(
+            F.array(1.0 - 2.0 * (y * y + z * z), 2.0 * (x * y - w * z), 2.0 * (x * z + w * y)),
+            F.array(2.0 * (x * y + w * z), 1.0 - 2.0 * (x * x + z * z), 2.0 * (y * z - w * x)),
+            F.array(2.0 * (x * z - w * y), 2.0 * (y * z + w * x), 1.0 - 2.0 * (x * x + y * y)),
+        )
+
+    return F.transform(F.array(F.array(*normalise(q))), rows)[0]  # the length is taken once
 
 
 def tilt(gx: Column, gy: Column, gz: Column) -> tuple[Column, Column]:

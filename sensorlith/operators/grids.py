@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorlith.functions.grids import squared_distance
-from sensorlith.operators.series import latest
 from sensorlith.session import cut
 
 FOUR = ((-1, 0), (1, 0), (0, -1), (0, 1))
@@ -65,7 +64,7 @@ def clusters(found: DataFrame, min_size: int = MIN_CLUSTER) -> DataFrame:
     base = cut(found.select(*CELL))
     links = shifted(base.withColumn("a", node), EIGHT).join(base, CELL).select("map_id", "a", node.alias("b"))
     links = cut(links)
-    labels = base.select("map_id", node.alias("node"), node.alias("label"))
+    labels, done = base.select("map_id", node.alias("node"), node.alias("label")), None
     while True:
         near = (
             links.join(labels.select("map_id", F.col("node").alias("b"), "label"), ["map_id", "b"])
@@ -76,14 +75,26 @@ def clusters(found: DataFrame, min_size: int = MIN_CLUSTER) -> DataFrame:
             "map_id", "node", F.col("label").alias("_old"), F.least("label", "_near").alias("label")
         )
         above = sunk.select("map_id", F.col("node").alias("label"), F.col("label").alias("_up"))
-        step = cut(sunk.join(above, ["map_id", "label"]).select("map_id", "node", "_old", F.col("_up").alias("label")))
-        labels = step.drop("_old")
-        if step.filter(F.col("label") != F.col("_old")).limit(1).count() == 0:
+        step = cut(sunk.join(above, ["map_id", "label"]).select("map_id", "node", F.col("_up").alias("label"), (F.col("_up") != F.col("_old")).alias("_changed")))
+        settled, labels = _settled(step)
+        done = settled if done is None else done.unionByName(settled)
+        if labels is None:
             break
+    labels = done
     sizes = labels.groupBy("map_id", "label").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= min_size)
     return labels.join(sizes, ["map_id", "label"]).select("map_id", "node.row", "node.col", "label", "size")
 
 
+def _settled(step: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of the maps of which none is ``_changed``, and the others, or None: a map that a round leaves as it was is done,
+    and no later round writes it again."""
+    changed = cut(step.filter("_changed").select("map_id").distinct())
+    rows = step.drop("_changed")
+    if changed.isEmpty():
+        return rows, None
+    return rows.join(changed, "map_id", "left_anti"), rows.join(changed, "map_id", "left_semi")
+
+
 def cluster_summary(labelled: DataFrame) -> DataFrame:
     """Mean row and column of each cluster, and the member nearest to them (ties by row, column)."""
     keys = ["map_id", "label"]
@@ -139,8 +150,8 @@ def _lane(across: str, along: str) -> Column:
 def hop_distances(grid: DataFrame, starts: DataFrame) -> DataFrame:
     """Steps from the start cell to every free cell, null where there is no way.
 
-    Each round carries distances along whole unbroken rows and then columns (running minima
-    both ways), so it takes as many rounds as the shortest ways have turns, not steps.
+    Each round carries distances twice along whole unbroken rows and then columns (running minima
+    both ways), so it takes half as many rounds as the shortest ways have turns, and only over the maps that still change.
     """
     begin = starts.select("map_id", F.col("start_row").alias("row"), F.col("start_col").alias("col"), F.lit(0).alias("steps"))
     table = grid.filter("value = 0").select(*CELL).withColumns({"_rl": _lane("row", "col"), "_cl": _lane("col", "row")})
@@ -152,12 +163,17 @@ def hop_distances(grid: DataFrame, starts: DataFrame) -> DataFrame:
         ahead = F.min(F.col("steps") + F.col(along)).over(w.rowsBetween(0, Window.unboundedFollowing)) - F.col(along)
         return df.withColumn("steps", F.least(back, ahead))
 
-    while True:
-        swept = sweep(sweep(table.withColumn("_old", F.col("steps")), "row", "col", "_rl"), "col", "row", "_cl")
-        swept = cut(swept)
-        table = swept.drop("_old")
-        if swept.filter(~F.col("steps").eqNullSafe(F.col("_old"))).limit(1).count() == 0:
-            return table.select(*CELL, "steps")
+    def both(df: DataFrame) -> DataFrame:
+        return sweep(sweep(df, "row", "col", "_rl"), "col", "row", "_cl")
+
+    done = None
+    while True:  # a map is done when the second of two goes over it changes nothing
+        twice = both(both(table).withColumn("_old", F.col("steps")))
+        step = cut(twice.withColumn("_changed", ~F.col("steps").eqNullSafe(F.col("_old"))).drop("_old"))
+        settled, table = _settled(step)
+        done = settled if done is None else done.unionByName(settled)
+        if table is None:
+            return done.select(*CELL, "steps")
 
 
 def shortest_paths(distances: DataFrame, goals: DataFrame) -> DataFrame:
@@ -186,7 +202,3 @@ def shortest_paths(distances: DataFrame, goals: DataFrame) -> DataFrame:
         jump = cut(jump.join(far, ["map_id", "up"]).select("map_id", "at", F.col("_far").alias("up")))
     cells_on = path.select("map_id", F.col("at.r").alias("row"), F.col("at.c").alias("col"))
     return cells_on.join(reached, CELL).withColumnRenamed("steps", "step")
-
-
-def newest_map(maps: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
-    return latest(maps, keys, [F.col(time)])

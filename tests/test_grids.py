@@ -124,3 +124,30 @@ def test_exploration_job_has_a_row_per_map(world):
     rows = MP.explore(df, min_cluster=3, clearance_m=-0.4).collect()
     assert {r["map_id"] for r in rows} >= set(data)
     assert any(r["goal_row"] is not None for r in rows)
+
+
+def test_settled_maps_are_not_written_again(spark, monkeypatch):
+    """One winding map takes many rounds, the open ones one or two; all rounds together write few rows."""
+    size, grids = 15, []
+    for m in range(60):
+        grid = np.zeros((size, size), int)
+        if m == 0:  # a way to and fro
+            for r in range(1, size, 2):
+                grid[r, :] = 100
+                grid[r, size - 1 if r % 4 == 1 else 0] = 0
+        grids += [(m, r, q, int(grid[r, q])) for r in range(size) for q in range(size)]
+    cells = spark.createDataFrame(grids, "map_id long, row int, col int, value int")
+    starts = spark.createDataFrame([(m, 0, 0) for m in range(60)], "map_id long, start_row int, start_col int")
+    written, cut = [], G.cut
+
+    def counted(df):
+        out = cut(df)
+        if "steps" in out.columns:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "cut", counted)
+    got = {(r.map_id, r.row, r.col): r.steps for r in G.hop_distances(cells, starts).collect()}
+    assert got[1, 14, 14] == 28 and got[0, 14, 14] > 100 and len(got) == sum(v == 0 for *_, v in grids)
+    print(f"rows written over {len(written)} rounds: {sum(written)} of {len(got)} cells")
+    assert sum(written) <= 3 * len(got)
