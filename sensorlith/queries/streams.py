@@ -14,8 +14,9 @@ from sensorlith.queries.rovers import SCANS, TIMEOUT_S, commands, distances
 from sensorlith.queries.signals import CFG, DETECT, blocks
 from sensorlith.queries.speeds import settle
 from sensorlith.registry import query
+from sensorlith.session import work_path
 from sensorlith.streaming import stateful as SF
-from sensorlith.streaming.runs import closing_row, replay
+from sensorlith.streaming.runs import closing_row, drain_with_budget, folder_stream, replay, started
 
 c = F.col
 DAY = 86_400
@@ -131,3 +132,18 @@ def stream_replay_order(spark, sf):
     log = run_log(spark, sf).select("run_id", "sequence", "event_time_s", F.timestamp_seconds("event_time_s").alias("at"))
     end = closing_row(log, sequence=F.lit(0), event_time_s=F.lit(7e9), at=F.timestamp_seconds(F.lit(7e9)))
     return replay(halves(log, "event_time_s"), lambda s: SF.in_order(s, "at", "1 hour"), "order", closing=end)
+
+
+@query(
+    "stream_block_budget",
+    """SELECT CAST(event_id % 6 // 2 AS BIGINT) AS batch_id, count(*) AS input_rows, true AS is_timed FROM events GROUP BY 1""",
+)
+def stream_block_budget(spark, sf):
+    """Blocks that arrive in six files and are taken two files at a time: a full source waits, no batch grows with it."""
+    root = work_path(spark, "budget")
+    blocks = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "value")
+    for number in range(6):  # files are taken in the order of their times
+        blocks.where(c("event_id") % 6 == number).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = folder_stream(spark, f"{root}/in", blocks.schema, files_per_trigger=2)
+    rows = drain_with_budget(spark, lambda: started(stream, f"{root}/out", f"{root}/checkpoint"))
+    return rows.select("batch_id", "input_rows", (c("batch_ms") > 0).alias("is_timed"))

@@ -523,12 +523,14 @@ def sink_result_csv(spark, sf):
 
 @query("sink_nested_report", f"WITH {STAGED} SELECT (SELECT count(*) FROM clean) AS clean_count, (SELECT count(*) FROM (SELECT DISTINCT data_year, data_month FROM clean)) AS months")
 def sink_nested_report(spark, sf):
-    """Coverage and counts of the period as one JSON record."""
+    """Coverage and counts of the period as one JSON document in parts, read back line by line."""
     trips = cut(T.clean(staging(spark, sf)).select(*T.PARTITION, "pickup_date"))
-    report = RP.nested_report({"counts": trips.agg(F.count(F.lit(1)).alias("clean_count"))}, {"coverage": T.period_coverage(trips)})
+    report = RP.nested_report({"counts": trips.agg(F.count(F.lit(1)).alias("clean_count"))}, {"coverage": (T.period_coverage(trips), ["data_year", "data_month"])})
     path = work_path(spark, "report")
-    RP.write_json(report, path)
-    return spark.read.json(path).select("counts.clean_count", F.size("coverage").cast("long").alias("months"))
+    RP.write_nested_report(report, path)
+    lines = spark.read.text(path)
+    counted = F.regexp_extract("value", r'^"counts":\{"clean_count":(\d+)', 1)
+    return lines.agg(F.max(counted.try_cast("long")).alias("clean_count"), F.count_if(c("value").rlike(r'^,?\{"data_year":\d')).alias("months"))
 
 
 @query("sink_appended_lines", f"WITH {EVENTS} SELECT event_type, CAST(2 * count(*) AS BIGINT) AS n FROM ev GROUP BY event_type")

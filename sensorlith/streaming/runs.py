@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StructType
 
 from sensorlith.session import work_path
@@ -22,18 +23,17 @@ def folder_stream(spark: SparkSession, path: str, schema: StructType, files_per_
 
 def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Process what is there and stop; running it again with the same checkpoint goes on with new files."""
-    q = (
-        stream.writeStream.format("parquet")
-        .outputMode(mode)
-        .option("path", out)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    q = started(stream, out, checkpoint, mode)
     q.awaitTermination()
     return q
 
 
+def started(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """The stream, running over what is there."""
+    writer = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
 def drain_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     q = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -67,3 +67,52 @@ def budget(progress: list[dict], seconds_per_row: float) -> list[dict]:
         real_ms = rows * seconds_per_row * 1000.0
         out.append({"batch_id": p["batchId"], "rows": rows, "duration_ms": ms, "utilisation": ms / real_ms if real_ms else None})
     return out
+
+
+BUDGET = "batch_id long, input_rows long, batch_ms long, ms_per_row double, rows_per_second double"
+
+
+class BudgetListener(StreamingQueryListener):
+    """Keeps what the session's streams report while it listens."""
+
+    def __init__(self) -> None:
+        self.progress: list = []
+        self.ended: list[str] = []
+
+    def onQueryStarted(self, event) -> None:
+        """Nothing has been read yet."""
+
+    def onQueryIdle(self, event) -> None:
+        """Nothing was read."""
+
+    def onQueryProgress(self, event) -> None:
+        self.progress.append(event.progress)
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.append(str(event.runId))
+
+    def rows(self, run_id: str) -> list[tuple]:
+        """A row for each batch of one stream that had input: what it read and what time it took."""
+        out = {}
+        for p in self.progress:
+            if str(p.runId) == run_id and p.numInputRows:
+                ms = int(p.durationMs.get("triggerExecution", 0))
+                out[p.batchId] = (p.batchId, p.numInputRows, ms, ms / p.numInputRows, float(p.processedRowsPerSecond))
+        return sorted(out.values())
+
+
+def drain_with_budget(spark: SparkSession, start: Callable[[], StreamingQuery], wait_s: float = 120.0) -> DataFrame:
+    """Run a stream that ends by itself and give the budget rows of its batches (``BUDGET``). Reports come in after the batches, so
+    the report of the end is awaited."""
+    listener = BudgetListener()
+    spark.streams.addListener(listener)
+    try:
+        query = start()
+        run_id = str(query.runId)
+        query.awaitTermination()
+        give_up = time.monotonic() + wait_s
+        while run_id not in listener.ended and time.monotonic() < give_up:
+            time.sleep(0.05)
+    finally:
+        spark.streams.removeListener(listener)
+    return spark.createDataFrame(listener.rows(run_id), BUDGET)

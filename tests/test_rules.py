@@ -154,3 +154,18 @@ def test_slowdown_needs_a_baseline(spark):
     assert value(spark, scores.slowdown_ratio(F.lit(10.0), F.lit(0.0))) is None
     assert value(spark, scores.slowdown_ratio(F.lit(50.0), F.lit(40.0))) == 0.0
     assert value(spark, scores.slowdown_ratio(F.lit(10.0), F.lit(40.0))) == 0.75
+
+
+def test_nested_report_is_one_document(spark, tmp_path):
+    import json
+
+    from sensorlith.sources import reports
+
+    rows = spark.createDataFrame([(i % 50, f'say "{i}"', None if i % 3 else i) for i in range(200)], "a int, b string, c int").repartition(7)
+    one = spark.createDataFrame([(5, None)], "n int, m string")
+    report = reports.nested_report({"one": one, "other": one}, {"rows": (rows, ["a", "b"]), "none": (rows.limit(0), ["a"]), "twice": (rows.limit(1).union(rows.limit(1)), ["a"])})
+    reports.write_nested_report(report, str(tmp_path / "out"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
+    got = json.loads(text)
+    assert got["one"] == got["other"] == {"n": 5, "m": None} and got["none"] == [] and len(got["twice"]) == 2
+    assert got["rows"] == [{"a": a, "b": b, "c": x} for a, b, x in sorted(((i % 50, f'say "{i}"', None if i % 3 else i) for i in range(200)), key=lambda r: r[:2])]
