@@ -117,6 +117,36 @@ def highpass_energy(blocks: Series, b: np.ndarray, a: np.ndarray) -> DataFrame:
     return R.run_scan(blocks, scan, schema)
 
 
+class BlockFilter:
+    """The same filter for one block after the other: what comes out, and the state that is left, are sums over the
+    block's samples and the state before it, whose factors are the same for all blocks of one length."""
+
+    def __init__(self, b: np.ndarray, a: np.ndarray) -> None:
+        self.order = len(a) - 1
+        self.b, self.a = b, a
+        self.known: dict[int, tuple[np.ndarray, ...]] = {}
+
+    def _factors(self, length: int) -> tuple[np.ndarray, ...]:
+        if length not in self.known:
+            n = self.order
+            transition = np.zeros((n, n))
+            transition[:, 0] = -self.a[1:]
+            transition[: n - 1, 1:] = np.eye(n - 1)
+            drive = self.b[1:] - self.a[1:] * self.b[0]
+            powers = [np.eye(n)]
+            for _ in range(length):
+                powers.append(transition @ powers[-1])
+            answer = np.array([self.b[0], *[(p @ drive)[0] for p in powers[: length - 1]]])
+            self.known[length] = answer, np.array([p[0] for p in powers[:length]]), np.stack([p @ drive for p in powers[length - 1 :: -1]], axis=1), powers[length]
+        return self.known[length]
+
+    def __call__(self, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(x):
+            return x, state
+        answer, seen, kept, over = self._factors(len(x))
+        return np.convolve(x, answer)[: len(x)] + seen @ state, over @ state + kept @ x
+
+
 def squared(blocks: DataFrame) -> DataFrame:
     """Energy without the high-pass."""
     return blocks.withColumn("energy", F.transform("samples", lambda x: x.cast("double") * x.cast("double"))).drop("samples")
@@ -297,6 +327,11 @@ def event_records(trace: DataFrame, lengths: DataFrame, cfg: Detector) -> DataFr
     )
 
 
+def pcm_of(clip: np.ndarray) -> np.ndarray:
+    """A clip without its mean, limited to ±1, as 16-bit integers."""
+    return (np.clip(clip - clip.mean(), -1.0, 1.0) * 32767.0).astype(np.int16) if len(clip) else np.zeros(0, np.int16)
+
+
 def clips(events: DataFrame, blocks: DataFrame, cfg: Detector) -> DataFrame:
     """Samples of each event's clip without their mean, limited to ±1, as 16-bit integers.
 

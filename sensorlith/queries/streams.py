@@ -73,13 +73,30 @@ def stream_guarded_commands(spark, sf):
         ce AS clip_end_sample, 0 AS lost_samples FROM ev""",
 )
 def stream_signal_events(spark, sf):
+    return live_events(spark, sf).select(
+        "source", "trigger_sample", *[settled(c(n), 7).alias(n) for n in ("score", "peak", "threshold_high")], "clip_start_sample", "clip_end_sample", "lost_samples"
+    )
+
+
+def live_events(spark, sf):
+    """Blocks that come in two files and an end mark for each source."""
     rows = blocks(spark, sf)
     ends = rows.groupBy("source").agg((F.max("block_idx") + 1).cast(rows.schema["block_idx"].dataType).alias("block_idx"))
     ends = ends.select("source", "block_idx", *[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name not in ("source", "block_idx")])
-    out = replay(halves(rows, "block_idx"), lambda s: SF.detector(s, CFG), "signal", closing=ends)
-    return out.select(
-        "source", "trigger_sample", *[settled(c(n), 7).alias(n) for n in ("score", "peak", "threshold_high")], "clip_start_sample", "clip_end_sample", "lost_samples"
-    )
+    return replay(halves(rows, "block_idx"), lambda s: SF.detector(s, CFG), "signal", closing=ends)
+
+
+@query(
+    "stream_clip_samples",
+    f"""WITH {DETECT}, cl AS (SELECT ev.source, trig, n, x, n - min(n) OVER w AS i, avg(x) OVER w AS m FROM ev JOIN sp ON sp.source = ev.source AND n >= cs AND n < ce WINDOW w AS (PARTITION BY ev.source, event_id)),
+        q AS (SELECT *, CAST(trunc(greatest(-1.0, least(1.0, x - m)) * 32767.0) AS BIGINT) AS s FROM cl)
+        SELECT source, trig AS trigger_sample, count(*) AS n_samples, CAST(sum(s) AS BIGINT) AS sample_sum, CAST(sum(s * (i % 97)) AS BIGINT) AS weighted_sum FROM q GROUP BY ALL""",
+)
+def stream_clip_samples(spark, sf):
+    """The samples of live events, as many and the same as those of the stored signal."""
+    one = live_events(spark, sf).select("source", "trigger_sample", F.posexplode("pcm").alias("i", "s"))
+    s = c("s").cast("long")
+    return one.groupBy("source", "trigger_sample").agg(F.count(F.lit(1)).alias("n_samples"), F.sum(s).alias("sample_sum"), F.sum(s * (c("i") % 97)).alias("weighted_sum"))
 
 
 @query("stream_once_per_version", f"WITH {STATUS} SELECT station_id, count(DISTINCT date_trunc('hour', source_last_updated_utc)) AS versions FROM status GROUP BY station_id")

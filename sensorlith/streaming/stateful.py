@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from sensorlith.functions.scans import RESUME_DISTANCE_M, SCAN_TIMEOUT_S, STOP_DISTANCE_M
 from sensorlith.plans.missions import ALERT_M, ALERT_SAMPLES
-from sensorlith.plans.signals import MAD_SIGMA, START, Detector, detector_step
+from sensorlith.plans.signals import BlockFilter, MAD_SIGMA, START, Detector, detector_step, pcm_of
 
 
 def _ordered(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
@@ -230,12 +230,18 @@ def collection_spans(status: DataFrame, gap: str, lateness: str) -> DataFrame:
     )
 
 
-def detector(blocks: DataFrame, cfg: Detector, history_sec: float = 10.0) -> DataFrame:
-    """Blocks (source, block_idx, samples) as they come to event records with their clip.
+CLIPS = (
+    ("trigger_sample", "long"), ("score", "double"), ("peak", "double"), ("threshold_high", "double"), ("clip_start_sample", "long"),
+    ("clip_end_sample", "long"), ("lost_samples", "long"), ("clip_mean", "double"), ("pcm", "array<smallint>"),
+)
 
-    State per source: detector, energies the envelope reaches back to, the last seconds of
-    samples, and events whose clip is not complete yet. A clip is sent when its last sample
-    has come, or when the source ends: a last row without samples says so. Several events may
+
+def detector(blocks: DataFrame, cfg: Detector, history_sec: float = 10.0, highpass: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """Blocks (source, block_idx, samples) as they come to event records with the samples of their clip.
+
+    State per source: detector, the high-pass filter (if its coefficients are given), energies the envelope reaches back to, the last
+    seconds of samples, and events whose clip is not complete yet. After a missing block filter and envelope start anew. A clip is sent when
+    its last sample has come, or when the source ends: a last row without samples says so. Several events may
     wait. ``lost_samples`` tells how much of a clip had already left the history.
     """
     width = cfg.envelope_samples
@@ -250,23 +256,41 @@ def detector(blocks: DataFrame, cfg: Detector, history_sec: float = 10.0) -> Dat
 
     def step(key, batches, state):
         rows = _ordered(batches, ["block_idx"])
+        filtered = BlockFilter(*highpass) if highpass is not None else None
+        order = filtered.order if filtered else 0
         if state.exists:
-            machine, tail, history, first, pending = state.get
-            machine, tail, history = tuple(machine), np.array(tail, dtype=float), np.array(history, dtype=float)
+            machine, tail, held, last, history, first, pending = state.get
+            machine, tail, held, history = tuple(machine), np.array(tail, dtype=float), np.array(held, dtype=float), np.array(history, dtype=float)
             pending = [tuple(pending[i : i + 4]) for i in range(0, len(pending), 4)]
         else:
-            machine, tail, history, first, pending = START, np.zeros(width - 1), np.empty(0), 0, []
+            machine, tail, held, last, history, first, pending = START, np.zeros(width - 1), np.zeros(order), -1, np.empty(0), 0, []
         sent = []
+
+        def send(waiting: list[tuple], end: int) -> None:
+            for trigger, sc, high, pk in waiting:
+                lo, hi = max(0, int(trigger) - pre), min(int(trigger) + post, end)
+                clip = history[max(lo - first, 0) : max(hi - first, 0)]
+                clip = clip[~np.isnan(clip)]
+                sent.append((key[0], int(trigger), sc, pk, high, lo, hi, hi - lo - len(clip), float(clip.mean()) if len(clip) else None, pcm_of(clip)))
+
         for index, samples in rows[["block_idx", "samples"]].itertuples(index=False, name=None):
             if samples is None:  # the source has ended
-                for trigger, sc, high, pk in pending:
-                    lo, hi = max(0, int(trigger) - pre), min(int(trigger) + post, first + len(history))
-                    clip = history[max(lo - first, 0) : hi - first]
-                    sent.append((key[0], int(trigger), sc, pk, high, lo, hi, hi - lo - len(clip), float(clip.mean())))
+                send(pending, first + len(history))
                 pending = []
                 continue
+            if index != last + 1:
+                tail, held = np.zeros(width - 1), np.zeros(order)
+                missing = int(index) * cfg.block - first - len(history)
+                if missing > keep:
+                    history, first = np.empty(0), int(index) * cfg.block
+                else:
+                    history = np.concatenate([history, np.full(max(missing, 0), np.nan)])
+            last = int(index)
             x = np.asarray(samples, dtype=float)
-            energy = np.concatenate([tail, x * x])
+            y = x
+            if filtered is not None:
+                y, held = filtered(x, held)
+            energy = np.concatenate([tail, y * y])
             env = np.convolve(energy, np.full(width, 1.0 / width), "valid")
             tail = energy[len(energy) - (width - 1) :]
             peak, at, score, med, sigma = features(env)
@@ -277,22 +301,17 @@ def detector(blocks: DataFrame, cfg: Detector, history_sec: float = 10.0) -> Dat
             pending = [p for p in pending if end < p[0] + post]
             if trace[7] is not None:
                 pending.append((float(trace[7]), score, trace[1], peak))
-            for trigger, sc, high, pk in done:
-                lo, hi = max(0, int(trigger) - pre), int(trigger) + post
-                clip = history[max(lo - first, 0) : hi - first]
-                sent.append((key[0], int(trigger), sc, pk, high, lo, hi, hi - lo - len(clip), float(clip.mean())))
+            send(done, end)
             drop = max(0, len(history) - keep)
             history, first = history[drop:], first + drop
-        state.update((list(machine), tail.tolist(), history.tolist(), int(first), [float(v) for p in pending for v in p]))
-        yield pd.DataFrame(
-            sent, columns=["source", "trigger_sample", "score", "peak", "threshold_high", "clip_start_sample", "clip_end_sample", "lost_samples", "clip_mean"]
-        )
+        state.update((list(machine), tail.tolist(), held.tolist(), last, history.tolist(), int(first), [float(v) for p in pending for v in p]))
+        yield pd.DataFrame(sent, columns=["source", *[n for n, _ in CLIPS]])
 
     key_type = blocks.schema["source"].dataType.simpleString()
     return blocks.groupBy("source").applyInPandasWithState(
         step,
-        f"source {key_type}, trigger_sample long, score double, peak double, threshold_high double, clip_start_sample long, clip_end_sample long, lost_samples long, clip_mean double",
-        "machine array<double>, tail array<double>, history array<double>, first long, pending array<double>",
+        f"source {key_type}, " + ", ".join(f"{n} {t}" for n, t in CLIPS),
+        "machine array<double>, tail array<double>, held array<double>, last long, history array<double>, first long, pending array<double>",
         "append",
         GroupStateTimeout.NoTimeout,
     )
