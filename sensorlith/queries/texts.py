@@ -136,3 +136,25 @@ def source_long_store_runs(spark, sf):
     store = events(spark, sf).select(c("user_id").cast("string").alias("run_id"), "event_id", c("ts").alias("time"), "user_id")
     names = [r[0] for r in store.select("run_id", "user_id").distinct().orderBy("user_id").limit(3).collect()]
     return SE.read_run(store, names).drop("user_id")
+
+
+@query(
+    "source_three_sensor_runs",
+    f"""WITH {EVENTS}, s AS (SELECT *, ['accelerometer', 'gravity', 'gyroscope'][event_id % 3 + 1] AS sensor FROM ev),
+        w AS (SELECT user_id FROM s GROUP BY user_id HAVING count(DISTINCT sensor) = 3)
+        SELECT CAST(user_id AS VARCHAR) AS run_id, sensor, count(*) AS n, {settle('sum(k / 10.0)', 4)} AS x_sum, {settle('sum(value)', 4)} AS y_sum FROM s JOIN w USING (user_id) GROUP BY ALL""",
+)
+def source_three_sensor_runs(spark, sf):
+    """Runs with all three sensors, a file of each, read by their names."""
+    sensor = F.element_at(F.array(*[F.lit(x) for x in sorted(SE.SENSORS)]), (c("event_id") % 3 + 1).cast("int"))
+    rows = events(spark, sf).select(c("user_id").cast("string").alias("run"), sensor.alias("sensor"), (c("event_id") / 100.0).alias("time_sec"), (c("k") / 10.0).alias("x"), c("value").alias("y"), F.lit(0.0).alias("z"))
+    whole = rows.groupBy("run").agg(F.count_distinct("sensor").alias("sensors")).where(F.col("sensors") == len(SE.SENSORS)).select("run")
+    path = work_path(spark, "sensor-files")
+    named = rows.join(whole, "run").select(F.concat("run", F.lit("_"), "sensor", F.lit(".csv")).alias("file"), "time_sec", "x", "y", "z")
+    named.repartition("file").write.partitionBy("file").option("header", "true").csv(path)
+    out = None
+    for short, frame in SE.read_three_sensor_runs(spark, path).items():
+        name = next(s for s, v in SE.SENSORS.items() if v == short)
+        counted = frame.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), settled(F.sum(f"{short}_x"), 4).alias("x_sum"), settled(F.sum(f"{short}_y"), 4).alias("y_sum")).withColumn("sensor", F.lit(name))
+        out = counted if out is None else out.unionByName(counted)
+    return out

@@ -78,15 +78,16 @@ def new_files(hashes: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def read_three_sensor_runs(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Frames by sensor from files <run>_<sensor>.csv; each run needs exactly one file of each sensor."""
+    """Frames by sensor from files <run>_<sensor>.csv, or folders of that name with the parts of a file; each run needs exactly one of each
+    sensor."""
     schema = T.StructType([T.StructField(n, T.DoubleType()) for n in ("time_sec", "x", "y", "z")])
     raw = spark.read.schema(schema).option("header", "true").csv(path, recursiveFileLookup=True, pathGlobFilter="*.csv")
-    name = F.col("_metadata.file_name")
-    pattern = rf"^(.*)_({'|'.join(SENSORS)})\.csv$"
+    name = F.col("_metadata.file_path")
+    pattern = rf"([^/=]*)_({'|'.join(SENSORS)})\.csv(/part-[^/]*)?$"
     rows = raw.select(
         F.regexp_extract(name, pattern, 1).alias("run_id"),
         F.regexp_extract(name, pattern, 2).alias("sensor"),
-        F.col("_metadata.file_path").alias("_file"),
+        F.regexp_replace(name, r"/part-[^/]*$", "").alias("_file"),
         "*",
     ).filter(F.col("sensor") != "")
     files = cut(rows.select("run_id", "sensor", "_file").distinct())
