@@ -84,3 +84,20 @@ def test_latest_prefers_known_and_newest(spark):
     df = spark.createDataFrame([("a", 1, 5, "old"), ("a", None, 9, "unknown"), ("a", 1, 6, "new"), ("b", None, 1, "only")], "k string, t int, i int, x string")
     got = {r["k"]: r["x"] for r in S.latest(df, ["k"], [F.col("t"), F.col("i")]).collect()}
     assert got == {"a": "new", "b": "only"}
+
+
+@pytest.mark.parametrize("sent", [2, 50_000])
+def test_percentiles_of_odd_values_and_keys(spark, monkeypatch, sent):
+    """Null keys, infinities, NaN, values a last bit apart, and ranges in tables instead of the plan."""
+    from sensorlith.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "SENT_ROWS", sent)
+    rng = np.random.default_rng(3)
+    odd = [1.0, 1.0 + 2**-52, 2.5, 1e300, -1e300, float("inf"), float("nan"), 5e-324, 0.0, -0.0]
+    rows = [(None if k == 3 else int(k), None if x > 2 else float(x), float(rng.choice(odd))) for k, x in zip(rng.integers(0, 4, 600), rng.normal(size=600))]
+    rows += [(9, None, 1.0), (10, 5.0, None)]
+    df = spark.createDataFrame(rows, "k long, x double, y double").repartition(3)
+    wanted = {"a": ("x", 0.5), "b": ("x", 0.9), "c": ("y", 0.5), "d": ("y", 0.0), "e": ("x", 1.0)}
+    got = sorted(map(str, percentiles(df, ["k"], wanted).collect()))
+    assert got == sorted(map(str, df.groupBy("k").agg(*[F.percentile(c, p).alias(n) for n, (c, p) in wanted.items()]).collect()))
+    assert [tuple(r) for r in percentiles(df.limit(0), [], {"m": ("x", 0.5)}).collect()] == [(None,)]
