@@ -51,7 +51,7 @@ def weights(bike: float, traffic: float) -> tuple[float, float]:
 
 def local_traffic(stations: DataFrame, links: DataFrame, radius_m: float) -> DataFrame:
     """Per station: links within the radius, their distance-weighted score, and the nearest link of all."""
-    stations = cut(stations.select("station_id", "lat", "lon"))
+    stations = stations.select("station_id", "lat", "lon")
     scored = cut(links.filter(F.col("traffic_stress_score").isNotNull() & (F.size("points") > 0)))
     segments = segments_of(scored, "link_id", "points")
     scores = scored.select("link_id", "traffic_stress_score", "link_name")

@@ -9,7 +9,6 @@ from sensorlith.functions.times import micros
 from sensorlith.plans import missions as M
 from sensorlith.queries.city_tables import EVENTS, events
 from sensorlith.queries.imu import EPOCH_US, D, out, sql_out
-from sensorlith.queries.speeds import even
 from sensorlith.registry import query
 
 c = F.col

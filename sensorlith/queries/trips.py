@@ -31,6 +31,12 @@ def clean(spark, sf):
     return T.clean(staging(spark, sf))
 
 
+def stored_clean(spark, sf):
+    """Clean trips for reports that go over them several times: when, where and how much."""
+    columns = [*T.PARTITION, "pickup_date", "pickup_hour", "pickup_location_id", "total_amount", *[T.MEANS[w][0] for w in ("distance", "duration", "speed")]]
+    return T.narrow(clean(spark, sf), columns, "clean-trips")
+
+
 @query(
     "trip_anomaly_counts",
     f"WITH {STAGED} " + " UNION ALL ".join(
