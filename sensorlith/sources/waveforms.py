@@ -15,11 +15,18 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from sensorlith.plans.signals import DOUBLES, iter_blocks, pcm_to_float
 from sensorlith.session import ship
 
+#: bytes that opening a file counts as, so that a task of short files is no longer than one of long ones
+OPEN_BYTES = 32 << 10
+#: tasks at most, unless each of them has TASK_BYTES to read: more than that take several parts in a row
+MOST_TASKS, TASK_BYTES = 256, 32 << 20
+#: rows that are handed on at once
+BATCH_ROWS = 1024
+
 #: samples by their bytes
 KINDS = {1: np.dtype("u1"), 2: np.dtype("<i2"), 4: np.dtype("<i4")}
 
@@ -96,7 +103,8 @@ class FileParts(InputPartition):
 class WaveformSource(DataSource):
     """Reads ``path`` (a .wav file or all below a folder) as rows of ``block`` samples, and writes rows of PCM samples as files.
 
-    A task reads about ``part_bytes``: a part of a long file or several short ones. Only its own bytes of a file and the header are read.
+    A part of about ``part_bytes`` is a piece of a long file or several short ones. A task reads one, or several in a row where
+    there are more than ``MOST_TASKS``. Only its own bytes of a file and the header are read.
     """
 
     @classmethod
@@ -109,7 +117,7 @@ class WaveformSource(DataSource):
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return WaveformReader(self.options["path"], int(self.options.get("block", 1024)), int(self.options.get("part_bytes", 32 << 20)))
 
-    def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
+    def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceArrowWriter:
         return WaveformWriter(self.options["path"])
 
 
@@ -121,20 +129,23 @@ class WaveformReader(DataSourceReader):
         store, root = fs.FileSystem.from_uri(self.path)
         found = store.get_file_info(root)
         files = [found] if found.type == fs.FileType.File else store.get_file_info(fs.FileSelector(root, recursive=True))
-        out, room = [], 0
+        out, room, total = [], 0, 0
         for info in sorted((f for f in files if f.type == fs.FileType.File and f.path.endswith(".wav")), key=lambda f: f.path):
             of = max(1, -(-info.size // self.part_bytes))
+            total += info.size
             for k in range(of):
-                size = info.size if of == 1 else self.part_bytes
+                size = max(info.size if of == 1 else self.part_bytes, min(OPEN_BYTES, self.part_bytes))
                 if not out or room < size:
                     out.append(FileParts([]))
                     room = self.part_bytes
                 out[-1].parts.append((info.path, k, of))
                 room -= size
-        return out or [FileParts([])]
+        each = -(-len(out) // max(MOST_TASKS, total // TASK_BYTES))
+        return [FileParts([p for part in out[i : i + each] for p in part.parts]) for i in range(0, len(out), each or 1)] or [FileParts([])]
 
     def read(self, partition: FileParts) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(self.path)
+        waiting, rows = [], 0
         for path, k, of in partition.parts:
             with store.open_input_file(path) as file:
                 channels, width, rate, first, size = header(file)
@@ -146,14 +157,26 @@ class WaveformReader(DataSourceReader):
                     file.seek(first + low * self.block * frame)
                     data = file.read(min((high - low) * self.block * frame, first + size - file.tell()))
                     raw = np.frombuffer(data[: len(data) // frame * frame], KINDS[width]).reshape(-1, channels)
-                    x = pcm_to_float(raw)
-                    rows = [x[i : i + self.block] for i in range(0, len(x), self.block)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([path] * len(rows)), pa.array([rate] * len(rows), pa.int32()), pa.array(range(low, low + len(rows)), pa.int64()), pa.array([r.tolist() for r in rows], pa.list_(pa.float64()))], names=BLOCKS.names
-                    )
-
-
-class WaveformWriter(DataSourceWriter):
+                    waiting.append((path, rate, low, pcm_to_float(raw)))
+                    rows += high - low
+                    if rows >= BATCH_ROWS or len(waiting[-1][3]) * 2 >= 256 * self.block:
+                        yield _block_rows(waiting, self.block)
+                        waiting, rows = [], 0
+        if waiting:
+            yield _block_rows(waiting, self.block)
+
+
+def _block_rows(stretches: list[tuple[str, int, int, np.ndarray]], block: int) -> pa.RecordBatch:
+    """Stretches (file, rate, number of the first block, samples) as block rows; only the last block of a stretch is shorter."""
+    counts = [-(-len(x) // block) for _, _, _, x in stretches]
+    lengths = np.concatenate([np.minimum(block, len(x) - np.arange(0, len(x), block)) for _, _, _, x in stretches])
+    samples = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(np.concatenate([x for _, _, _, x in stretches]), pa.float64()))
+    paths = pa.DictionaryArray.from_arrays(pa.array(np.repeat(np.arange(len(stretches)), counts), pa.int32()), [path for path, _, _, _ in stretches]).dictionary_decode()
+    numbers = np.concatenate([low + np.arange(n) for (_, _, low, _), n in zip(stretches, counts)])
+    return pa.RecordBatch.from_arrays([paths, pa.array(np.repeat([rate for _, rate, _, _ in stretches], counts), pa.int32()), pa.array(numbers, pa.int64()), samples], names=BLOCKS.names)
+
+
+class WaveformWriter(DataSourceArrowWriter):
     """Rows (name, rate_hz, channels, width, pcm: whole numbers, channels in turn) as files ``name``.wav.
 
     A file gets its name when it is whole, so a task that is lost leaves no half file under a name, and one that runs twice writes
@@ -163,20 +186,22 @@ class WaveformWriter(DataSourceWriter):
     def __init__(self, path: str) -> None:
         self.path = path
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         store, root = fs.FileSystem.from_uri(self.path)
         store.create_dir(root, recursive=True)
-        for row in rows:
-            content = io.BytesIO()
-            with wave.open(content, "wb") as f:
-                f.setnchannels(row["channels"])
-                f.setsampwidth(row["width"])
-                f.setframerate(row["rate_hz"])
-                f.writeframes(np.asarray(row["pcm"], KINDS[row["width"]]).tobytes())
-            draft = f"{root}/_{row['name']}-{uuid.uuid4().hex}"
-            with store.open_output_stream(draft) as out:
-                out.write(content.getvalue())
-            store.move(draft, f"{root}/{row['name']}.wav")
+        for batch in batches:
+            plain = (batch[c].to_pylist() for c in ("name", "rate_hz", "channels", "width"))
+            for name, rate, channels, width, pcm in zip(*plain, batch["pcm"]):
+                content = io.BytesIO()
+                with wave.open(content, "wb") as f:
+                    f.setnchannels(channels)
+                    f.setsampwidth(width)
+                    f.setframerate(rate)
+                    f.writeframes(pcm.values.cast(pa.from_numpy_dtype(KINDS[width])).to_numpy().tobytes())
+                draft = f"{root}/_{name}-{uuid.uuid4().hex}"
+                with store.open_output_stream(draft) as out:
+                    out.write(content.getvalue())
+                store.move(draft, f"{root}/{name}.wav")
         return WriterCommitMessage()
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:

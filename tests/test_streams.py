@@ -182,6 +182,20 @@ def test_long_waveform_in_parts(spark, tmp_path):
     assert len(rows) == 79 + 2
 
 
+def test_many_short_waveforms(spark, tmp_path):
+    """Files by the thousand, each cut into parts, are read by a bounded number of tasks; no block is lost."""
+    rows = spark.range(1500).select(
+        F.col("id").cast("string").alias("name"), F.lit(8).alias("rate_hz"), F.lit(1).alias("channels"), F.lit(2).alias("width"),
+        F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: i * 100 - F.col("id")).alias("pcm"),
+    )
+    waveforms.write_files(rows, str(tmp_path))
+    got = waveforms.read_files(spark, str(tmp_path), block=4, part_bytes=40)
+    assert got.rdd.getNumPartitions() <= waveforms.MOST_TASKS
+    back = got.select(F.regexp_extract("source", r"([^/]+)\.wav$", 1).cast("long").alias("id"), "block_idx", F.transform("samples", lambda x: F.rint(x * 32768.0).cast("long")).alias("s"))
+    want = [(i, b, [j * 100 - i for j in range(4 * b, min(4 * b + 4, 10))]) for i in range(1500) for b in range(3)]
+    assert sorted(map(tuple, back.collect())) == want
+
+
 def test_waveform_files(spark, tmp_path):
     import wave
 
