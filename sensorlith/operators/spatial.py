@@ -93,6 +93,8 @@ class Tree:
         ship(queries.sparkSession)
         asked = queries.withColumns({"_at": F.array(*place), "_scale": F.array(*scale), "_best": F.lit(float("inf"))})
         top = queries.sparkSession.sparkContext.broadcast(self.top)
+        # a query is compared with thousands of boxes: few bytes of queries are not one task's work
+        asked = asked.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         found = asked.mapInArrow(_narrowing(top, self.axes), _ddl(asked) + ", _box long")
         for packed in reversed(self.levels):
             joined = found.join(packed, "_box").drop("_box")
@@ -191,36 +193,48 @@ def _extent(points: DataFrame, lat: str) -> tuple[float, float] | None:
 
 
 def lines_within(points: DataFrame, point_id: str, segments: DataFrame, line_id: str, radius_m: float) -> DataFrame:
-    """(point, line, distance_m) for every line within the radius of a point (columns lat, lon).
+    """(point, line, distance_m) for every line within the radius of a point (columns lat, lon)."""
+    close = lines_around(points, segments, line_id, radius_m)
+    return points.select(point_id, "lat", "lon").join(close, ["lat", "lon"]).select(point_id, line_id, "distance_m")
 
-    Segments are laid into cells one radius wide and points look into the 3×3 cells around
-    them; equal places are searched once.
+
+def lines_around(points: DataFrame, segments: DataFrame, line_id: str, radius_m: float) -> DataFrame:
+    """(lat, lon, line, distance_m) for every line within the radius of a place of ``points``; equal places are searched once.
+
+    Segments are laid into cells of 0.6 radii and places look into the 5×5 cells around them: a piece of a segment within the
+    radius has a point laid at most a quarter of a cell farther. What lies outside the radius on one axis is dropped before distances
+    are computed. The pairs of few rows may be many, so the cells keep their tasks, however few bytes they hold.
     """
-    out_columns = [point_id, line_id, "distance_m"]
     extent = _extent(points, "lat")
     if extent is None:
-        return points.select(point_id).join(segments.select(line_id), F.lit(False)).withColumn("distance_m", F.lit(0.0)).select(*out_columns)
-    cell_m = 2.0 * max(radius_m, 1.0)  # cells of some size, also for a radius of nothing
-    lat_size, lon_size = _cell_sizes(extent, cell_m)
-    places = points.select("lat", "lon").distinct()
-    around = F.sequence(F.lit(-1), F.lit(1))
-    asked = places.withColumns({"_y": F.floor(F.col("lat") / lat_size), "_x": F.floor(F.col("lon") / lon_size)})
-    asked = asked.withColumn("_dy", F.explode(around)).withColumn("_dx", F.explode(around))
-    asked = asked.withColumns({"_y": F.col("_y") + F.col("_dy"), "_x": F.col("_x") + F.col("_dx")}).drop("_dy", "_dx")
-    laid = (
-        _pieces(segments, lat_size / 2, lon_size / 2)
-        .withColumns({"_y": F.floor(F.col("_lat") / lat_size), "_x": F.floor(F.col("_lon") / lon_size)})
-        .drop("_step", "_lat", "_lon")
-        .distinct()
-    )
-    close = (
+        return points.select("lat", "lon").join(segments.select(line_id), F.lit(False)).withColumn("distance_m", F.lit(0.0))
+    reach_m = max(radius_m, 1.0)  # cells of some size, also for a radius of nothing
+    lat_size, lon_size = _cell_sizes(extent, 0.6 * reach_m)
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    c, side = F.col, F.sequence(F.lit(-2), F.lit(2))
+    asked = points.select("lat", "lon").distinct().withColumn("_dy", F.explode(side)).withColumn("_dx", F.explode(side))
+    asked = asked.select(
+        "lat", "lon", F.radians("lat").alias("_lat0"), F.radians("lon").alias("_lon0"), F.cos(F.radians("lat")).alias("_shrink"),
+        (F.floor(c("lat") / lat_size) + c("_dy")).alias("_y"), (F.floor(c("lon") / lon_size) + c("_dx")).alias("_x"),
+    ).repartition(tasks, "_y", "_x")
+    ends = ["a_lat", "a_lon", "b_lat", "b_lon"]
+    laid = _pieces(segments, lat_size / 2, lon_size / 2)
+    laid = laid.select(line_id, *[F.radians(e).alias(f"_{e}") for e in ends], F.floor(c("_lat") / lat_size).alias("_y"), F.floor(c("_lon") / lon_size).alias("_x"))
+    laid = laid.distinct().repartition(tasks, "_y", "_x")
+    lat_room, lon_room = (radians(size / 0.6) * (1 + 1e-6) for size in (lat_size, lon_size))
+    near = (
+        (c("_lat0") >= F.least("_a_lat", "_b_lat") - lat_room) & (c("_lat0") <= F.greatest("_a_lat", "_b_lat") + lat_room)
+        & (c("_lon0") >= F.least("_a_lon", "_b_lon") - lon_room) & (c("_lon0") <= F.greatest("_a_lon", "_b_lon") + lon_room)
+    )
+    x, y = lambda e: EARTH_RADIUS_M * (c(f"_{e}_lon") - c("_lon0")) * c("_shrink"), lambda e: EARTH_RADIUS_M * (c(f"_{e}_lat") - c("_lat0"))
+    return (
         asked.join(laid, ["_y", "_x"])
-        .withColumn("distance_m", _distance())
-        .filter(F.col("distance_m") <= radius_m)
+        .filter(near)
+        .withColumn("distance_m", origin_to_segment_m(x("a"), y("a"), x("b"), y("b")))
+        .filter(c("distance_m") <= radius_m)
         .groupBy("lat", "lon", line_id)
         .agg(F.min("distance_m").alias("distance_m"))
     )
-    return points.select(point_id, "lat", "lon").join(close, ["lat", "lon"]).select(*out_columns)
 
 
 def _nothing(points: DataFrame, point_id: str, targets: DataFrame, target_id: str) -> DataFrame:

@@ -16,7 +16,7 @@ from sensorlith.functions.scores import (
     weather_adjusted_score,
 )
 from sensorlith.operators.series import arrange, running_sum
-from sensorlith.operators.spatial import lines_within, nearest_line, nearest_point, segments_of
+from sensorlith.operators.spatial import lines_around, nearest_line, nearest_point, segments_of
 from sensorlith.session import cut
 
 # Map layers by stress class text.
@@ -55,11 +55,14 @@ def local_traffic(stations: DataFrame, links: DataFrame, radius_m: float) -> Dat
     scored = cut(links.filter(F.col("traffic_stress_score").isNotNull() & (F.size("points") > 0)))
     segments = segments_of(scored, "link_id", "points")
     scores = scored.select("link_id", "traffic_stress_score", "link_name")
-    near = lines_within(stations, "station_id", segments, "link_id", radius_m).join(scores, "link_id")
+    near = lines_around(stations, segments, "link_id", radius_m).join(scores, "link_id")
     w = F.exp(-F.col("distance_m") / max(radius_m, 1.0))
-    around = near.groupBy("station_id").agg(
-        F.count(F.lit(1)).alias("nearby_traffic_segment_count"),
-        (F.sum(w * F.col("traffic_stress_score")) / F.sum(w)).alias("local_score"),
+    # sums per place: stations of one place share them, and pairs are not repeated for each station
+    there = near.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("_n"), F.sum(w * F.col("traffic_stress_score")).alias("_scores"), F.sum(w).alias("_weights"))
+    around = (
+        stations.join(there, ["lat", "lon"])
+        .groupBy("station_id")
+        .agg(F.sum("_n").alias("nearby_traffic_segment_count"), (F.sum("_scores") / F.sum("_weights")).alias("local_score"))
     )
     closest = (
         nearest_line(stations, "station_id", segments, "link_id")

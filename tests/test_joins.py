@@ -9,6 +9,7 @@ import pytest
 from sensorlith.operators import spatial
 from sensorlith.operators.intervals import overlaps
 from sensorlith.operators.spatial import lines_within, nearest_line, nearest_point, segments_of
+from sensorlith.plans.fusion import local_traffic
 
 R = 6_371_000.0
 
@@ -48,6 +49,34 @@ def test_all_lines_within_a_radius(places):
     assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
 
 
+def test_pairs_of_few_rows_keep_their_tasks(spark, places):
+    """Distances of a dense place take long though its rows are few bytes: they are not all put into one task."""
+    _, _, s, seg = places
+    close = spatial.lines_around(s, seg, "link_id", 2500.0)
+    close.collect()
+    plan = close._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert sum("hashpartitioning(_y" in line and "REPARTITION_BY_NUM" in line for line in plan.splitlines()) == 2
+    assert close.count() == close.select("lat", "lon", "link_id").distinct().count()
+
+
+def test_dense_lines_are_all_found(spark):
+    """Short and long links by the hundred around few places, at the equator and far north; a place counts for each of its stations."""
+    rng = np.random.default_rng(5)
+    for lat0 in (0.0, 64.0):
+        stations = [(i, lat0 + float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(-0.02, 0.02, (25, 2)))]
+        stations += [(99, *stations[0][1:])]
+        lines = [(i, [(lat0 + float(p[0]), float(p[1])) for p in start + np.vstack([[0, 0], rng.normal(0, 0.03 if i % 9 == 0 else 0.003, (2, 2))])]) for i, start in enumerate(rng.uniform(-0.05, 0.05, (300, 2)))]
+        s = spark.createDataFrame(stations, "station_id long, lat double, lon double")
+        l = spark.createDataFrame([(i, [{"lat": a, "lon": b} for a, b in p], float(i % 100), f"l{i}") for i, p in lines], "link_id long, points array<struct<lat:double,lon:double>>, traffic_stress_score double, link_name string")
+        want = {(i, j): d for i, a, b in stations for j, p in lines if (d := to_line(a, b, p)) <= 1500.0}
+        got = {(r[0], r[1]): r[2] for r in lines_within(s, "station_id", segments_of(l, "link_id", "points"), "link_id", 1500.0).collect()}
+        assert got.keys() == want.keys() and len(want) > 500 and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+        for r in local_traffic(s, l, 1500.0).collect():
+            mine = {j: np.exp(-d / 1500.0) for (i, j), d in want.items() if i == r["station_id"]}
+            assert r["nearby_traffic_segment_count"] == len(mine)
+            assert r["local_score"] == pytest.approx(sum(w * (j % 100) for j, w in mine.items()) / sum(mine.values()))
+
+
 def trees(monkeypatch, leaf, fan, top, rows):
     for name, value in {"LEAF": leaf, "FAN": fan, "TOP": top, "PART_ROWS": rows}.items():
         monkeypatch.setattr(spatial, name, value)
