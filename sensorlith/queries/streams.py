@@ -14,7 +14,7 @@ from sensorlith.queries.rovers import SCANS, TIMEOUT_S, commands, distances
 from sensorlith.queries.signals import CFG, DETECT, blocks
 from sensorlith.queries.speeds import settle
 from sensorlith.registry import query
-from sensorlith.session import work_path
+from sensorlith.session import work_path, written
 from sensorlith.streaming import stateful as SF
 from sensorlith.streaming.runs import closing_row, drain_with_budget, folder_stream, replay, started
 
@@ -22,12 +22,25 @@ c = F.col
 DAY = 86_400
 #: a time after all others, for rows that close a stream
 LAST = "2200-01-01 00:00:00"
+#: rows of a piece of a stream's input
+PIECE_ROWS = 1_000_000
 
 
 def halves(df, time):
-    """Everything up to the middle of the time range, then everything after it."""
-    middle = df.select(((F.min(time) + F.max(time)) / 2).alias("m")).scalar()
-    return [df.filter(c(time) <= middle), df.filter(c(time) > middle)]
+    """Everything up to the middle of the time range, then everything after it; of many rows as many pieces as hold ``PIECE_ROWS`` each,
+    by time, so that no batch of the stream grows with the input. Rows are computed once."""
+    rows = written(df.filter(c(time).isNotNull()), "rows-by-time")
+    n, first, last = rows.agg(F.count(F.lit(1)), F.min(time), F.max(time)).first()
+    count = -(-n // PIECE_ROWS)
+    if count <= 2:
+        middle = F.lit(None if first is None else (first + last) / 2).cast("double")
+        return [rows.filter(c(time) <= middle), rows.filter(c(time) > middle)]
+    ends = sorted(set(rows.approxQuantile(time, [i / count for i in range(1, count)], 0.1 / count)))
+    piece = F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e < c(time)))
+    path = work_path(df.sparkSession, "pieces")
+    rows.withColumn("_piece", piece).write.partitionBy("_piece").parquet(path)
+    back = df.sparkSession.read.parquet(path)
+    return [back.filter(c("_piece") == i).drop("_piece") for i in range(len(ends) + 1)]
 
 
 @query("stream_station_intervals", f"WITH {STATUS} SELECT station_id, interval_start_utc, interval_end_utc, duration_sec, status_class FROM intervals")

@@ -61,6 +61,29 @@ def test_silent_robot_is_stopped_by_the_timer(spark):
     assert {("a", "command", 1000.2, 1.0), ("a", "stop", 1000.5, 0.0), ("b", "stop", 1000.5, 0.0), ("b", "stop", 4000.5, 0.0)} == sent
 
 
+def test_guard_takes_many_rows_in_pieces(spark, monkeypatch):
+    """No piece grows with the input, each row comes once and in order of time, and the guard sends the same as on two pieces."""
+    from sensorlith.queries import streams
+
+    rng = np.random.default_rng(4)
+    rows = [("ab"[i % 2], 1000.0 + 5000.0 * float(t) ** 4, "scan" if i % 3 else "command", float(f)) for i, (t, f) in enumerate(rng.uniform(0, 1, (3000, 2)))]
+    df = spark.createDataFrame(rows, "robot_id string, ts double, kind string, front double")
+    df = df.withColumn("linear_x", F.lit(1.0)).withColumn("angular_z", F.lit(0.0)).withColumn("at", F.timestamp_seconds("ts"))
+    end = closing_row(df, ts=F.lit(7e9), kind=F.lit("command"), linear_x=F.lit(0.0), angular_z=F.lit(0.0), at=F.timestamp_seconds(F.lit(7e9)))
+    sent = {}
+    for most in (1_000_000, 500):
+        monkeypatch.setattr(streams, "PIECE_ROWS", most)
+        pieces = halves(df, "ts")
+        if most == 500:
+            counts = [p.count() for p in pieces]
+            assert sum(counts) == 3000 and max(counts) <= 600
+            ranges = [p.agg(F.min("ts"), F.max("ts")).first() for p in pieces]
+            assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+        out = replay(pieces, lambda s: stateful.guard(s, "at", "100 seconds"), "guard-pieces", closing=end)
+        sent[most] = sorted(tuple(r) for r in out.filter("robot_id IS NOT NULL").collect())
+    assert len(sent[500]) > 1000 and sent[500] == sent[1_000_000]
+
+
 def test_detector_ends_with_its_source(spark):
     from sensorlith.plans.signals import Detector
 
