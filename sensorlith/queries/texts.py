@@ -150,8 +150,7 @@ def source_three_sensor_runs(spark, sf):
     rows = events(spark, sf).select(c("user_id").cast("string").alias("run"), sensor.alias("sensor"), (c("event_id") / 100.0).alias("time_sec"), (c("k") / 10.0).alias("x"), c("value").alias("y"), F.lit(0.0).alias("z"))
     whole = rows.groupBy("run").agg(F.count_distinct("sensor").alias("sensors")).where(F.col("sensors") == len(SE.SENSORS)).select("run")
     path = work_path(spark, "sensor-files")
-    named = rows.join(whole, "run").select(F.concat("run", F.lit("_"), "sensor", F.lit(".csv")).alias("file"), "time_sec", "x", "y", "z")
-    named.repartition("file").write.partitionBy("file").option("header", "true").csv(path)
+    SE.write_three_sensor_runs(rows.join(whole, "run").withColumnRenamed("run", "run_id"), path)
     out = None
     for short, frame in SE.read_three_sensor_runs(spark, path).items():
         name = next(s for s, v in SE.SENSORS.items() if v == short)

@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from sensorlith.session import cut
+from sensorlith.session import cut, written
+from sensorlith.sources.files import read_lines, write_lines
 
 SENSORS = {"accelerometer": "acc", "gravity": "gravity", "gyroscope": "gyro"}
 
@@ -77,19 +77,19 @@ def new_files(hashes: DataFrame, known: DataFrame) -> DataFrame:
     return first.join(known.select("file_hash"), "file_hash", "left_anti")
 
 
+def write_three_sensor_runs(rows: DataFrame, path: str) -> None:
+    """Rows (run_id, sensor, time_sec, x, y, z) as files <run>_<sensor>.csv."""
+    columns = ("time_sec", "x", "y", "z")
+    write_lines(rows.select(F.concat("run_id", F.lit("_"), "sensor", F.lit(".csv")).alias("file"), F.to_csv(F.struct(*columns)).alias("line")), path, header=",".join(columns))
+
+
 def read_three_sensor_runs(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Frames by sensor from files <run>_<sensor>.csv, or folders of that name with the parts of a file; each run needs exactly one of each
     sensor."""
-    schema = T.StructType([T.StructField(n, T.DoubleType()) for n in ("time_sec", "x", "y", "z")])
-    raw = spark.read.schema(schema).option("header", "true").csv(path, recursiveFileLookup=True, pathGlobFilter="*.csv")
-    name = F.col("_metadata.file_path")
-    pattern = rf"([^/=]*)_({'|'.join(SENSORS)})\.csv(/part-[^/]*)?$"
-    rows = raw.select(
-        F.regexp_extract(name, pattern, 1).alias("run_id"),
-        F.regexp_extract(name, pattern, 2).alias("sensor"),
-        F.regexp_replace(name, r"/part-[^/]*$", "").alias("_file"),
-        "*",
-    ).filter(F.col("sensor") != "")
+    name = rf"(?P<_file>(?P<run_id>[^/=]*)_(?P<sensor>{'|'.join(SENSORS)})\.csv)(/part-[^/]*)?$"
+    lines = read_lines(spark, path, rf"^(?P<_folder>.*?){name}", "*.csv", header=True)
+    rows = lines.select("run_id", "sensor", F.concat("_folder", "_file").alias("_file"), F.from_csv("line", "time_sec double, x double, y double, z double").alias("_row"))
+    rows = written(rows.select("run_id", "sensor", "_file", "_row.*"), "sensor-rows")
     files = cut(rows.select("run_id", "sensor", "_file").distinct())
     counts = files.groupBy("run_id").agg(F.count(F.lit(1)).alias("files"), F.count_distinct("sensor").alias("sensors"))
     wrong = counts.filter((F.col("files") != len(SENSORS)) | (F.col("sensors") != len(SENSORS))).limit(5).collect()

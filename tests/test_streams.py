@@ -181,6 +181,50 @@ def test_sensor_files(spark, tmp_path):
         assert "run_8" in str(e)
 
 
+def test_files_of_runs_lie_in_few_folders(spark, tmp_path, monkeypatch):
+    """A file for each run and sensor, without a folder of its own, read whole however it is cut."""
+    from pyspark.sql import functions as F
+
+    from sensorlith.sources import files
+
+    rows = spark.range(600).select((F.col("id") % 40).cast("string").alias("run_id"), F.element_at(F.array(*[F.lit(s) for s in sensors.SENSORS]), (F.col("id") % 3 + 1).cast("int")).alias("sensor"), (F.col("id") / 7).alias("time_sec"), (F.col("id") * 1e-9).alias("x"), F.when(F.col("id") % 11 != 0, F.col("id") / 3).alias("y"), F.lit(0.0).alias("z"))
+    sensors.write_three_sensor_runs(rows, str(tmp_path / "runs"))
+    found = [p for p in (tmp_path / "runs").rglob("*") if p.is_file()]
+    assert len(found) == 120 and len(list((tmp_path / "runs").iterdir())) <= files.FOLDERS and all(p.name.endswith(".csv") for p in found)
+    want = {s: sorted(map(tuple, rows.where(F.col("sensor") == n).select("run_id", "time_sec", "x", F.coalesce("y", F.lit(-1.0)), "z").collect())) for n, s in sensors.SENSORS.items()}
+    for part in (files.PART_BYTES, 50):
+        monkeypatch.setattr(files, "PART_BYTES", part)
+        got = sensors.read_three_sensor_runs(spark, str(tmp_path / "runs"))
+        assert {s: sorted(map(tuple, f.fillna(-1.0).collect())) for s, f in got.items()} == want
+
+
+def test_lines_of_odd_files(spark, tmp_path, monkeypatch):
+    from sensorlith.sources import files
+
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "_draft.csv").write_text("h\n0\n")
+    (tmp_path / "none.csv").write_text("")
+    (tmp_path / "head.csv").write_text("h\n")
+    (tmp_path / "a" / "open.csv").write_text("\nh\n1\n\n  \n22")
+    (tmp_path / "a" / "b" / "c d.csv").write_bytes(b"h\r\n333\r\n4\r\n")
+    (tmp_path / "a" / "other.txt").write_text("h\n9\n")
+    for part in (100, 5, 2, 1):
+        monkeypatch.setattr(files, "PART_BYTES", part)
+        got = files.read_lines(spark, str(tmp_path), r"(?P<name>[^/]*)\.csv$", "*.csv", header=part > 5)
+        lines = [tuple(r) for r in got.collect() if part > 5 or r["line"] != "h"]
+        assert sorted(lines) == [("c%20d", "333"), ("c%20d", "4"), ("open", "1"), ("open", "22")]
+
+
+def test_documents_of_a_snapshot_share_a_file(spark, tmp_path):
+    from sensorlith.sources import snapshots
+
+    docs = spark.sql("SELECT CAST(id % 3 AS STRING) AS snapshot, id AS n, '2024-01-01T00:00:00Z' AS observed_at_utc FROM range(9)")
+    snapshots.write_documents(docs, str(tmp_path / "docs"))
+    assert sorted(p.name for p in (tmp_path / "docs").rglob("*") if p.is_file()) == ["0.json", "1.json", "2.json"]
+    got = snapshots.read_documents(spark, str(tmp_path / "docs"), docs.drop("snapshot").schema, lines=True)
+    assert sorted((r["snapshot_id"], r["n"]) for r in got.collect()) == sorted((str(n % 3), n) for n in range(9))
+
+
 def test_long_waveform_in_parts(spark, tmp_path):
     """Each task reads its own bytes of a long file; blocks are those of the whole."""
     import wave
