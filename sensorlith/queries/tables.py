@@ -106,10 +106,10 @@ def bike_documents(spark, sf):
 
 
 def stored_documents(spark, docs, schema, name):
-    """Documents in one folder per snapshot, read back with the folder as snapshot id."""
+    """A file for each snapshot, read back with the file's stem as snapshot id."""
     path = work_path(spark, name)
-    docs.write.partitionBy("snapshot").json(path)
-    return SN.read_documents(spark, path, schema, snapshot_id=F.regexp_extract(c("_metadata.file_path"), r"snapshot=([^/]+)/", 1), lines=True)
+    SN.write_documents(docs, path)
+    return SN.read_documents(spark, path, schema, lines=True)
 
 
 BIKE = (

@@ -12,6 +12,7 @@ from sensorlith.functions.scores import station_status
 from sensorlith.functions.times import epoch_to_utc, micros, parse_iso
 from sensorlith.functions.units import c_to_f, fahrenheit, mps_to_mph, wind_text_mph
 from sensorlith.operators.series import latest
+from sensorlith.sources.files import write_lines
 
 
 def file_stem() -> Column:
@@ -28,6 +29,12 @@ def read_documents(
     return identified(reader.json(path), snapshot_id)
 
 
+def write_documents(docs: DataFrame, path: str) -> None:
+    """Documents as lines of the file <snapshot>.json."""
+    line = F.to_json(F.struct(*[F.col(n) for n in docs.columns if n != "snapshot"]))
+    write_lines(docs.select(F.concat("snapshot", F.lit(".json")).alias("file"), line.alias("line")), path)
+
+
 def stream_documents(
     spark: SparkSession, path: str, schema: StructType, glob: str = "*.json", files_per_trigger: int = 10, lines: bool = False
 ) -> DataFrame:
