@@ -370,7 +370,9 @@ def trip_file_columns(spark, sf):
     root = work_path(spark, "landing")
     rows = raw_trips(spark, sf)
     at = F.format_string("%s_tripdata_%d-%02d.parquet", "taxi_type", "data_year", "data_month")
-    rows.select(*FILE_TYPES, F.col("taxi_type").alias("type"), F.col("data_year").alias("year"), F.col("data_month").alias("month"), at.alias("file")).write.partitionBy("type", "year", "month", "file").parquet(root)
+    files = ["type", "year", "month", "file"]
+    named = rows.select(*FILE_TYPES, F.col("taxi_type").alias("type"), F.col("data_year").alias("year"), F.col("data_month").alias("month"), at.alias("file"))
+    named.hint("rebalance", *files).write.partitionBy(*files).parquet(root)  # else every task has a part of every file
     found = T.file_columns(read_trips(spark, root).drop("type", "year", "month", "file"))
     return found.withColumn("has_size", F.col("file_size_mb") > 0).drop("file_size_mb")
 
