@@ -4,6 +4,8 @@ A rank is narrowed down in rounds. A round cuts the range that holds it into equ
 notes its smallest and largest one. The rank lies in one of the cells, whose smallest and largest value are the range of the next
 round; when they are equal, they are the answer. All columns and fractions share a round, counts are combined before they are
 shuffled, and a window runs over the cells of one range. So a key with most of the rows is a row of counts for each task and cell.
+
+Keys of at most ``FEW`` rows take no rounds: Spark's own percentile holds their values, of one key at a time, in a task.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from sensorlith.session import cut, written
 
 #: cells of a range, and how many of its values share one at least: few values need few cells, or nothing is combined
 CELLS, SHARE = (32, 1 << 14), 64
+#: rows of a key that a task may hold
+FEW = 10_000
 #: ranges that are sent to every task; more are joined by a shuffle
 SENT_ROWS = 50_000
 _MOST = 1.7976931348623157e308
@@ -50,6 +54,25 @@ def percentiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[s
     columns = sorted({c for c, _ in wanted.values()})
     ks = [f"_k{i}" for i in range(len(keys))]
     base = df.select(*[F.col(k).alias(n) for k, n in zip(keys, ks)], F.array(*[F.col(c).cast("double") for c in columns]).alias("_v"))
+    if not keys:
+        return _in_rounds(base, keys, ks, columns, wanted)
+    sizes = base.groupBy(*ks).agg(F.count(F.lit(1)).alias("_n"))
+    if (sizes.agg(F.max("_n")).first()[0] or 0) <= FEW:
+        return _at_once(base, keys, ks, columns, wanted)
+    large = cut(sizes.where(F.col("_n") > FEW).select(*[F.col(k).alias(f"_r{k}") for k in ks]))
+    on = _on(ks, [f"_r{k}" for k in ks])
+    few = _at_once(base.join(large, on, "left_anti"), keys, ks, columns, wanted)
+    return few.unionByName(_in_rounds(base.join(large, on, "left_semi"), keys, ks, columns, wanted))
+
+
+def _at_once(base: DataFrame, keys: Sequence[str], ks: Sequence[str], columns: Sequence[str], wanted: Mapping[str, tuple[str, float]]) -> DataFrame:
+    """Percentiles of keys whose values fit a task."""
+    found = base.groupBy(*ks).agg(*[F.percentile(F.col("_v")[columns.index(c)], float(p)).alias(name) for name, (c, p) in wanted.items()])
+    return found.withColumnsRenamed(dict(zip(ks, keys)))
+
+
+def _in_rounds(base: DataFrame, keys: Sequence[str], ks: Sequence[str], columns: Sequence[str], wanted: Mapping[str, tuple[str, float]]) -> DataFrame:
+    """Percentiles of keys of any size."""
     totals = base.groupBy(*ks).agg(*[f(F.col("_v")[i]).alias(f"_{n}{i}") for i in range(len(columns)) for n, f in (("n", F.count), ("low", F.min), ("high", F.max))])
     totals = _Kept(totals.select(*ks, *[F.struct(F.col(f"_n{i}").alias("n"), F.col(f"_low{i}").alias("low"), F.col(f"_high{i}").alias("high")).alias(f"_m{i}") for i in range(len(columns))])).df
     asked = []

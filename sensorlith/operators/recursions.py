@@ -208,6 +208,44 @@ def _null_safe(left: DataFrame, right: DataFrame, names: Sequence[str], how: str
     return left.join(right, on, how).drop(*other.values())
 
 
+def _streamed(s: Series, fold: Fold, out: T.StructType) -> DataFrame:
+    """The fold over series that lie whole in a task. Many short ones share a batch; what leaves a batch enters the next one."""
+    keys = list(s.keys)
+    # whole numbers travel as text: beside a null they would become fractions
+    kinds = {k: s.df.schema[k].dataType for k in keys if isinstance(s.df.schema[k].dataType, T.IntegralType)}
+    sent = T.StructType([T.StructField(f.name, T.StringType()) if f.name in kinds else f for f in out])
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            new = np.zeros(len(pdf), bool)
+            for k in keys:
+                values, empty = pdf[k].to_numpy(), pdf[k].isna().to_numpy()
+                new[1:] |= (values[1:] != values[:-1]) & ~(empty[1:] & empty[:-1])
+            bounds = [0, *np.flatnonzero(new).tolist(), len(pdf)]
+            found, at = [], []
+            for lo, hi in zip(bounds[:-1], bounds[1:]):
+                key = [None if pd.isna(v) else v for v in (pdf[k].iat[lo] for k in keys)]
+                if key != last:
+                    last, state = key, None
+                emitted, state = fold(pdf.iloc[lo:hi].reset_index(drop=True), state)
+                if len(emitted):
+                    found.append(emitted)
+                    at.append(np.full(len(emitted), lo))
+            if found:
+                rows = pd.concat(found, ignore_index=True)
+                for k in keys:
+                    rows[k] = pdf[k].to_numpy()[np.concatenate(at)]
+                yield rows[out.names]
+
+    order = [F.col(o).asc_nulls_last() for o in s.order]
+    rows = s.df.repartition(tasks(s.df), *keys).withColumns({k: F.col(k).cast("string") for k in kinds})
+    done = rows.sortWithinPartitions(*keys, *order).mapInPandas(stream, sent)
+    return done.withColumns({k: F.col(k).cast(kind) for k, kind in kinds.items()})
+
+
 def run_fold(s: Series, fold: Fold, schema: T.StructType, guess: Callable[[pd.DataFrame], list[float]] | None = None) -> DataFrame:
     """``fold(rows in order, entering state or None)`` returns (output rows, as many as it likes, leaving state). ``guess`` may give a state from a part's first
     rows from which its first run sooner meets the right one; the result does not depend on it."""
@@ -225,11 +263,7 @@ def run_fold(s: Series, fold: Fold, schema: T.StructType, guess: Callable[[pd.Da
         return rows
 
     if not s.cut_up:
-        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = sorted_rows(pdf)
-            return keyed(fold(pdf, None)[0], pdf, keys)[[*keys, *names]]
-
-        return s.df.repartition(tasks(s.df), *keys).groupBy(*keys).applyInPandas(whole, out)
+        return _streamed(s, fold, out)
 
     group = [*keys, PART]
     state_type = T.ArrayType(T.DoubleType())

@@ -85,12 +85,14 @@ def without_tiny(segments: DataFrame, keys: Sequence[str], labels: Sequence[str]
             if segment is None:
                 feed(at + 1, None, step)
 
-        for label, start, end, rows, step, last in pdf[["_label", "start_time_sec", "end_time_sec", "sample_count", "step", "_last"]].itertuples(index=False, name=None):
+        for label, start, end, rows, step, last in zip(*(pdf[n].tolist() for n in ("_label", "start_time_sec", "end_time_sec", "sample_count", "step", "_last"))):
             feed(0, (float(label), start, end, float(rows)), step)
             if last:
                 feed(0, None, step)
-        rows = pd.DataFrame(out, columns=["_label", "start_time_sec", "end_time_sec", "sample_count"])
-        return rows.astype({"_label": "int64", "sample_count": "int64"}), [v for p in chain for v in p.state()]
+        names = ("_label", "start_time_sec", "end_time_sec", "sample_count")
+        columns = np.array(out, np.float64).reshape(-1, 4).T
+        rows = pd.DataFrame({n: v if n.endswith("_sec") else v.astype(np.int64) for n, v in zip(names, columns)})
+        return rows, [v for p in chain for v in p.state()]
 
     schema = T.StructType([T.StructField("_label", T.LongType()), T.StructField("start_time_sec", T.DoubleType()), T.StructField("end_time_sec", T.DoubleType()), T.StructField("sample_count", T.LongType())])
     merged = run_fold(s, fold, schema)

@@ -296,3 +296,27 @@ def test_folds_of_sixteen_parts_run_few_rows_again(spark):
     whole = R.run_fold(s, fold, S.TRACE).orderBy("block_idx").toPandas()
     pd.testing.assert_frame_equal(cut_up, whole)
     assert whole["trigger_sample"].notna().sum() > 10
+
+
+def test_short_series_of_a_fold_share_batches(spark):
+    """Series without number: a fold's state ends with its series, goes on over batches, and large keys beside a null stay whole."""
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from sensorlith.operators import recursions as R
+    from sensorlith.operators.series import arrange
+
+    def fold(pdf, state):
+        sums = (0.0 if state is None else state[0]) + pdf["v"].cumsum()
+        return pd.DataFrame({"t": pdf["t"], "sum": sums})[lambda x: x["t"] % 2 == 1], [float(sums.iloc[-1])]
+
+    df = spark.sql("SELECT CASE WHEN id % 7 = 0 THEN NULL ELSE 9007199254740993 + id % 7 END AS k, id AS t, CAST(id AS DOUBLE) AS v FROM range(210)")
+    plan = R.run_fold(arrange(df, ["k"], ["t"]), fold, T.StructType([T.StructField("t", T.LongType()), T.StructField("sum", T.DoubleType())]))
+    assert "FlatMapGroupsInPandas" not in plan._jdf.queryExecution().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    try:
+        got = sorted(map(str, plan.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = [(None if i % 7 == 0 else 9007199254740993 + i % 7, i, float(sum(range(i % 7, i + 1, 7)))) for i in range(1, 210, 2)]
+    assert got == sorted(f"Row(k={k}, t={t}, sum={v})" for k, t, v in want)

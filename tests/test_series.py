@@ -101,3 +101,19 @@ def test_percentiles_of_odd_values_and_keys(spark, monkeypatch, sent):
     got = sorted(map(str, percentiles(df, ["k"], wanted).collect()))
     assert got == sorted(map(str, df.groupBy("k").agg(*[F.percentile(c, p).alias(n) for n, (c, p) in wanted.items()]).collect()))
     assert [tuple(r) for r in percentiles(df.limit(0), [], {"m": ("x", 0.5)}).collect()] == [(None,)]
+
+
+def test_percentiles_of_few_rows_take_no_rounds(spark, monkeypatch):
+    """Short keys need no rounds, long ones do; the answers are the same."""
+    from sensorlith.operators import quantiles
+
+    df = spark.sql("SELECT CASE WHEN id < 300 THEN 1 WHEN id < 305 THEN NULL ELSE id END AS k, pmod(id * 37, 101) / 7 AS v, IF(id = 302, NULL, id) AS w FROM range(340)")
+    wanted = {"m": ("v", 0.5), "p": ("w", 0.9)}
+    found, rounds = {}, []
+    real = quantiles._in_rounds
+    monkeypatch.setattr(quantiles, "_in_rounds", lambda base, *a: rounds.append(base.select("_k0").distinct().count()) or real(base, *a))
+    for few in (0, 10, 1000):
+        monkeypatch.setattr(quantiles, "FEW", few)
+        found[few] = sorted(map(str, percentiles(df, ["k"], wanted).collect()))
+    assert len(found[0]) == 37 and found[0] == found[10] == found[1000]
+    assert rounds == [37, 1]
