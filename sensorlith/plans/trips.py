@@ -15,6 +15,7 @@ from sensorlith.functions.numbers import half_up, stable_mean
 from sensorlith.functions.times import month_start, next_month_start, seconds_between, sunday_zero_weekday
 from sensorlith.operators.quantiles import join_on_keys, percentiles
 from sensorlith.session import written
+from sensorlith.sources.landing import FILE_PATTERN, lineage
 
 PARTITION = ("taxi_type", "data_year", "data_month")
 
@@ -488,12 +489,14 @@ def file_profile(raw: DataFrame, by: Sequence[str] = ("source_file",)) -> DataFr
     return join_on_keys(counted, medians(only_valid, by, which), by)
 
 
-def file_columns(files: DataFrame) -> DataFrame:
-    """For each file name and column of trip files: the type, the values that are not null, and the size of the file."""
+def file_columns(files: DataFrame, pattern: str = FILE_PATTERN) -> DataFrame:
+    """For each file name and column of trip files: the type, the values that are not null, and the size of the file. Names are read once
+    a file, not once a trip."""
     columns = [c for c in files.columns if c not in LINEAGE]
     sized = files.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_size").alias("_size"))
-    parts = sized.groupBy("taxi_type", "data_year", "data_month", "_path", "_size").agg(F.count(F.lit(1)).alias("row_count"), *[F.count(c).alias(c) for c in columns])
-    whole = parts.groupBy("taxi_type", "data_year", "data_month").agg(F.sum("row_count").alias("row_count"), (F.sum("_size") / 1_000_000).alias("file_size_mb"), *[F.sum(c).alias(c) for c in columns])
+    parts = sized.groupBy("_path", "_size").agg(F.count(F.lit(1)).alias("row_count"), *[F.count(c).alias(c) for c in columns])
+    named = parts.select("*", *lineage(F.col("_path"), pattern))
+    whole = named.groupBy("taxi_type", "data_year", "data_month").agg(F.sum("row_count").alias("row_count"), (F.sum("_size") / 1_000_000).alias("file_size_mb"), *[F.sum(c).alias(c) for c in columns])
     types = dict(files.dtypes)
     each = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(types[c]).alias("data_type"), F.col(c).alias("not_null_count")) for c in columns])
     return whole.select("taxi_type", "data_year", "data_month", "row_count", "file_size_mb", F.explode(each).alias("_c")).select("taxi_type", "data_year", "data_month", "row_count", "file_size_mb", "_c.*")

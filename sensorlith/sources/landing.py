@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Name pattern of trip files.
@@ -13,14 +13,21 @@ def landing_path(root: str, taxi_type: str, year: int, month: int) -> str:
     return f"{root}/{taxi_type}/{year}/{month:02d}/{taxi_type}_tripdata_{year}-{month:02d}.parquet"
 
 
+def lineage(path: Column, pattern: str = FILE_PATTERN) -> list[Column]:
+    """Type, year and month that a file's path tells."""
+    return [
+        F.regexp_extract(path, pattern, 1).alias("taxi_type"),
+        F.regexp_extract(path, pattern, 2).try_cast("int").alias("data_year"),
+        F.regexp_extract(path, pattern, 3).try_cast("int").alias("data_month"),
+    ]
+
+
 def with_lineage(df: DataFrame, pattern: str = FILE_PATTERN) -> DataFrame:
     """Type, year and month from the file's path, the path itself, and the load time."""
     path = F.col("_metadata.file_path")
     return df.select(
         "*",
-        F.regexp_extract(path, pattern, 1).alias("taxi_type"),
-        F.regexp_extract(path, pattern, 2).try_cast("int").alias("data_year"),
-        F.regexp_extract(path, pattern, 3).try_cast("int").alias("data_month"),
+        *lineage(path, pattern),
         path.alias("source_file"),
         F.current_timestamp().cast("timestamp_ntz").alias("ingested_at_utc"),
     )

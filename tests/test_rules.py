@@ -169,3 +169,19 @@ def test_nested_report_is_one_document(spark, tmp_path):
     got = json.loads(text)
     assert got["one"] == got["other"] == {"n": 5, "m": None} and got["none"] == [] and len(got["twice"]) == 2
     assert got["rows"] == [{"a": a, "b": b, "c": x} for a, b, x in sorted(((i % 50, f'say "{i}"', None if i % 3 else i) for i in range(200)), key=lambda r: r[:2])]
+
+
+def test_file_columns_read_names_once_a_file(spark, tmp_path):
+    """The name of a file is looked at after its trips are counted; a task does not write a part of every file."""
+    from sensorlith.plans.trips import file_columns
+    from sensorlith.sources.landing import read_trips
+
+    for month, n in ((1, 3), (2, 5)):
+        folder = tmp_path / "yellow" / "2024" / f"{month:02d}" / f"yellow_tripdata_2024-{month:02d}.parquet"
+        spark.sql(f"SELECT id AS order_id, IF(id = 0, NULL, id) AS fare_amount FROM range(0, {n}, 1, 2)").write.parquet(str(folder))
+    found = file_columns(read_trips(spark, str(tmp_path)))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    counted = plan.index("\n", plan.index("Aggregate [_path"))
+    assert "regexp_extract" in plan[:counted] and "regexp_extract" not in plan[counted:]
+    got = sorted((r["taxi_type"], r["data_year"], r["data_month"], r["row_count"], r["column_name"], r["not_null_count"]) for r in found.collect())
+    assert got == [("yellow", 2024, m, n, c, v) for m, n in ((1, 3), (2, 5)) for c, v in (("fare_amount", n - 1), ("order_id", n))]
