@@ -1,9 +1,10 @@
 """Occupancy grids as cell rows of many maps: −1 unknown, 0 free, above 0 occupied.
 
 Neighbours are found by equi-joins on (map, row, col), so a large map is spread over many
-tasks. What has to be repeated (components, distances) runs in a number of rounds that
-grows with the logarithm of a cluster's size, or with the turns of a path, and each round's
-table is written to the shared folder.
+tasks. What has to be repeated (components, distances, ways) runs in a number of rounds that
+grows with the logarithm of a cluster's size, or with the turns of a path. Maps that fit a
+task go through all rounds there (``map_blocks``); a larger map's rounds are joins, and each
+round's table is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -12,9 +13,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from sensorlith.functions.grids import squared_distance
-from sensorlith.session import cut
+from sensorlith.operators import map_blocks as B
+from sensorlith.operators.series import row_limit
+from sensorlith.session import cut, written
 
 FOUR = ((-1, 0), (1, 0), (0, -1), (0, 1))
 EIGHT = (*FOUR, (-1, -1), (-1, 1), (1, -1), (1, 1))
@@ -60,8 +64,31 @@ def clusters(found: DataFrame, min_size: int = MIN_CLUSTER) -> DataFrame:
     """
     if min_size <= 0:
         raise ValueError("the smallest cluster size must be positive")
+    base = written(found.select(*CELL), "clustered")
+    small, large = _by_size(base)
+    place = [base.schema["row"], base.schema["col"]]
+    fields = [*place, StructField("label", StructType(place)), StructField("size", LongType())]
+    labelled = B.over_maps(small, B.cluster_cells(EIGHT, min_size), fields)
+    if large is None:
+        return labelled
+    labels = _labels_in_rounds(large)
+    sizes = labels.groupBy("map_id", "label").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= min_size)
+    return labelled.unionByName(labels.join(sizes, ["map_id", "label"]).select("map_id", "node.row", "node.col", "label", "size"))
+
+
+def _by_size(table: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of the maps that fit a task, and those of larger maps, or None; without the rows that name no map."""
+    limit = min(row_limit(table), B.MAX_CELLS)
+    large = table.filter("map_id is not null").groupBy("map_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+    large = cut(large.select("map_id"))
+    if large.isEmpty():
+        return table.filter("map_id is not null"), None
+    return table.filter("map_id is not null").join(large, "map_id", "left_anti"), table.join(large, "map_id", "left_semi")
+
+
+def _labels_in_rounds(base: DataFrame) -> DataFrame:
+    """(map_id, node, label): each cell's smallest cell of its cluster, in rounds over all of them."""
     node = F.struct("row", "col")
-    base = cut(found.select(*CELL))
     links = shifted(base.withColumn("a", node), EIGHT).join(base, CELL).select("map_id", "a", node.alias("b"))
     links = cut(links)
     labels, done = base.select("map_id", node.alias("node"), node.alias("label")), None
@@ -79,10 +106,7 @@ def clusters(found: DataFrame, min_size: int = MIN_CLUSTER) -> DataFrame:
         settled, labels = _settled(step)
         done = settled if done is None else done.unionByName(settled)
         if labels is None:
-            break
-    labels = done
-    sizes = labels.groupBy("map_id", "label").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= min_size)
-    return labels.join(sizes, ["map_id", "label"]).select("map_id", "node.row", "node.col", "label", "size")
+            return done
 
 
 def _settled(step: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -153,9 +177,19 @@ def hop_distances(grid: DataFrame, starts: DataFrame) -> DataFrame:
     Each round carries distances twice along whole unbroken rows and then columns (running minima
     both ways), so it takes half as many rounds as the shortest ways have turns, and only over the maps that still change.
     """
-    begin = starts.select("map_id", F.col("start_row").alias("row"), F.col("start_col").alias("col"), F.lit(0).alias("steps"))
-    table = grid.filter("value = 0").select(*CELL).withColumns({"_rl": _lane("row", "col"), "_cl": _lane("col", "row")})
-    table = cut(table.join(begin, CELL, "left"))
+    free = written(grid.filter("value = 0").select(*CELL), "free")
+    begin = starts.select("map_id", *[F.col(f"start_{x}").cast(free.schema[x].dataType).alias(x) for x in ("row", "col")])
+    small, large = _by_size(free)
+    marked = small.withColumn("start", F.lit(False)).unionByName(begin.dropna().withColumn("start", F.lit(True)))
+    steps = StructField("steps", IntegerType())
+    found = B.over_maps(marked, B.hop_steps, [free.schema["row"], free.schema["col"], steps])
+    found = found.unionByName(free.filter("map_id is null").withColumn("steps", F.lit(None).cast("int")))
+    return found if large is None else found.unionByName(_hops_in_rounds(large, begin))
+
+
+def _hops_in_rounds(free: DataFrame, begin: DataFrame) -> DataFrame:
+    table = free.withColumns({"_rl": _lane("row", "col"), "_cl": _lane("col", "row")})
+    table = cut(table.join(begin.withColumn("steps", F.lit(0)), CELL, "left"))
 
     def sweep(df: DataFrame, across: str, along: str, lane: str) -> DataFrame:
         w = Window.partitionBy("map_id", across, lane).orderBy(along)
@@ -181,7 +215,16 @@ def shortest_paths(distances: DataFrame, goals: DataFrame) -> DataFrame:
 
     Steps back are followed in doubling strides: after k rounds 2^k cells of each way are known.
     """
-    reached = distances.filter("steps is not null")
+    reached = written(distances.filter("steps is not null").select(*CELL, "steps"), "reached")
+    ends = goals.select("map_id", *[F.col(f"goal_{x}").cast(reached.schema[x].dataType).alias(x) for x in ("row", "col")])
+    small, large = _by_size(reached)
+    marked = small.withColumn("goal", F.lit(False)).unionByName(ends.dropna().withColumns({"steps": F.lit(None).cast(reached.schema["steps"].dataType), "goal": F.lit(True)}))
+    found = B.over_maps(marked, B.ways_back(FOUR), [reached.schema[name] for name in ("row", "col", "steps")])
+    found = found.withColumnRenamed("steps", "step")
+    return found if large is None else found.unionByName(_ways_in_strides(large, ends))
+
+
+def _ways_in_strides(reached: DataFrame, ends: DataFrame) -> DataFrame:
     back = shifted(reached.select(*CELL, F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("steps").alias("_s")), FOUR)
     parent = (
         back.join(reached, CELL)
@@ -190,7 +233,7 @@ def shortest_paths(distances: DataFrame, goals: DataFrame) -> DataFrame:
         .agg(F.min(F.struct(F.col("row").alias("r"), F.col("col").alias("c"))).alias("up"))
     )
     jump = cut(parent.select("map_id", F.struct(F.col("row").alias("r"), F.col("col").alias("c")).alias("at"), "up"))
-    goal = goals.select("map_id", F.col("goal_row").alias("row"), F.col("goal_col").alias("col")).join(reached, CELL)
+    goal = ends.join(reached, CELL)
     path = cut(goal.select("map_id", F.struct(F.col("row").alias("r"), F.col("col").alias("c")).alias("at")))
     while True:
         more = path.join(jump, ["map_id", "at"]).select("map_id", F.col("up").alias("at"))

@@ -151,3 +151,42 @@ def test_settled_maps_are_not_written_again(spark, monkeypatch):
     assert got[1, 14, 14] == 28 and got[0, 14, 14] > 100 and len(got) == sum(v == 0 for *_, v in grids)
     print(f"rows written over {len(written)} rounds: {sum(written)} of {len(got)} cells")
     assert sum(written) <= 3 * len(got)
+
+
+def test_maps_that_fit_a_task_give_the_rows_of_the_rounds(world, spark, monkeypatch):
+    """Labels, steps and ways from blocks of maps and from rounds of joins, also where maps stand there twice, and where two maps
+    are large and the others small; the small ones start no job for a round."""
+    data, df = world
+    twice = df.unionByName(df.filter("map_id = 4"))
+    starts = spark.createDataFrame([(m, *map(int, np.argwhere(d == 0)[0])) for m, d in data.items()] + [(None, 0, 0)], "map_id int, start_row int, start_col int")
+    goals = spark.createDataFrame([(m, *map(int, np.argwhere(d == 0)[-1])) for m, d in data.items()], "map_id int, goal_row int, goal_col int")
+    calls, cut = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda x: (calls.append(1), cut(x))[1])
+
+    def everything(grid, single):
+        found = sorted(G.clusters(G.frontier(single), 3).collect())
+        steps = G.hop_distances(grid, starts)
+        return found, sorted(map(str, steps.collect())), sorted(map(str, G.shortest_paths(G.hop_distances(single, starts), goals).collect()))
+
+    grid, single = G.cells(twice), G.cells(df)
+    for maps in (grid, single):
+        maps.count()
+    whole = everything(grid, single)
+    assert len(calls) <= 4  # one look at the sizes for each operator
+    monkeypatch.setattr(G.B, "MAX_CELLS", 10)
+    assert everything(grid, single) == whole and len(calls) > 20
+    monkeypatch.setattr(G.B, "MAX_CELLS", 130)
+    assert everything(grid, single) == whole
+
+
+def test_blocks_hold_whole_maps(monkeypatch):
+    import pyarrow as pa
+
+    from sensorlith.operators import map_blocks as B
+
+    monkeypatch.setattr(B, "BLOCK", 10)
+    ids = np.repeat(np.arange(12), [3, 1, 9, 14, 2, 2, 30, 1, 1, 5, 4, 6])
+    batches = [pa.RecordBatch.from_pydict({"map_id": ids[i : i + 4], "x": np.arange(len(ids))[i : i + 4]}) for i in range(0, len(ids), 4)]
+    got = [t for _, t in B.blocks(iter(batches))]
+    assert [x for t in got for x in t["x"].to_pylist()] == list(range(len(ids)))
+    assert sum(len(set(t["map_id"].to_pylist())) for t in got) == 12 and len(got) > 3
