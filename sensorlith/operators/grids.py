@@ -67,8 +67,9 @@ def clusters(found: DataFrame, min_size: int = MIN_CLUSTER) -> DataFrame:
     base = written(found.select(*CELL), "clustered")
     small, large = _by_size(base)
     place = [base.schema["row"], base.schema["col"]]
-    fields = [*place, StructField("label", StructType(place)), StructField("size", LongType())]
+    fields = [*place, StructField("label", StructType(place)), StructField("size", LongType()), StructField("times", LongType())]
     labelled = B.over_maps(small, B.cluster_cells(EIGHT, min_size), fields)
+    labelled = labelled.withColumn("_i", F.explode(F.sequence(F.lit(1), "times"))).drop("_i", "times")
     if large is None:
         return labelled
     labels = _labels_in_rounds(large)

@@ -179,6 +179,14 @@ def test_maps_that_fit_a_task_give_the_rows_of_the_rounds(world, spark, monkeypa
     assert everything(grid, single) == whole
 
 
+def test_clusters_of_repeated_cells_are_those_of_the_rounds(spark, monkeypatch):
+    cells = [(m, 1, c) for m in (1, 2) for c in range(4)] + [(2, 1, 2)] + [(3, r, 7) for r in (5, 6, 7, 7)]
+    found = spark.createDataFrame(cells, "map_id long, row int, col int")
+    blocks = sorted(map(str, G.clusters(found, 4).collect()))
+    monkeypatch.setattr(G.B, "MAX_CELLS", 1)
+    assert sorted(map(str, G.clusters(found, 4).collect())) == blocks and len(blocks) > 8
+
+
 def test_blocks_hold_whole_maps(monkeypatch):
     import pyarrow as pa
 
