@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sensorlith.llm.frames import bucketed
 from sensorlith.llm.words import pieces
 from sensorlith.session import work_path
 
@@ -31,8 +32,9 @@ _NO_ID = np.iinfo(np.int64).max
 Chunk = tuple[np.ndarray, list[bytes]]
 
 
-def write_chunks(docs: DataFrame) -> DataFrame:
-    """(chunk, docs): about ``CHUNK_BYTES`` of text or one longer document each, compressed."""
+def write_chunks(docs: DataFrame, in_buckets: bool = False) -> DataFrame:
+    """(chunk, docs): about ``CHUNK_BYTES`` of text or one longer document each, compressed. In buckets of their number,
+    chunks stay where they are when counts are brought to them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
@@ -45,8 +47,10 @@ def write_chunks(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"chunk": [number], "docs": [sink.getvalue().to_pybytes()]})
                 number += 1
 
-    path = work_path(docs.sparkSession, "chunks")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "chunk long, docs binary")
+    if in_buckets:
+        return bucketed(rows, "chunks", "chunk", "uncompressed")
+    path = work_path(docs.sparkSession, "chunks")
     rows.write.option("compression", "uncompressed").parquet(path)
     return docs.sparkSession.read.parquet(path)
 

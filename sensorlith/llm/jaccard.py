@@ -35,7 +35,7 @@ from pyspark.sql import Window
 
 from sensorlith.llm.chunks import _NO_ID, Chunk, id_array, levels, read_chunk, sketch_counts, slice_bits, write_chunks
 from sensorlith.llm.components import components
-from sensorlith.llm.frames import discard, stored
+from sensorlith.llm.frames import bucketed, discard, stored
 from sensorlith.llm.words import Words, mix, shingles
 
 CELL = 256
@@ -76,7 +76,7 @@ class Sets:
 def shingle_sets(docs: DataFrame, length: int, percent: int) -> DataFrame:
     """A row for each document. ``kept``: its sorted shingles that other documents may hold, ``prefix``: the rarest
     of them that a partner must share one of; both null where too few are left to link."""
-    chunks = write_chunks(docs)
+    chunks = write_chunks(docs, in_buckets=True)
     bits = slice_bits(chunks)
 
     def keys(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -150,10 +150,9 @@ def divide_skip(query: np.ndarray, members: list[np.ndarray], need: int, mu: flo
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (id, centre) pairs that link. A centre's documents are dealt out to cells of about ``CELL``."""
     sized = pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("k"))
-    dealt = pairs.join(sized, "centre").select("id", "centre", F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / CELL)).alias("cell"))
-    rows = dealt.join(sets.select("id", "n", "kept"), "id").select("centre", "cell", "id", "n", "kept", F.lit(1).alias("role"))
-    centres = dealt.select("centre", "cell").distinct().join(sets.select(F.col("id").alias("centre"), "n", "kept"), "centre")
-    rows = rows.unionByName(centres.select("centre", "cell", F.col("centre").alias("id"), "n", "kept", F.lit(0).alias("role")))
+    dealt = pairs.join(sized, "centre").select("centre", F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / CELL)).alias("cell"), "id")
+    centres = dealt.select("centre", "cell").distinct().select("centre", "cell", F.col("centre").alias("id"), F.lit(0).alias("role"))
+    rows = dealt.withColumn("role", F.lit(1)).unionByName(centres).join(sets.select("id", "n", "kept"), "id")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, query, members, n = None, None, [], []
@@ -200,14 +199,15 @@ def _first_shared(percent: int) -> Column:
     return (F.col("n") - F.col("place") >= least) & (F.col("m") - F.col("centre_place") >= least)
 
 
-def linked_classes(sets: DataFrame, percent: int) -> DataFrame:
+def representatives(sets: DataFrame) -> DataFrame:
+    """One row for each set that may link, with its smallest doc_id, in buckets of the set's id. Equal sets hold the
+    same ``kept``, ``prefix`` and ``places``: one of them leaves its task, and whole sets are dealt out only here."""
+    rows = sets.where("prefix IS NOT NULL").select(F.xxhash64("fp1", "fp2", "n").alias("id"), "doc_id", F.struct("doc_id", "n", "kept", "prefix", "places").alias("row"))
+    return bucketed(rows.groupBy("id").agg(F.min_by("row", "doc_id").alias("row")).select("id", "row.*"), "representatives", "id")
+
+
+def linked_classes(reps: DataFrame, percent: int) -> DataFrame:
     """(id, component) of the class representatives that link with another class."""
-    classes = sets.where("prefix IS NOT NULL").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("id"))
-    # rows that repeat an id are taken once each: the fingerprints tell them apart
-    reps = stored(
-        sets.where("prefix IS NOT NULL").join(classes, ["fp1", "fp2", "n"]).where("doc_id = id").dropDuplicates(["fp1", "fp2", "n"])
-        .select(F.xxhash64("fp1", "fp2", "n").alias("id"), F.col("id").alias("doc_id"), "n", "kept", "prefix", "places"), "representatives",
-    )
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,10 +222,14 @@ def linked_classes(sets: DataFrame, percent: int) -> DataFrame:
     posts = stored(posted.join(lists, "shingle"), "posts")
     parts, compared = reps.select("id", F.col("id").alias("part")), None
     for turn, propose in enumerate((_to_centre, _chained, _in_short_lists, _chained, _everyone)):
-        rows = posts.join(parts, "id")
-        open_lists = rows.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("shingle")
-        rows = stored(rows.join(open_lists, "shingle"), "open")
-        posts = rows.drop("part")
+        if turn == 0:  # all are groups of their own, so that every list is open
+            rows = posts.withColumn("part", F.col("id"))
+        else:
+            rows = posts.join(parts, "id")
+            open_lists = rows.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("shingle")
+            rows = stored(rows.join(open_lists, "shingle"), "open")
+            discard(posts)
+            posts = rows.drop("part")
         pairs = propose(rows, turn).where("part <> centre_part").where(_near(F.col("n"), F.col("m"), percent))
         if propose is _everyone:
             pairs = pairs.where(_first_shared(percent)).select("id", "centre").distinct()
@@ -245,6 +249,7 @@ def linked_classes(sets: DataFrame, percent: int) -> DataFrame:
     named = reps.select("id", "doc_id").join(parts, "id")
     smallest = named.groupBy("part").agg(F.min("doc_id").alias("smallest"))
     named = stored(named.join(smallest, "part").select("doc_id", F.col("smallest").alias("component")), "linked")
+    discard(posts)
     discard(reps)
     return named
 
@@ -282,9 +287,10 @@ def similar_documents(docs: DataFrame, length: int = 5, percent: int = 75) -> Da
     """doc_id, n_shingles, class_id (smallest id with the same set), component_id (smallest id that links reach)
     and class_size for each row of ``docs``; an empty set is a class of its own."""
     sets = shingle_sets(docs, length, percent)
-    linked = linked_classes(sets, percent)
+    reps = representatives(sets)
     wide, sets = sets, stored(sets.drop("kept", "prefix", "places"), "classes")
     discard(wide)
+    linked = linked_classes(reps, percent)
     classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     classes = classes.join(linked.groupBy(F.col("doc_id").alias("class_id")).agg(F.min("component").alias("component")), "class_id", "left")
     rows = sets.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "n", "fp1", "fp2").join(classes, ["fp1", "fp2", "n"], "left")

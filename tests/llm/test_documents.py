@@ -81,6 +81,44 @@ def test_jaccard_join_of_chains_and_shared_passages(spark):
     assert got == set(components_of(docs))
 
 
+def test_jaccard_join_leaves_wide_rows_in_their_buckets(spark, monkeypatch):
+    """Neither texts nor whole sets are shuffled to meet counts and pairs, also where nothing is broadcast."""
+    r = np.random.default_rng(5)
+    docs = []
+    for i in range(30):
+        words = [f"w{x}" for x in r.integers(0, 5000, 120)]
+        docs += [(500 - i, " ".join(words)), (i, " ".join(words)), (i, " ".join(words)), (1000 + i, " ".join([*words[:100], *(f"x{i}_{k}" for k in range(20))])), (2000 + i, " ".join(words[:60]))]
+    plans = {"sets": [], "pairs": []}
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    stored, verified = jaccard.stored, jaccard._verified
+
+    def storing(df, name):
+        if name == "sets":
+            plans["sets"].append(plan(df))
+        return stored(df, name)
+
+    def verifying(*args):
+        plans["pairs"].append(plan(found := verified(*args)))
+        return found
+
+    monkeypatch.setattr(jaccard, "stored", storing)
+    monkeypatch.setattr(jaccard, "_verified", verifying)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+        got = jaccard.similar_documents(df).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == sorted(components_of(docs))
+    assert len(plans["sets"]) == 1 and len(plans["pairs"]) == 5
+    for name, column in (("sets", "docs"), ("pairs", "kept")):
+        for text in plans[name]:
+            scans = [x for x in text.splitlines() if "FileScan" in x and column in x.split("Batched")[0]]
+            assert any("Bucketed: true" in x for x in scans)  # the planner reads buckets as such only where that spares a shuffle
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(("chunks_", "representatives_"))]
+
+
 def test_keep_one_each(spark, messy, nothing):
     kept = jaccard.keep_one_each(messy)
     assert kept.columns == messy.columns
