@@ -22,17 +22,19 @@ c = F.col
 DAY = 86_400
 #: a time after all others, for rows that close a stream
 LAST = "2200-01-01 00:00:00"
-#: rows of a piece of a stream's input
-PIECE_ROWS = 1_000_000
+#: rows of a piece of a stream's input, and of rows of a few numbers, where the start of a stream costs more than a million of them
+PIECE_ROWS, NARROW_ROWS = 1_000_000, 2_000_000
+#: partitions of a state whose batches have no more than ``NARROW_ROWS``
+NARROW_PARTITIONS = 32
 
 
-def halves(df, time):
-    """Everything up to the middle of the time range, then everything after it; of many rows as many pieces as hold ``PIECE_ROWS`` each,
-    by time, so that no batch of the stream grows with the input. Rows are computed once."""
+def halves(df, time, most=None):
+    """Everything up to the middle of the time range, then everything after it; of many rows as many pieces as hold ``most`` (``PIECE_ROWS``)
+    each, by time, so that no batch of the stream grows with the input. Rows are computed once."""
     rows = written(df.filter(c(time).isNotNull()), "rows-by-time")
     n, first, last = rows.agg(F.count(F.lit(1)), F.min(time), F.max(time)).first()
-    count = -(-n // PIECE_ROWS)
-    if count <= 2:
+    count = -(-n // (most or PIECE_ROWS))
+    if count <= 1:
         middle = F.lit(None if first is None else (first + last) / 2).cast("double")
         return [rows.filter(c(time) <= middle), rows.filter(c(time) > middle)]
     ends = sorted(set(rows.approxQuantile(time, [i / count for i in range(1, count)], 0.1 / count)))
@@ -46,7 +48,7 @@ def halves(df, time):
 @query("stream_station_intervals", f"WITH {STATUS} SELECT station_id, interval_start_utc, interval_end_utc, duration_sec, status_class FROM intervals")
 def stream_station_intervals(spark, sf):
     status = ST.classified(station_status(spark, sf)).select("station_id", micros(c("source_last_updated_utc")).alias("micros"), "status_class")
-    out = replay(halves(status, "micros"), lambda s: SF.intervals(s, MAX_GAP_MIN * 60), "intervals")
+    out = replay(halves(status, "micros", NARROW_ROWS), lambda s: SF.intervals(s, MAX_GAP_MIN * 60), "intervals", partitions=NARROW_PARTITIONS)
     return out.select(
         "station_id", from_micros(c("start_micros")).alias("interval_start_utc"), from_micros(c("end_micros")).alias("interval_end_utc"), "duration_sec", "status_class"
     )

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,16 +41,38 @@ def drain_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], c
     return q
 
 
-def replay(pieces: list[DataFrame], build: Callable[[DataFrame], DataFrame], name: str, mode: str = "append", closing: DataFrame | None = None) -> DataFrame:
+PARTITIONS_CONF = "spark.sql.shuffle.partitions"
+
+
+@contextmanager
+def at_most(spark: SparkSession, partitions: int | None) -> Iterator[None]:
+    """Streams that start within have their state in no more partitions than this; the session's number comes back."""
+    usual = spark.conf.get(PARTITIONS_CONF)
+    if partitions is None or partitions >= int(usual):
+        yield
+        return
+    spark.conf.set(PARTITIONS_CONF, str(partitions))
+    try:
+        yield
+    finally:
+        spark.conf.set(PARTITIONS_CONF, usual)
+
+
+def replay(
+    pieces: list[DataFrame], build: Callable[[DataFrame], DataFrame], name: str, mode: str = "append", closing: DataFrame | None = None, partitions: int | None = None
+) -> DataFrame:
     """Feed the pieces to a stream one after the other, as files that arrive, and read its output.
 
     ``closing`` comes last: rows that end the sources, or one of a time so late that the watermark passes all others.
+    ``partitions`` is for pieces that do not grow with the input: each batch opens the state of every partition, so
+    as many as a whole table's shuffle needs would cost more than the rows.
     """
     spark = pieces[0].sparkSession
     root = work_path(spark, name)
     for piece in [*pieces, *([closing.select(*pieces[0].columns)] if closing is not None else [])]:
         piece.write.mode("append").parquet(f"{root}/in")
-        drain(build(folder_stream(spark, f"{root}/in", pieces[0].schema)), f"{root}/out", f"{root}/checkpoint", mode)
+        with at_most(spark, partitions):
+            drain(build(folder_stream(spark, f"{root}/in", pieces[0].schema)), f"{root}/out", f"{root}/checkpoint", mode)
     return spark.read.parquet(f"{root}/out")
 
 

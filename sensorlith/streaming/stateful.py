@@ -1,4 +1,4 @@
-"""Keyed streaming operators. State is one small tuple per key; each batch's rows of a key are put in order first."""
+"""Keyed streaming operators. Keys share states by a hash, and a batch's rows of a state are put in order and worked on as columns."""
 
 from __future__ import annotations
 
@@ -14,39 +14,47 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from sensorlith.functions.scans import RESUME_DISTANCE_M, SCAN_TIMEOUT_S, STOP_DISTANCE_M
 from sensorlith.plans.missions import ALERT_M, ALERT_SAMPLES
 from sensorlith.plans.signals import BlockFilter, MAD_SIGMA, START, Detector, detector_step, pcm_of
+from sensorlith.streaming.buckets import BUCKETS, Keys, bucketed, ends
 
 
 def _ordered(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return pd.concat(list(batches)).sort_values(order, kind="stable").reset_index(drop=True)
 
 
-def intervals(status: DataFrame, max_gap_s: float) -> DataFrame:
+def intervals(status: DataFrame, max_gap_s: float, buckets: int = BUCKETS) -> DataFrame:
     """Status rows (station_id, micros, status_class) to intervals between consecutive rows; the last row waits in state."""
 
     def step(key, batches, state):
-        rows = _ordered(batches, ["micros"])
-        if state.exists:
-            last, label = state.get
-            rows = pd.concat([pd.DataFrame({"station_id": [key[0]], "micros": [last], "status_class": [label]}), rows], ignore_index=True)
-        state.update((int(rows["micros"].iloc[-1]), rows["status_class"].iloc[-1]))
-        start, end = rows["micros"].to_numpy()[:-1], rows["micros"].to_numpy()[1:]
-        seconds = end // 1_000_000 - start // 1_000_000
-        keep = (seconds > 0) & (seconds <= max_gap_s)
+        known, last, labels = state.get if state.exists else ([], b"", [])
+        keys, waiting = Keys(key[0], known), len(known)
+        rows = pd.concat(list(batches), ignore_index=True)
+        numbers, micros = keys.numbers(rows["station_id"]), rows["micros"].astype("int64").to_numpy()
+        order = np.lexsort((micros, numbers))
+        # a row from the state comes before the batch's
+        numbers = np.concatenate([np.arange(waiting), numbers[order]])
+        micros = np.concatenate([np.frombuffer(last, dtype=np.int64), micros[order]])
+        label = np.concatenate([np.array(labels, dtype=object), rows["status_class"].to_numpy(dtype=object)[order]])
+        order = np.argsort(numbers, kind="stable")
+        numbers, micros, label = numbers[order], micros[order], label[order]
+        is_last = ends(numbers)
+        state.update((keys.known, micros[is_last].tobytes(), label[is_last].tolist()))
+        seconds = micros[1:] // 1_000_000 - micros[:-1] // 1_000_000
+        keep = np.flatnonzero(~is_last[:-1] & (seconds > 0) & (seconds <= max_gap_s))
         yield pd.DataFrame(
             {
-                "station_id": key[0],
-                "start_micros": start[keep],
-                "end_micros": end[keep],
+                "station_id": keys.of(numbers[keep]),
+                "start_micros": micros[keep],
+                "end_micros": micros[keep + 1],
                 "duration_sec": seconds[keep],
-                "status_class": rows["status_class"].to_numpy()[:-1][keep],
+                "status_class": label[keep],
             }
         )
 
     key_type = status.schema["station_id"].dataType.simpleString()
-    return status.groupBy("station_id").applyInPandasWithState(
+    return bucketed(status, "station_id", buckets).applyInPandasWithState(
         step,
         f"station_id {key_type}, start_micros long, end_micros long, duration_sec long, status_class string",
-        "micros long, status_class string",
+        f"stations array<{key_type}>, micros binary, labels array<string>",
         "append",
         GroupStateTimeout.NoTimeout,
     )
