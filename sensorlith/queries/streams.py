@@ -58,7 +58,7 @@ def stream_station_intervals(spark, sf):
 def stream_slip_alerts(spark, sf):
     log = run_log(spark, sf).filter(c("event_type") == "robot.telemetry")
     rows = log.select("run_id", "event_time_s", "sequence", c("payload.localization.gps_innovation_m").alias("innovation"))
-    return replay(halves(rows, "event_time_s"), SF.slip_alerts, "slip")
+    return replay(halves(rows, "event_time_s", NARROW_ROWS), SF.slip_alerts, "slip", partitions=NARROW_PARTITIONS)
 
 
 @query(

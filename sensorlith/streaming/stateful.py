@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from sensorlith.functions.scans import RESUME_DISTANCE_M, SCAN_TIMEOUT_S, STOP_DISTANCE_M
 from sensorlith.plans.missions import ALERT_M, ALERT_SAMPLES
 from sensorlith.plans.signals import BlockFilter, MAD_SIGMA, START, Detector, detector_step, pcm_of
-from sensorlith.streaming.buckets import BUCKETS, Keys, bucketed, ends
+from sensorlith.streaming.buckets import BUCKETS, Keys, bucketed, ends, grown, newest, starts
 
 
 def _ordered(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
@@ -60,24 +60,33 @@ def intervals(status: DataFrame, max_gap_s: float, buckets: int = BUCKETS) -> Da
     )
 
 
-def slip_alerts(samples: DataFrame, threshold_m: float = ALERT_M, consecutive: int = ALERT_SAMPLES) -> DataFrame:
+def slip_alerts(samples: DataFrame, threshold_m: float = ALERT_M, consecutive: int = ALERT_SAMPLES, buckets: int = BUCKETS) -> DataFrame:
     """(run_id, event_time_s, sequence, innovation) to alerts: a counter of samples in a row and a latch per run."""
 
     def step(key, batches, state):
-        rows = _ordered(batches, ["event_time_s", "sequence"]).dropna(subset=["innovation"])
-        (count,) = state.get if state.exists else (0,)
-        hits = []
-        for t, q, v in rows[["event_time_s", "sequence", "innovation"]].itertuples(index=False, name=None):
-            count = count + 1 if v >= threshold_m else 0
-            if count == consecutive:
-                hits.append((key[0], t, q))
+        known, counts = state.get if state.exists else ([], b"")
+        keys = Keys(key[0], known)
+        rows = pd.concat(list(batches), ignore_index=True).dropna(subset=["innovation"])
+        numbers = keys.numbers(rows["run_id"])
+        counts = grown(np.frombuffer(counts, dtype=np.int64), len(keys.known), 0)
+        times, sequences = rows["event_time_s"].to_numpy(), rows["sequence"].to_numpy()
+        order = np.lexsort((sequences, times, numbers))
+        numbers, at = numbers[order], np.arange(len(order))
+        above = rows["innovation"].to_numpy()[order] >= threshold_m
+        begin = newest(starts(numbers))
+        below = np.maximum(newest(~above), begin - 1)
+        # what a run brings along counts until its first sample below the threshold
+        count = at - below + np.where(below < begin, counts[numbers], 0)
+        is_last = ends(numbers)
         # Beyond the limit the count only says that the latch is set.
-        state.update((min(count, consecutive + 1),))
-        yield pd.DataFrame(hits, columns=["run_id", "event_time_s", "sequence"])
+        counts[numbers[is_last]] = np.minimum(count[is_last], consecutive + 1)
+        state.update((keys.known, counts.tobytes()))
+        hits = np.flatnonzero(count == consecutive)
+        yield pd.DataFrame({"run_id": keys.of(numbers[hits]), "event_time_s": times[order][hits], "sequence": sequences[order][hits]})
 
     key_type = samples.schema["run_id"].dataType.simpleString()
-    return samples.groupBy("run_id").applyInPandasWithState(
-        step, f"run_id {key_type}, event_time_s double, sequence long", "count long", "append", GroupStateTimeout.NoTimeout
+    return bucketed(samples, "run_id", buckets).applyInPandasWithState(
+        step, f"run_id {key_type}, event_time_s double, sequence long", f"runs array<{key_type}>, counts binary", "append", GroupStateTimeout.NoTimeout
     )
 
 

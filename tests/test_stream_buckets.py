@@ -81,3 +81,19 @@ def test_intervals_of_many_stations_share_states(spark, played):
             if 0 < b // 10**6 - a // 10**6 <= 30_000:
                 want.append((key, a, b, b // 10**6 - a // 10**6, label))
     assert len(want) > 2000 and None in {r[0] for r in want} and got == sorted(want, key=repr)
+
+
+def test_alerts_of_many_runs_share_states(spark, played):
+    rng = np.random.default_rng(2)
+    values = [None if v < 0.1 else float(v) for v in rng.random(6000)]
+    rows = [(k, float(t), i, v) for i, (k, t, v) in enumerate(zip(some_keys(rng, 6000), rng.integers(0, 3000, 6000), values))]
+    df = spark.createDataFrame(rows, "run_id long, event_time_s double, sequence long, innovation double")
+    got = played(thirds(df, "event_time_s"), lambda s: stateful.slip_alerts(s, 0.3, 3), "many-runs")
+    want = []
+    for key, mine in by_key(rows, lambda r: r[1:3]).items():
+        count = 0
+        for _, t, q, v in mine:
+            count = count if v is None else count + 1 if v >= 0.3 else 0
+            if v is not None and count == 3:
+                want.append((key, t, q))
+    assert len(want) > 300 and None in {r[0] for r in want} and got == sorted(want, key=repr)
