@@ -76,7 +76,7 @@ def stream_guarded_commands(spark, sf):
     # the clock of the robots starts at 0, where Spark takes rows as late: a day later it is
     messages = scans.unionByName(orders).withColumn("ts", c("ts") + DAY).withColumn("at", F.timestamp_seconds("ts"))
     end = closing_row(messages, ts=F.lit(7e9), kind=F.lit("command"), linear_x=F.lit(0.0), angular_z=F.lit(0.0), at=F.timestamp_seconds(F.lit(7e9)))
-    out = replay(halves(messages, "ts"), lambda s: SF.guard(s, "at", "1 hour", 0.2, 0.3, TIMEOUT_S), "guard", closing=end)
+    out = replay(halves(messages, "ts", NARROW_ROWS), lambda s: SF.guard(s, "at", "1 hour", 0.2, 0.3, TIMEOUT_S), "guard", closing=end, partitions=NARROW_PARTITIONS)
     out = out.filter("robot_id IS NOT NULL").withColumn("ts", c("ts") - DAY)
     return out.select("robot_id", "kind", *[settled(c(n), 6).alias(n) for n in ("ts", "linear_x", "angular_z")])
 

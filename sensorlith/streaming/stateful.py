@@ -91,8 +91,9 @@ def slip_alerts(samples: DataFrame, threshold_m: float = ALERT_M, consecutive: i
 
 
 def guard(
-    messages: DataFrame, time: str, lateness: str, stop_m: float = STOP_DISTANCE_M, resume_m: float = RESUME_DISTANCE_M, timeout_s: float = SCAN_TIMEOUT_S
-) -> DataFrame:
+    messages: DataFrame, time: str, lateness: str, stop_m: float = STOP_DISTANCE_M, resume_m: float = RESUME_DISTANCE_M, timeout_s: float = SCAN_TIMEOUT_S,
+    buckets: int = BUCKETS,
+) -> DataFrame:
     """Scans and commands of each robot in one stream to what is sent on.
 
     Input: robot_id, ts, kind ('scan' or 'command'), front, linear_x, angular_z, and ``time``, the same as ``ts``.
@@ -100,58 +101,78 @@ def guard(
     the watermark has passed them, and are taken in order. A timer in event time sends the stop of a robot that has
     fallen silent.
     """
+    parts = {"ts": "f8", "is_scan": "?", "front": "f8", "linear_x": "f8", "angular_z": "f8"}
 
     def step(key, batches, state):
-        waiting = list(zip(*state.get[3:])) if state.exists else []
-        blocked, last_scan, told_stale = state.get[:3] if state.exists else (True, None, False)
+        known, blocked, last_scan, told_stale, owner, *kept = state.get if state.exists else ([], *[b""] * (4 + len(parts)))
+        keys, owners = Keys(key[0], known), [np.frombuffer(owner, dtype="i4")]
+        columns = {n: [np.frombuffer(v, dtype=t)] for (n, t), v in zip(parts.items(), kept)}
         if not state.hasTimedOut:
             for pdf in batches:
-                columns = (pdf[c] for c in ("ts", "kind", "front", "linear_x", "angular_z"))
-                waiting += [(float(t), k, None if f is None or np.isnan(f) else float(f), float(x), float(z)) for t, k, f, x, z in zip(*columns)]
+                owners.append(keys.numbers(pdf["robot_id"]))
+                for n, t in parts.items():
+                    columns[n].append(pdf[n].to_numpy(dtype=t))
+        n_keys = len(keys.known)
+        blocked = grown(np.frombuffer(blocked, dtype="?"), n_keys, True)
+        last_scan = grown(np.frombuffer(last_scan, dtype="f8"), n_keys, np.nan)
+        told_stale = grown(np.frombuffer(told_stale, dtype="?"), n_keys, False)
         limit = state.getCurrentWatermarkMs() / 1000.0
-        waiting.sort(key=lambda m: (m[0], m[1] == "command"))
-        ready = [m for m in waiting if m[0] <= limit]
-        waiting = waiting[len(ready) :]
-        sent = []
-
-        def silent_until(now: float) -> None:
-            nonlocal told_stale
-            if last_scan is not None and now - last_scan > timeout_s and not told_stale:
-                told_stale = True
-                sent.append((key[0], last_scan + timeout_s, "stop", 0.0, 0.0))
-
-        for ts, kind, front, linear, angular in ready:
-            silent_until(ts)
-            if kind == "scan":
-                was = blocked
-                if front is None or front <= stop_m:
-                    blocked = True
-                elif front >= resume_m:
-                    blocked = False
-                last_scan, told_stale = ts, False
-                if blocked and not was:
-                    sent.append((key[0], ts, "stop", 0.0, 0.0))
-            else:
-                stale = last_scan is None or ts - last_scan > timeout_s
-                sent.append((key[0], ts, "command", 0.0 if (blocked or stale) and linear > 0 else linear, angular))
-        silent_until(limit)
-        state.update((bool(blocked), last_scan, bool(told_stale), *([m[i] for m in waiting] for i in range(5))))
-        timers = [m[0] for m in waiting[:1]] + ([last_scan + timeout_s] if last_scan is not None and not told_stale else [])
+        robot, columns = np.concatenate(owners), {n: np.concatenate(v) for n, v in columns.items()}
+        is_ready, waits = columns["ts"] <= limit, columns["ts"] > limit
+        waiting = [robot[waits].astype("i4"), *(v[waits] for v in columns.values())]
+        robot, (ts, is_scan, front, linear, angular) = robot[is_ready], (v[is_ready] for v in columns.values())
+        order = np.lexsort((~is_scan, ts, robot))
+        robot, ts, is_scan, front, linear, angular = (v[order] for v in (robot, ts, is_scan, front, linear, angular))
+
+        # blocked after each message: the last scan outside the band decides, or what was known before
+        closes = is_scan & (np.isnan(front) | (front <= stop_m))
+        begin, decides = newest(starts(robot)), newest(closes | is_scan & (front >= resume_m))
+        now_blocked = np.where(decides >= begin, closes[decides], blocked[robot])
+        was = np.where(begin == np.arange(len(robot)), blocked[robot], np.roll(now_blocked, 1))
+        stopped = is_scan & now_blocked & ~was
+        scan = newest(is_scan)
+        seen = np.where(scan >= begin, ts[scan], last_scan[robot])
+        unsafe = now_blocked | np.isnan(seen) | (ts - seen > timeout_s)
+        linear = np.where(unsafe & (linear > 0), 0.0, linear)
+        is_last = ends(robot)
+        blocked[robot[is_last]] = now_blocked[is_last]
+
+        # a scan goes stale if the next one, or the end of what is known, is later than the timeout
+        before = np.flatnonzero(~np.isnan(last_scan))
+        scanner, at = np.concatenate([before, robot[is_scan]]), np.concatenate([last_scan[before], ts[is_scan]])
+        told = np.concatenate([told_stale[before], np.zeros(is_scan.sum(), dtype=bool)])
+        order = np.argsort(scanner, kind="stable")
+        scanner, at, told = scanner[order], at[order], told[order]
+        is_last = ends(scanner)
+        stale = np.where(is_last, limit, np.roll(at, -1)) - at > timeout_s
+        silent = stale & ~told
+        last_scan[scanner[is_last]], told_stale[scanner[is_last]] = at[is_last], (stale | told)[is_last]
+
+        state.update((keys.known, *(v.tobytes() for v in (blocked, last_scan, told_stale, *waiting))))
+        open_scans = last_scan[~np.isnan(last_scan) & ~told_stale]
+        timers = [*([waiting[1].min()] if len(waiting[1]) else []), *([open_scans.min() + timeout_s] if len(open_scans) else [])]
         if timers:
             state.setTimeoutTimestamp(max(int(min(timers) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(sent, columns=["robot_id", "ts", "kind", "linear_x", "angular_z"])
+        orders, n = ~is_scan, int(stopped.sum() + silent.sum())
+        yield pd.DataFrame(
+            {
+                "robot_id": keys.of(np.concatenate([robot[orders], robot[stopped], scanner[silent]])),
+                "ts": np.concatenate([ts[orders], ts[stopped], at[silent] + timeout_s]),
+                "kind": ["command"] * int(orders.sum()) + ["stop"] * n,
+                "linear_x": np.concatenate([linear[orders], np.zeros(n)]),
+                "angular_z": np.concatenate([angular[orders], np.zeros(n)]),
+            }
+        )
 
     key_type = messages.schema["robot_id"].dataType.simpleString()
-    return (
-        messages.withWatermark(time, lateness)
-        .groupBy("robot_id")
-        .applyInPandasWithState(
-            step,
-            f"robot_id {key_type}, ts double, kind string, linear_x double, angular_z double",
-            "blocked boolean, last_scan double, told_stale boolean, times array<double>, kinds array<string>, fronts array<double>, linear array<double>, angular array<double>",
-            "append",
-            GroupStateTimeout.EventTimeTimeout,
-        )
+    is_scan = F.coalesce(F.col("kind") == "scan", F.lit(False)).alias("is_scan")
+    rows = messages.select("robot_id", F.col("ts").cast("double").alias("ts"), is_scan, *[F.col(n).cast("double").alias(n) for n in ("front", "linear_x", "angular_z")], time)
+    return bucketed(rows.withWatermark(time, lateness), "robot_id", buckets).applyInPandasWithState(
+        step,
+        f"robot_id {key_type}, ts double, kind string, linear_x double, angular_z double",
+        f"robots array<{key_type}>, blocked binary, last_scan binary, told_stale binary, owner binary, " + ", ".join(f"{n} binary" for n in parts),
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 

@@ -97,3 +97,28 @@ def test_alerts_of_many_runs_share_states(spark, played):
             if v is not None and count == 3:
                 want.append((key, t, q))
     assert len(want) > 300 and None in {r[0] for r in want} and got == sorted(want, key=repr)
+
+
+def test_guard_of_many_robots_shares_states(spark, played):
+    rng = np.random.default_rng(3)
+    keys = [None if k is None else f"r{k}" for k in some_keys(rng, 6000)]
+    fronts = [None if f < 0.1 else float(f) for f in rng.random(6000)]
+    rows = [(k, 1000.0 + i // 2, "command" if i % 2 else "scan", None if i % 2 else f, float(rng.normal()), 1.0) for i, (k, f) in enumerate(zip(keys, fronts))]
+    rows = [rows[i] for i in rng.permutation(6000)]
+    df = spark.createDataFrame(rows, "robot_id string, ts double, kind string, front double, linear_x double, angular_z double").withColumn("at", F.timestamp_seconds("ts"))
+    end = runs.closing_row(df, robot_id=F.lit("end"), ts=F.lit(7e9), kind=F.lit("command"), linear_x=F.lit(0.0), angular_z=F.lit(0.0), at=F.timestamp_seconds(F.lit(7e9)))
+    got = played(thirds(df, "ts"), lambda s: stateful.guard(s, "at", "100 seconds", 0.4, 0.6, 200.0), "many-robots", end)
+    want = []
+    for key, mine in by_key(rows, lambda r: (r[1], r[2] == "command")).items():
+        blocked, scan, told = True, None, False
+        for _, ts, kind, front, linear, angular in [*mine, (key, 6e9, "", None, 0.0, 0.0)]:
+            if scan is not None and ts - scan > 200.0 and not told:
+                told = True
+                want.append((key, scan + 200.0, "stop", 0.0, 0.0))
+            if kind == "scan":
+                was, blocked = blocked, True if front is None or front <= 0.4 else False if front >= 0.6 else blocked
+                scan, told = ts, False
+                want += [(key, ts, "stop", 0.0, 0.0)] if blocked and not was else []
+            elif kind:
+                want.append((key, ts, "command", 0.0 if linear > 0 and (blocked or scan is None or ts - scan > 200.0) else linear, angular))
+    assert len(want) > 5000 and None in {r[0] for r in want} and got == sorted(want, key=repr)
