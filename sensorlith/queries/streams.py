@@ -163,7 +163,7 @@ def stream_replay_order(spark, sf):
     """Events released in order once the watermark has passed them; a last row of a far time lets all of them out."""
     log = run_log(spark, sf).select("run_id", "sequence", "event_time_s", F.timestamp_seconds("event_time_s").alias("at"))
     end = closing_row(log, sequence=F.lit(0), event_time_s=F.lit(7e9), at=F.timestamp_seconds(F.lit(7e9)))
-    return replay(halves(log, "event_time_s"), lambda s: SF.in_order(s, "at", "1 hour"), "order", closing=end)
+    return replay(halves(log, "event_time_s", NARROW_ROWS), lambda s: SF.in_order(s, "at", "1 hour"), "order", closing=end, partitions=NARROW_PARTITIONS)
 
 
 @query(

@@ -63,3 +63,57 @@ def newest(mask: np.ndarray) -> np.ndarray:
 def grown(values: np.ndarray, n: int, fill: float) -> np.ndarray:
     """The values of the known keys, and ``fill`` for those that are new."""
     return np.concatenate([values, np.full(n - len(values), fill, dtype=values.dtype)])
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers as steps from one to the next, each in as few bytes as the largest needs."""
+    steps = np.diff(np.asarray(values, dtype=np.int64), prepend=np.int64(0))
+    low, high = (int(steps.min()), int(steps.max())) if len(steps) else (0, 0)
+    width = next(w for w in (1, 2, 4, 8) if -(1 << (8 * w - 1)) <= low and high < 1 << (8 * w - 1))
+    return bytes([width]) + steps.astype(f"<i{width}").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, dtype=f"<i{data[0]}", offset=1), dtype=np.int64)
+
+
+class Ranges:
+    """Whole numbers seen of each key, as sorted ranges that neither overlap nor touch: as many as the log has gaps."""
+
+    def __init__(self, lows, highs, keys=None) -> None:
+        self.lows, self.highs = np.asarray(lows, dtype=np.int64), np.asarray(highs, dtype=np.int64)
+        self.keys = np.zeros(len(self.lows), dtype=np.int64) if keys is None else keys
+
+    def add(self, value: int) -> bool:
+        """Whether the number is new."""
+        return bool(self.add_all(np.zeros(1, dtype=np.int64), np.array([value], dtype=np.int64))[0])
+
+    def add_all(self, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Whether each number is new to its key; of equal ones the first is."""
+        order = np.lexsort((values, keys))
+        k, v = keys[order], values[order]
+        fresh = starts(k)
+        fresh[1:] |= v[1:] != v[:-1]
+        # a number lies in the last range that begins at or below it, if in any
+        all_keys, lows = np.concatenate([self.keys, k]), np.concatenate([self.lows, v])
+        merged = np.lexsort((lows, all_keys))
+        old = len(self.lows)
+        below = np.empty(len(merged), dtype=np.int64)
+        below[merged] = np.maximum.accumulate(np.where(merged < old, merged, -1)) if len(merged) else merged
+        below = below[old:]
+        if old:
+            fresh &= (below < 0) | (self.keys[below] != k) | (self.highs[below] < v)
+        new = np.empty(len(values), dtype=bool)
+        new[order] = fresh
+        kept = merged[np.concatenate([np.ones(old, dtype=bool), fresh])[merged]]
+        all_keys, lows, highs = all_keys[kept], lows[kept], np.concatenate([self.highs, v])[kept]
+        begins = starts(all_keys)
+        begins[1:] |= lows[1:] != highs[:-1] + 1
+        self.keys, self.lows = all_keys[begins], lows[begins]
+        self.highs = highs[np.append(begins[1:], True)] if len(highs) else highs
+        return new
+
+    def highest(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys with numbers, and the highest of each."""
+        last = ends(self.keys)
+        return self.keys[last], self.highs[last]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +13,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from sensorlith.functions.scans import RESUME_DISTANCE_M, SCAN_TIMEOUT_S, STOP_DISTANCE_M
 from sensorlith.plans.missions import ALERT_M, ALERT_SAMPLES
 from sensorlith.plans.signals import BlockFilter, MAD_SIGMA, START, Detector, detector_step, pcm_of
-from sensorlith.streaming.buckets import BUCKETS, Keys, bucketed, ends, grown, newest, starts
+from sensorlith.streaming.buckets import BUCKETS, Keys, Ranges, bucketed, ends, grown, newest, packed, starts, unpacked
 
 
 def _ordered(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
@@ -176,32 +175,7 @@ def guard(
     )
 
 
-class Ranges:
-    """Whole numbers seen, as sorted ranges that neither overlap nor touch: as many as the log has gaps."""
-
-    def __init__(self, lows: list[int], highs: list[int]) -> None:
-        self.lows, self.highs = list(lows), list(highs)
-
-    def add(self, value: int) -> bool:
-        """Whether the number is new."""
-        at = bisect_right(self.lows, value)
-        if at and value <= self.highs[at - 1]:
-            return False
-        joins_low, joins_high = at > 0 and self.highs[at - 1] == value - 1, at < len(self.lows) and self.lows[at] == value + 1
-        if joins_low and joins_high:
-            self.highs[at - 1] = self.highs.pop(at)
-            self.lows.pop(at)
-        elif joins_low:
-            self.highs[at - 1] = value
-        elif joins_high:
-            self.lows[at] = value
-        else:
-            self.lows.insert(at, value)
-            self.highs.insert(at, value)
-        return True
-
-
-def in_order(events: DataFrame, time: str, lateness: str) -> DataFrame:
+def in_order(events: DataFrame, time: str, lateness: str, buckets: int = BUCKETS) -> DataFrame:
     """Late and mixed-up events (run_id, sequence, event_time_s) in order per run.
 
     Events wait in state until the watermark has passed them; then they come out by time and
@@ -209,37 +183,50 @@ def in_order(events: DataFrame, time: str, lateness: str) -> DataFrame:
     """
 
     def step(key, batches, state):
-        buffer = list(zip(*state.get[:2])) if state.exists else []
-        seen, highest = (Ranges(*state.get[2:4]), state.get[4]) if state.exists else (Ranges([], []), None)
+        known, owner, times, sequences, *seen = state.get if state.exists else ([], b"", b"", b"", *[packed(np.zeros(0))] * 3)
+        keys = Keys(key[0], known)
+        run, times, sequences = ([np.frombuffer(v, dtype=t)] for v, t in ((owner, "i4"), (times, "f8"), (sequences, "i8")))
         if not state.hasTimedOut:
             for pdf in batches:
-                buffer += list(pdf[["event_time_s", "sequence"]].itertuples(index=False, name=None))
+                run.append(keys.numbers(pdf["run_id"]))
+                times.append(pdf["event_time_s"].to_numpy(dtype="f8"))
+                sequences.append(pdf["sequence"].astype("int64").to_numpy())
         limit = state.getCurrentWatermarkMs() / 1000.0
-        ready = sorted(b for b in buffer if b[0] <= limit)
-        waiting = sorted(b for b in buffer if b[0] > limit)
-        out = []
-        for t, q in ready:
-            again = not seen.add(int(q))
-            gap = 0 if again or highest is None else max(0, q - highest - 1)
-            if not again:
-                highest = q if highest is None else max(highest, q)
-            out.append((key[0], t, q, again, gap))
-        state.update(([float(t) for t, _ in waiting], [int(q) for _, q in waiting], seen.lows, seen.highs, None if highest is None else int(highest)))
-        if waiting:
-            state.setTimeoutTimestamp(max(int(waiting[0][0] * 1000) + 1, int(limit * 1000) + 1))
-        yield pd.DataFrame(out, columns=["run_id", "event_time_s", "sequence", "is_duplicate", "missing_before"])
+        run, t, q = (np.concatenate(v) for v in (run, times, sequences))
+        is_ready, waits = t <= limit, t > limit
+        waiting = run[waits].astype("i4"), t[waits], q[waits]
+        run, t, q = run[is_ready], t[is_ready], q[is_ready]
+        order = np.lexsort((q, t, run))
+        run, t, q = run[order], t[order], q[order]
+
+        again, missing = np.zeros(len(q), dtype=bool), np.zeros(len(q), dtype=np.int64)
+        if len(q):
+            owners, lows, lengths = (unpacked(v) for v in seen)
+            ranges = Ranges(lows, lows + lengths, owners)
+            # the highest number before each event; those of the state come first
+            owners, highest = ranges.highest()
+            again = ~ranges.add_all(run, q)
+            both, numbers = np.concatenate([owners, run]), np.concatenate([highest, q])
+            order = np.argsort(both, kind="stable")
+            both, numbers = both[order], numbers[order]
+            top = pd.Series(numbers).groupby(both).cummax().to_numpy()
+            gap = np.empty(len(both), dtype=np.int64)
+            gap[order] = np.where(starts(both), 0, np.maximum(0, numbers - np.roll(top, 1) - 1))
+            missing = np.where(again, 0, gap[len(owners) :])
+            seen = packed(ranges.keys), packed(ranges.lows), packed(ranges.highs - ranges.lows)
+        state.update((keys.known, *(v.tobytes() for v in waiting), *seen))
+        if len(waiting[1]):
+            state.setTimeoutTimestamp(max(int(waiting[1].min() * 1000) + 1, int(limit * 1000) + 1))
+        yield pd.DataFrame({"run_id": keys.of(run), "event_time_s": t, "sequence": q, "is_duplicate": again, "missing_before": missing})
 
     key_type = events.schema["run_id"].dataType.simpleString()
-    return (
-        events.withWatermark(time, lateness)
-        .groupBy("run_id")
-        .applyInPandasWithState(
-            step,
-            f"run_id {key_type}, event_time_s double, sequence long, is_duplicate boolean, missing_before long",
-            "times array<double>, sequences array<long>, seen_from array<long>, seen_to array<long>, highest long",
-            "append",
-            GroupStateTimeout.EventTimeTimeout,
-        )
+    rows = events.select("run_id", "sequence", "event_time_s", time)
+    return bucketed(rows.withWatermark(time, lateness), "run_id", buckets).applyInPandasWithState(
+        step,
+        f"run_id {key_type}, event_time_s double, sequence long, is_duplicate boolean, missing_before long",
+        f"runs array<{key_type}>, owner binary, times binary, sequences binary, seen_runs binary, seen_from binary, seen_lengths binary",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sensorlith.queries.streams import halves
 from sensorlith.streaming import runs, stateful
-from sensorlith.streaming.buckets import BUCKETS, Keys
+from sensorlith.streaming.buckets import BUCKETS, Keys, Ranges, packed, unpacked
 
 N_KEYS = 700
 
@@ -122,3 +122,40 @@ def test_guard_of_many_robots_shares_states(spark, played):
             elif kind:
                 want.append((key, ts, "command", 0.0 if linear > 0 and (blocked or scan is None or ts - scan > 200.0) else linear, angular))
     assert len(want) > 5000 and None in {r[0] for r in want} and got == sorted(want, key=repr)
+
+
+def test_order_of_many_runs_shares_states(spark, played):
+    rng = np.random.default_rng(4)
+    rows = [(k, 1000.0 + int(t), int(q)) for k, t, q in zip(some_keys(rng, 6000), rng.integers(0, 5000, 6000), rng.integers(0, 20, 6000) + 2**53)]
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(6000)], "run_id long, event_time_s double, sequence long").withColumn("at", F.timestamp_seconds("event_time_s"))
+    end = runs.closing_row(df, run_id=F.lit(-1), sequence=F.lit(0), event_time_s=F.lit(7e9), at=F.timestamp_seconds(F.lit(7e9)))
+    got = played(thirds(df, "event_time_s"), lambda s: stateful.in_order(s, "at", "100 seconds"), "many-logs", end)
+    want = []
+    for key, mine in by_key(rows, lambda r: r[1:]).items():
+        seen = set()
+        for _, t, q in mine:
+            want.append((key, t, q, q in seen, 0 if q in seen or not seen else max(0, q - max(seen) - 1)))
+            seen.add(q)
+    assert sum(r[3] for r in want) > 500 and sum(r[4] for r in want) > 500 and got == sorted(want, key=repr)
+
+
+def test_ranges_of_many_keys_are_those_of_each():
+    random = np.random.default_rng(5)
+    ranges, seen = Ranges([], []), set()
+    for _ in range(40):
+        keys, values = random.integers(0, 5, 60), random.integers(0, 200, 60)
+        want = []
+        for pair in zip(keys.tolist(), values.tolist()):
+            want.append(pair not in seen)
+            seen.add(pair)
+        assert ranges.add_all(keys, values).tolist() == want
+    found = list(zip(ranges.keys.tolist(), ranges.lows.tolist(), ranges.highs.tolist()))
+    assert {(k, v) for k, lo, hi in found for v in range(lo, hi + 1)} == seen and found == sorted(found)
+    assert all(a[0] != b[0] or b[1] > a[2] + 1 for a, b in zip(found, found[1:]))
+    assert dict(zip(*(v.tolist() for v in ranges.highest()))) == {k: max(v for j, v in seen if j == k) for k in range(5)}
+
+
+def test_packed_numbers_come_back():
+    for values in ([], [5], [3, 4, 9, 1], [-(2**63), 2**63 - 1, 0, 70_000, 2**40], list(range(1000, 1300))):
+        assert unpacked(packed(np.array(values, dtype=np.int64))).tolist() == values
+    assert len(packed(np.arange(0, 10**6, 100))) <= 2 + 10_000
