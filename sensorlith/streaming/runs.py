@@ -42,20 +42,24 @@ def drain_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], c
 
 
 PARTITIONS_CONF = "spark.sql.shuffle.partitions"
+#: rows that go to Python at once. The whole state of a key goes along each time, so many calls would repeat it
+ROWS_CONF, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 200_000
 
 
 @contextmanager
-def at_most(spark: SparkSession, partitions: int | None) -> Iterator[None]:
-    """Streams that start within have their state in no more partitions than this; the session's number comes back."""
-    usual = spark.conf.get(PARTITIONS_CONF)
-    if partitions is None or partitions >= int(usual):
-        yield
-        return
-    spark.conf.set(PARTITIONS_CONF, str(partitions))
+def bounded(spark: SparkSession, partitions: int | None) -> Iterator[None]:
+    """Streams that start within have their state in no more partitions than this, and give Python many rows at once; the session gets
+    its own settings back."""
+    usual = {} if partitions is None else {c: spark.conf.get(c) for c in (PARTITIONS_CONF, ROWS_CONF)}
     try:
+        if usual and partitions < int(usual[PARTITIONS_CONF]):
+            spark.conf.set(PARTITIONS_CONF, str(partitions))
+        if usual and 0 < int(usual[ROWS_CONF]) < ROWS:
+            spark.conf.set(ROWS_CONF, str(ROWS))
         yield
     finally:
-        spark.conf.set(PARTITIONS_CONF, usual)
+        for name, value in usual.items():
+            spark.conf.set(name, value)
 
 
 def replay(
@@ -64,14 +68,14 @@ def replay(
     """Feed the pieces to a stream one after the other, as files that arrive, and read its output.
 
     ``closing`` comes last: rows that end the sources, or one of a time so late that the watermark passes all others.
-    ``partitions`` is for pieces that do not grow with the input: each batch opens the state of every partition, so
-    as many as a whole table's shuffle needs would cost more than the rows.
+    ``partitions`` is for pieces of narrow rows that do not grow with the input: each batch opens the state of every
+    partition, so as many as a whole table's shuffle needs would cost more than the rows.
     """
     spark = pieces[0].sparkSession
     root = work_path(spark, name)
     for piece in [*pieces, *([closing.select(*pieces[0].columns)] if closing is not None else [])]:
         piece.write.mode("append").parquet(f"{root}/in")
-        with at_most(spark, partitions):
+        with bounded(spark, partitions):
             drain(build(folder_stream(spark, f"{root}/in", pieces[0].schema)), f"{root}/out", f"{root}/checkpoint", mode)
     return spark.read.parquet(f"{root}/out")
 

@@ -69,6 +69,19 @@ def test_pieces_of_a_skewed_time_are_of_one_size(spark):
     assert [p.count() for p in halves(df, "t")] == [1890, 10]
 
 
+def test_settings_of_a_bounded_stream_go_with_it(spark):
+    """A long series' state goes to Python with few calls, over few partitions; the session keeps its own numbers."""
+    names = (runs.PARTITIONS_CONF, runs.ROWS_CONF)
+    usual = [spark.conf.get(n) for n in names]
+    with runs.bounded(spark, 2):
+        assert [spark.conf.get(n) for n in names] == ["2", str(runs.ROWS)]
+    with runs.bounded(spark, 1000):
+        assert spark.conf.get(runs.PARTITIONS_CONF) == usual[0]
+    with runs.bounded(spark, None):
+        assert [spark.conf.get(n) for n in names] == usual
+    assert [spark.conf.get(n) for n in names] == usual
+
+
 def test_intervals_of_many_stations_share_states(spark, played):
     rng = np.random.default_rng(1)
     rows = [(k, int(t), "xyz"[int(t) % 3]) for k, t in zip(some_keys(rng, 4000), rng.integers(0, 10**11, 4000))]
